@@ -3,15 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.session import table
 
 
+def body_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraphs that are no caption, cell or blank; headings are still among them (see headings)."""
+    rows = table(spark, folder, "paragraphs").where(~F.coalesce("is_caption", F.lit(False)) & F.col("cell").isNull())
+    return rows.where(F.col("text").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]"))
+
+
+def headings(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "sections").where("heading_para_id IS NOT NULL").select(F.col("heading_para_id").alias("para_id"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.lookalike import same_look
+
+    refs = table(spark, folder, "reference_entries").select(F.lit("raw").alias("field_name"), F.col("ref_id").alias("id"), F.col("raw").alias("text"))
+    body = body_paragraphs(spark, folder).select(F.lit("text").alias("field_name"), F.col("para_id").alias("id"), "text")
+    return same_look(refs.unionByName(body), headings(spark, folder).select(F.lit("text").alias("field_name"), F.col("para_id").alias("id")))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.tokens import encode_corpus
 
     return encode_corpus(table(spark, folder, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+QUERIES = {"p5_found": p5_found, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
