@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 # Capital and small letters of other scripts that are drawn like a Latin letter, beside that letter.
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϲc ϳj Ϲ C"
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX ԚQ ԜW Ү Y аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw"
@@ -118,7 +120,7 @@ def same_look(rows: DataFrame, leave_out: DataFrame | None = None, *, salts: int
     is joined in blocks, so a group that holds a third of all rows is shared by many tasks. An id with several texts is
     compared by each of them, but never with itself. Empty texts are rows like others.
     """
-    marked = digests(rows)
+    marked = cut(digests(rows))  # read twice, and made by Python once
     groups = marked.groupBy("field_name", "form").agg(F.count("*").alias("n"), F.min("stored").alias("a"), F.max("stored").alias("b")).where("a <> b").select("field_name", "form", "n")
     spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     several = marked.withColumn("salt", F.pmod(F.hash("id"), F.lit(salts))).join(spread, ["field_name", "form", "salt"]).drop("salt")
