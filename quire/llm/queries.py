@@ -32,5 +32,22 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.leakage import leaks
+
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Which items leaked, and into how many documents."""
+    return p7_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.reading import reading_levels
+
+    return reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+
+
+QUERIES = {"p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
 SQL: dict[str, str] = {}
