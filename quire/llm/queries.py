@@ -18,6 +18,19 @@ def headings(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "sections").where("heading_para_id IS NOT NULL").select(F.col("heading_para_id").alias("para_id"))
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.headings import map_headings
+
+    return map_headings(table(spark, folder, "sections"), table(spark, folder, "heading_catalog"))
+
+
+def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that mean nothing in the list."""
+    from quire.llm.headings import unmatched
+
+    return unmatched(p1_found(spark, folder), table(spark, folder, "sections"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.lookalike import same_look
 
@@ -49,5 +62,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
 SQL: dict[str, str] = {}
