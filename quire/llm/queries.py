@@ -31,6 +31,12 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return unmatched(p1_found(spark, folder), table(spark, folder, "sections"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.sentences import split_sentences
+
+    return split_sentences(body_paragraphs(spark, folder), headings(spark, folder))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.lookalike import same_look
 
@@ -62,5 +68,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
 SQL: dict[str, str] = {}
