@@ -36,6 +36,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df over as many tasks as shuffles have, at least two a core: for few bytes that take much work each."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *columns)
+
+
 def micros(column: str):
     """A TIMESTAMP_NTZ as microseconds since 1970, whatever the session's time zone."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
