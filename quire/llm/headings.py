@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.lookalike import canonical
+from quire.session import spread
 
 # Other ways to write each entry of the heading list, by its English name.
 OTHER_WORDINGS = {
@@ -234,8 +235,8 @@ def map_headings(sections: DataFrame, catalog: DataFrame, *, most_entries: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["section_id", "field_name", "target"])
 
     values = sections.select(F.col("section_id").cast("string").alias("section_id"), F.expr("stack(2, 'title', title, 'canonical', canonical) AS (field_name, typed)"))
-    values = values.where(F.col("typed").rlike(r"[^\s\p{Z}]")).distinct()
-    return values.mapInArrow(run, "section_id string, field_name string, target string").distinct()
+    values = values.where(F.col("typed").rlike(r"[^\s\p{Z}]"))
+    return spread(values, "typed").mapInArrow(run, "section_id string, field_name string, target string").distinct()
 
 
 def unmatched(found: DataFrame, sections: DataFrame) -> DataFrame:

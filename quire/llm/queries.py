@@ -31,6 +31,16 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return unmatched(p1_found(spark, folder), table(spark, folder, "sections"))
 
 
+def p2_scored(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.works import match_works
+
+    return match_works(table(spark, folder, "reference_entries"), table(spark, folder, "candidate_records"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_scored(spark, folder).select("ref_id", "record_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.sentences import split_sentences
 
@@ -68,5 +78,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_scored": p2_scored, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
 SQL: dict[str, str] = {}
