@@ -263,8 +263,7 @@ def read_latex(spark: SparkSession, path: str) -> DataFrame:
     give no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{tex,gz}").load(path).select("path", "content")
-    root = F.lit(path.removeprefix("file:").rstrip("/") + "/")
-    inner = F.substring_index("path", root, -1)
+    inner = F.substring_index("path", path.removeprefix("file:").rstrip("/") + "/", -1)
     rows = files.withColumn("name", inner).withColumn("project", F.substring_index("name", "/", 1))
 
     def parse(pdf: pd.DataFrame) -> pd.DataFrame:
