@@ -185,24 +185,25 @@ def blocks(source: str, main: str) -> list[tuple[str, int | None, str, list[str]
     macros = macros_of(source.partition("\\begin{document}")[0])
     body = source.partition("\\begin{document}")[2] or source
     body = body.partition("\\end{document}")[0]
-    pos = [(m.start(), m[1]) for m in re.finditer("\x02([^\x03]*)\x03", body)]
     body = expand_macros(conditionals(body), macros)
     out: list = []
     file, line = main, 1
 
     def put(kind: str, level: int | None, raw: str) -> None:
         nonlocal file, line
-        began_file, began_line = file, line
-        for m in re.finditer("\x02([^\x03]*)\x03|\n", raw):
+        began = None
+        for m in re.finditer("\x02([^\x03]*)\x03|\n|([^\\s\x02]+)", raw):
             if m[1]:
                 file, line = m[1], 1
+            elif m[2]:
+                began = began or (file, line)
             else:
                 line += 1
         raw = re.sub("\x02[^\x03]*\x03", "", raw)
         keys = [k.strip() for m in CITE.finditer(raw) for k in m[1].split(",") if k.strip()]
         text = render(raw)
         if text:
-            out.append((kind, level, text, keys, began_file, began_line))
+            out.append((kind, level, text, keys, *(began or (file, line))))
 
     piece = re.compile(r"\\(" + "|".join(HEADINGS) + r")\*?\s*(?:\[[^\]]*\])?\s*\{|\\begin\{(" + "|".join(map(re.escape, FLOATS)) + r")\}|\\begin\{(thebibliography)\}|\n[ \t]*\n\s*|\\item\b")
     at = 0
