@@ -106,19 +106,21 @@ def grey_literature(raw: Column, venue: Column, doi: Column) -> Column:
     return F.coalesce(worded, F.lit(False)) | ((F.trim(F.coalesce(venue, F.lit(""))) == "") & doi.isNull())
 
 
-def marker_numbers(c: Column) -> Column:
-    """The numbers of a numeric marker; '3-5' gives 3, 4, 5 and '5-3' the same."""
+def marker_numbers(c: Column, most: int = 10_000) -> Column:
+    """The numbers of a numeric marker; '3-5' gives 3, 4, 5 and '5-3' the same; of a range over `most` only the ends."""
     items = F.regexp_extract_all(c, F.lit(r"[0-9]+ *[-–] *[0-9]+|[0-9]+"), 0)
-    low = lambda x: F.regexp_extract(x, "^[0-9]+", 0).cast("bigint")
-    high = lambda x: F.regexp_extract(x, "[0-9]+$", 0).cast("bigint")
-    return F.flatten(F.transform(items, lambda x: F.sequence(F.least(low(x), high(x)), F.greatest(low(x), high(x)))))
+    low = lambda x: F.regexp_extract(x, "^[0-9]+", 0).try_cast("bigint")
+    high = lambda x: F.regexp_extract(x, "[0-9]+$", 0).try_cast("bigint")
+    wide = lambda x: F.abs(high(x) - low(x)) > most
+    run = lambda x: F.when(wide(x), F.array(low(x), high(x))).otherwise(F.sequence(F.least(low(x), high(x)), F.when(wide(x), F.least(low(x), high(x))).otherwise(F.greatest(low(x), high(x)))))
+    return F.flatten(F.transform(F.filter(items, lambda x: low(x).isNotNull() & high(x).isNotNull()), run))
 
 
 def author_year_items(c: Column) -> Column:
     """STRUCT<names, year, suffix> of each item of a marker like '(Smith et al., 2019a; Lee, 2020)'."""
     inner = F.regexp_replace(c, r"^[ \t]*[\\(（\[]|[\\)）\]][ \t]*$", "")
     year = r"((?:19|20)[0-9][0-9])([a-z]?)"
-    part = lambda x: F.struct(F.trim(F.regexp_replace(F.regexp_extract(x, f"^(.*?)[,， (（]*{year}", 1), "[,， ]+$", "")).alias("names"), F.regexp_extract(x, year, 1).cast("bigint").alias("year"), F.regexp_extract(x, year, 2).alias("suffix"))
+    part = lambda x: F.struct(F.trim(F.regexp_replace(F.regexp_extract(x, f"^(.*?)[,， (（]*{year}", 1), "[,， ]+$", "")).alias("names"), F.regexp_extract(x, year, 1).try_cast("bigint").alias("year"), F.regexp_extract(x, year, 2).alias("suffix"))
     return F.filter(F.transform(F.split(inner, "[;；]"), part), lambda x: (x["names"] != "") & x["year"].isNotNull())
 
 
@@ -147,7 +149,7 @@ def own_contribution(c: Column) -> Column:
 def id_year(c: Column, pivot: int = 91) -> Column:
     """The year in an identifier like 'pb:1407.47185' (two digits of the year, two of the month)."""
     yy = F.regexp_extract(c, r"([0-9]{2})[0-9]{2}[.]", 1)
-    return F.when(yy != "", F.when(yy.cast("bigint") >= pivot, 1900 + yy.cast("bigint")).otherwise(2000 + yy.cast("bigint")))
+    return F.when(yy != "", F.when(yy.try_cast("bigint") >= pivot, 1900 + yy.try_cast("bigint")).otherwise(2000 + yy.try_cast("bigint")))
 
 
 def title_kind(c: Column) -> Column:
