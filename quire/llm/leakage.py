@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quire.llm.lookalike import canonical
 
 CJK = "぀-ヿ㐀-鿿豈-﫿⼀-⿟"
-TOKEN = re.compile(rf"[{CJK}]|(?:[^\W_{CJK}]|[̀-ͯ­​-‏⁠﻿])+")
+TOKEN = re.compile(rf"\d+(?:[.,]\d+)+|[{CJK}]|(?:[^\W_{CJK}]|[̀-ͯ­​-‏⁠﻿])+")
 WINDOW = 6
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Placeholders: a number, a name or another word that is no common one.
@@ -22,11 +22,11 @@ NUMBER, NAME = 1, 2
 
 
 def plain(token: str) -> str:
-    """A token without case, accents, width and look-alikes."""
+    """A token without case, accents, width and look-alikes; a number without its points."""
     if not token.isascii():
         token = unicodedata.normalize("NFKD", canonical(token))
         token = "".join(c for c in token if not unicodedata.combining(c))
-    return token.casefold()
+    return token.replace(".", "").replace(",", "").casefold()
 
 
 def tokens_of(text: str) -> list[str]:
@@ -65,12 +65,13 @@ class Items:
         self.common = {w: n for n, w in enumerate((w for w in spread if w in small or len(spread[w]) >= 3), NAME + 1)}
         self.literals = {p: n for n, p in enumerate(dict.fromkeys(plain(w) for words in raw for w in words), 1)}
         self.codes = Codes(self)
-        self.tokens, self.weights, self.matchers = [], [], []
+        self.tokens, self.weights, self.slots, self.matchers = [], [], [], []
         hashes, owner, place = [], [], []
         for i, words in enumerate(raw):
             kind, lit = (x := self.code(words)) & 0xFFFFFFFF, x >> 32
             self.tokens.append(lit.tolist())
             self.weights.append(np.array([len(w) for w in words], float))
+            self.slots.append(np.concatenate([[0], np.cumsum(kind <= NAME)]))
             if not len(words):
                 continue
             size = min(WINDOW, len(words))
@@ -161,12 +162,13 @@ class Items:
                     if d not in lits:
                         lits[d] = (codes[ends[d] - sizes[d] : ends[d]] >> 32).tolist()
                     begin = int(ends[d] - sizes[d])
-                    got, same = self.stretch(item, lits[d], low - begin, high - begin)
-                    held[d, item] = got >= share and same >= agree
+                    got, same, slots = self.stretch(item, lits[d], low - begin, high - begin)
+                    held[d, item] = got >= share and same >= agree and slots >= 0.4
         return [(keys[d], i) for (d, i), yes in held.items() if yes == (mode == "held")]
 
-    def stretch(self, item: int, lit: list[int], low: int, high: int) -> tuple[float, float]:
-        """The share of the item in the best continuous stretch near these diagonals, and how much of the stretch agrees."""
+    def stretch(self, item: int, lit: list[int], low: int, high: int) -> tuple[float, float, float]:
+        """The share of the item in the best continuous stretch near these diagonals, how much of the stretch agrees, and
+        how many of its slots do: the same words around other names and numbers are another item."""
         tokens, weights = self.tokens[item], self.weights[item]
         begin = max(0, low - 16)
         some = lit[begin : max(0, high + len(tokens) + 16)]
@@ -178,7 +180,8 @@ class Items:
             m.set_seq2(tokens)
         m.set_seq1(some)
         ends = np.concatenate([[0.0], np.cumsum(weights)])
-        best, score, start, matched, last = (0.0, 0, 0, 0.0), 0.0, 0, 0.0, None
+        slots = self.slots[item]
+        best, score, start, matched, filled, last = (0.0, 0, 0, 0.0, 0), 0.0, 0, 0.0, 0, None
         for a, b, n in m.get_matching_blocks():
             if not n:
                 continue
@@ -186,13 +189,13 @@ class Items:
                 gap = max(ends[b] - ends[last[1]], (a - last[0]) * weights.mean())
                 score -= 1.5 * gap
             if last is None or score <= 0:
-                score, start, matched = 0.0, b, 0.0
+                score, start, matched, filled = 0.0, b, 0.0, 0
             gain = ends[b + n] - ends[b]
-            score, matched, last = score + gain, matched + gain, (a + n, b + n)
+            score, matched, filled, last = score + gain, matched + gain, filled + int(slots[b + n] - slots[b]), (a + n, b + n)
             if score > best[0]:
-                best = (score, start, b + n, matched)
-        span = ends[best[2]] - ends[best[1]]
-        return (span / ends[-1], best[3] / span) if span else (0.0, 0.0)
+                best = (score, start, b + n, matched, filled)
+        span, all_slots = ends[best[2]] - ends[best[1]], slots[best[2]] - slots[best[1]]
+        return (span / ends[-1], best[3] / span, best[4] / all_slots if all_slots > 2 else 1.0) if span else (0.0, 0.0, 0.0)
 
 
 def _portions(keys: list, texts: list[str], most: int = 300_000):

@@ -238,8 +238,9 @@ class Model:
         c_kind = (get(f"c{script}|{kind}", 0.0) + 0.5) / (total_n + 20)
         s_word = (get(f"s{script}|{gap.right}", 0.0) + 8 * s_kind * 0.05) / (total_s + 8)
         c_word = (get(f"c{script}|{gap.right}", 0.0) + 8 * c_kind * 0.05) / (total_n + 8)
-        near = get(f"w|{gap.left} {kind}", 0.0)
-        c_word = c_word * (1 + 2 * near / (n1 + 4))
+        known = n1 / (n1 + 10)  # how far what follows this very word without a boundary is known
+        near = get(f"w|{gap.left} {kind}", 0.0) / n1 if n1 else 0.0
+        c_word *= 1 - known + known * near / c_kind
         # a long word that is no abbreviation ends its sentence, whatever often follows the others
         most = 1.5 if gap.left[0] == "." and len(gap.left) > 4 and gap.left[1] != "<" and gap.left[1:] not in ABBREVIATIONS else 6.0
         # after the first round, gaps count as no boundaries, so those like a text's ends and beginnings stand out from below
