@@ -40,7 +40,8 @@ ABBREVIATIONS = set(
     "د أ م डॉ श्री प्रो".split()
 )
 
-
+# Months that may follow an ordinal number with a stop.
+MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 
 
 def plain(word: str) -> str:
@@ -49,6 +50,7 @@ def plain(word: str) -> str:
 
 
 ABBREVIATIONS |= {plain(w) for w in ABBREVIATIONS}
+MONTHS |= {plain(w) for w in MONTHS}
 
 
 class Gap:
@@ -110,7 +112,7 @@ def scan(text: str) -> tuple[list[Gap], str, str]:
     for i in range(n):
         depth += change[i]
         inside.append(depth)
-    ends = set(closed.values())
+    ends = {b: a for a, b in closed.items()}
 
     thai = len(regex.findall(rf"[{UNPUNCTUATED}]", text))
     loose = thai > 3 and thai * 2 > len(regex.findall(r"\p{L}", text))
@@ -135,11 +137,15 @@ def scan(text: str) -> tuple[list[Gap], str, str]:
                 k += 1
             if level <= 0 and k < n and tokens[k][1][0] not in AFTER and not (tokens[k][0] == "sign" and k in ends):
                 quoted = inside[i] > 0 and j > i + 1
+                outer = [ends[x] for x in range(i + 1, j) if x in ends]
+                before = max(0, min(outer, default=0) - 1)
+                before -= tokens[before][0] == "space" and before > 0
+                told = quoted and tokens[before][1] in (":", "：")  # someone was said to speak, so the quote ends the sentence
                 spaced = k > j
                 right = _key(tokens[k])
                 left = _left(tokens, i, last_word)
                 char = s[-1] if s[-1] in SURE else "…" if "…" in s or s.startswith("..") else "."
-                gap = _gap(tokens[j - 1][3], left, char, right, tokens[k][1], spaced, quoted, tokens[j - 1][0] == "cite")
+                gap = _gap(tokens[j - 1][3], left, char, right, tokens[k][1], spaced, quoted and not told, told, tokens[j - 1][0] == "cite")
                 if gap:
                     gap.pair = count - at_count <= 1 and bool(gaps)
                     at_count = count
@@ -182,13 +188,17 @@ def _left(tokens: list[tuple], i: int, last_word: int) -> str:
     """What stands before a stop: the word, or the class of anything else."""
     if i and last_word == i - 1 and tokens[last_word][0] == "word":
         return plain(_bare(tokens[last_word][1]))[-12:]
-    return "<cite>" if i and tokens[i - 1][0] == "cite" else "<0>" if i and tokens[i - 1][0] == "number" else "<x>"
+    if i and tokens[i - 1][0] == "number":
+        return "<n>" if len(tokens[i - 1][1]) < 3 else "<0>"
+    return "<cite>" if i and tokens[i - 1][0] == "cite" else "<x>"
 
 
-def _gap(at: int, left: str, char: str, right: str, after: str, spaced: bool, quoted: bool, cited: bool) -> Gap | None:
+def _gap(at: int, left: str, char: str, right: str, after: str, spaced: bool, quoted: bool, told: bool, cited: bool) -> Gap | None:
     c = after[:1]
     small = c.isalpha() and c.islower() and after.islower()
     if char in SURE:
+        if told and not small:
+            return Gap(at, f"{char}t", right, 0.98, False, True)
         if quoted and not spaced:
             return None  # who speaks follows
         prior = 0.15 if small else 0.55 if quoted else 0.98
@@ -201,7 +211,7 @@ def _gap(at: int, left: str, char: str, right: str, after: str, spaced: bool, qu
             prior = 0.1 if len(left) <= 2 else 0.7
         elif small:
             prior = 0.02
-        elif left in ABBREVIATIONS or len(left) == 1 and left.isalpha():
+        elif left in ABBREVIATIONS or len(left) == 1 and left.isalpha() or left == "<n>" and plain(after) in MONTHS:
             prior = 0.03
         else:
             prior = 0.6 if c.isdigit() else 0.95

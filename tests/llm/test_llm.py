@@ -113,6 +113,7 @@ def test_sentences(spark):
     for text, want in {
         "Dr. P. M. Lee came. He left.": ["Dr. P. M. Lee came.", "He left."], "It is 3.5 m, cf. Fig. 2. Then x.": ["It is 3.5 m, cf. Fig. 2.", "Then x."], "He said “It failed. We stopped.” Then more.": ["He said “It failed. We stopped.”", "Then more."],
         "Ended.[3] Next (a. B) one": ["Ended.[3]", "Next (a. B) one"], "先做。后做！「停。走。」と言った。": ["先做。", "后做！", "「停。走。」と言った。"], "One line\nbreaks here. Next.": ["One line\nbreaks here.", "Next."], "": [], " \n": [], "No stop": ["No stop"], "Done.\\cite{a,b} Next.": ["Done.\\cite{a,b}", "Next."],
+        "他问：“可靠吗？谁查过？”其中有。": ["他问：“可靠吗？谁查过？”", "其中有。"], "“停。走！”他这样说。": ["“停。走！”他这样说。"], "Es war am 4. Mai so. Dann.": ["Es war am 4. Mai so.", "Dann."],
     }.items():
         assert texts_of(model, text) == want
     rng = random.Random(1)
