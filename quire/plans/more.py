@@ -129,11 +129,59 @@ def repeated_loads(spark, folder):
     return out
 
 
-QUERIES = {f.__name__: f for f in (grounded_fields, parsed_references, parser_agreement, skippable_paragraphs, bibliography_tail, tagged_sentences, gray_zone, content_duplicates, span_hit_rate, located_sentences, exact_positions, matched_boundaries, repeated_loads)}
+def weighted_progress(spark, folder):
+    """Overall progress: each event kind's share of rows above 50, by a fixed weight."""
+    weights = F.create_map(*(F.lit(x) for x in ("click", 1.0, "view", 1.0, "purchase", 3.0, "signup", 2.0)))
+    g = table(spark, folder, "events").groupBy("event_type").agg(F.avg((c("value") > 50).cast("double")).alias("done"))
+    w = F.coalesce(F.element_at(weights, c("event_type")), F.lit(0.5))
+    return g.agg(F.round(F.sum(w * c("done")) / F.sum(w), 6).alias("progress"), F.count("*").alias("n_layers"))
+
+
+def remapped_scores(spark, folder):
+    """Two raters' levels as easy, demanding or abstaining; abstentions count as missed, alarms in two conventions."""
+    l = table(spark, folder, "reading_labels")
+    word = lambda x: F.when(x.isNull(), "abstain").when(x >= 3, "demanding").otherwise("easy")
+    p = l.where("rater = 'ra'").select("doc_id", word(c("level")).alias("gold")).join(l.where("rater = 'rb'").select("doc_id", word(c("level")).alias("got")), "doc_id")
+    alarm, right = c("got") == "demanding", c("gold") == "demanding"
+    n = p.agg(F.count("*").alias("n"), F.count_if(alarm & right).alias("tp"), F.count_if(alarm & ~right).alias("fp"), F.count_if(~alarm & right).alias("fn"), F.count_if((c("got") == "abstain") | (c("gold") == "abstain")).alias("n_abstained"))
+    return n.select("n", "tp", "fp", "fn", "n_abstained", F.round(F.try_divide(2.0 * c("tp"), 2 * c("tp") + c("fp") + c("fn")), 6).alias("f1"), F.round(F.try_divide(c("tp") + c("fp"), c("n")), 6).alias("alarm_rate"))
+
+
+def labelled_pairs(spark, folder):
+    """Documents with a level both raters and the text agree to exist, once per document and level."""
+    d = table(spark, folder, "documents").where("text IS NOT NULL AND n_chars > 0").select("doc_id", "source")
+    return table(spark, folder, "reading_labels").where("level IS NOT NULL").join(d, "doc_id").select("doc_id", c("level").cast("bigint").alias("want"), "source").distinct()
+
+
+def unreachable_note(spark, folder):
+    """One note for all sources that gave nothing: how many records and sources, and the sources' names in order."""
+    gone = records(spark, folder).where("NOT answered")
+    return gone.agg(F.countDistinct("record_id").alias("n_records"), F.countDistinct("source").alias("n_sources"), F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"))
+
+
+def metric_bands(spark, folder):
+    """Manuscripts' measures against the quartiles over all manuscripts: how many lie below, within and above."""
+    from quire.operators import statistics as S
+
+    per = refs(spark, folder).groupBy("doc_id").agg(F.count("*").alias("n"), F.avg(c("doi").isNotNull().cast("int")).alias("doi"), F.avg((c("year") >= 2015).cast("int")).alias("recent"))
+    longs = S.long_metrics(per, ["doc_id"], {"n_refs": c("n"), "doi_share": c("doi"), "recent_share": c("recent")})
+    q = S.quartiles(longs, ["metric"], "value").select("metric", "q1", "q3")
+    return longs.join(F.broadcast(q), "metric").groupBy("metric", S.band(c("value"), c("q1"), c("q3")).alias("flag")).agg(F.count("*").alias("n_docs"))  # one row per measure
+
+
+QUERIES = {f.__name__: f for f in (grounded_fields, parsed_references, parser_agreement, skippable_paragraphs, bibliography_tail, tagged_sentences, gray_zone, content_duplicates, span_hit_rate, located_sentences, exact_positions, matched_boundaries, repeated_loads, weighted_progress, remapped_scores, labelled_pairs, unreachable_note, metric_bands)}
 
 _IN = f"SELECT s.para_id, s.sent_ix, s.text, m.start_pos - s.start_pos AS a, m.end_pos - s.start_pos AS b FROM {MARKERS} m JOIN {SENT} s ON m.para_id = s.para_id AND s.start_pos <= m.start_pos AND m.end_pos <= s.end_pos"
 _HELD = lambda f: f"CASE WHEN {f} IS NOT NULL AND {_KEY.format(f)} <> '' THEN contains({_KEY.format('raw')}, {_KEY.format(f)}) END AS {f}_kept"
 SQL = {
+    "weighted_progress": "SELECT round(sum(w * d) / sum(w), 6) AS progress, count(*) AS n_layers FROM (SELECT event_type, CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 1.0 WHEN 'purchase' THEN 3.0 WHEN 'signup' THEN 2.0 ELSE 0.5 END::DOUBLE AS w, avg((value > 50)::INT) AS d FROM events GROUP BY 1)",
+    "remapped_scores": """SELECT n, tp, fp, fn, n_abstained, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round((tp + fp) / nullif(n, 0), 6) AS alarm_rate FROM (SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(b.level >= 3, false) AND coalesce(a.level >= 3, false)) AS tp, count(*) FILTER (WHERE coalesce(b.level >= 3, false) AND NOT coalesce(a.level >= 3, false)) AS fp,
+        count(*) FILTER (WHERE NOT coalesce(b.level >= 3, false) AND coalesce(a.level >= 3, false)) AS fn, count(*) FILTER (WHERE a.level IS NULL OR b.level IS NULL) AS n_abstained FROM reading_labels a JOIN reading_labels b ON a.doc_id = b.doc_id AND a.rater = 'ra' AND b.rater = 'rb')""",
+    "labelled_pairs": "SELECT DISTINCT doc_id, level::BIGINT AS want, source FROM reading_labels JOIN documents USING (doc_id) WHERE level IS NOT NULL AND text IS NOT NULL AND n_chars > 0",
+    "unreachable_note": "SELECT count(DISTINCT record_id) AS n_records, count(DISTINCT source) AS n_sources, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources FROM candidate_records WHERE NOT answered",
+    "metric_bands": f"""WITH p AS (SELECT doc_id, count(*)::DOUBLE AS n_refs, avg((doi IS NOT NULL)::INT) AS doi_share, avg((year >= 2015)::INT) AS recent_share FROM {REFS} GROUP BY 1), l AS (FROM p UNPIVOT INCLUDE NULLS (value FOR metric IN (n_refs, doi_share, recent_share))),
+        q AS (SELECT * FROM (SELECT metric, count(value) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM l GROUP BY 1) WHERE n >= 3 AND q3 > q1)
+        SELECT metric, CASE WHEN value IS NULL THEN 'na' WHEN value < q1 THEN 'below' WHEN value > q3 THEN 'above' ELSE 'within' END AS flag, count(*) AS n_docs FROM l JOIN q USING (metric) GROUP BY 1, 2""",
     "grounded_fields": f"SELECT ref_id, {_HELD('title')}, {_HELD('venue')}, {_HELD('doi')} FROM {REFS} WHERE raw IS NOT NULL",
     "skippable_paragraphs": f"SELECT para_id, length(text) < 20 OR len(regexp_extract_all(text, '\\p{{L}}')) < 0.5 * length(regexp_replace(text, '\\s+', '', 'g')) AS skip FROM {PARAS} WHERE text IS NOT NULL",
     "bibliography_tail": f"SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE d) AS n_dated, count(*) FILTER (WHERE d) >= 0.6 * count(*) AS is_bibliography FROM (SELECT doc_id, regexp_matches(text, '(?:19|20)[0-9][0-9]') AS d, percent_rank() OVER (PARTITION BY doc_id ORDER BY para_ix, para_id) AS p FROM {PARAS} WHERE text IS NOT NULL) WHERE p >= 0.8 GROUP BY 1",
