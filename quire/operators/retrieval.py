@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import tokens
+from quire.session import busy
 
 
 def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, terms: str, *, k1: float = 1.5, b: float = 0.75, most_queries: int = 100_000) -> DataFrame:
@@ -23,8 +24,9 @@ def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, t
     wanted = asked.select("token").distinct()
     if queries.limit(most_queries + 1).count() <= most_queries:
         wanted = F.broadcast(wanted)
-    read = docs.where(F.col(text).isNotNull()).select(doc, tokens(F.col(text)).alias("t"))
-    size = docs.where(F.col(text).isNotNull()).select(F.size(tokens(F.col(text))).alias("n")).agg(F.count("*").alias("N"), F.avg("n").alias("mean"))
+    docs = busy(docs.where(F.col(text).isNotNull()).select(doc, text))
+    read = docs.select(doc, tokens(F.col(text)).alias("t"))
+    size = docs.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count("*").alias("N"), F.avg("n").alias("mean"))
     tf = read.select(doc, F.size("t").alias("n"), F.explode("t").alias("token")).join(wanted, "token").groupBy(doc, "n", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(size)).select("token", "mean", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # size is one row

@@ -43,6 +43,12 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(n, *columns)
 
 
+def busy(df: DataFrame) -> DataFrame:
+    """df, spread if it comes in fewer partitions than there are cores: for scans of one small file that feed much work."""
+    few = df._jdf.rdd().getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return spread(df) if few else df
+
+
 def micros(column: str):
     """A TIMESTAMP_NTZ as microseconds since 1970, whatever the session's time zone."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
