@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.lookalike import canonical
+from quire.session import busy
 
 CJK = "぀-ヿ㐀-鿿豈-﫿⼀-⿟"
 TOKEN = re.compile(rf"\d+(?:[.,]\d+)+|[{CJK}]|(?:[^\W_{CJK}]|[̀-ͯ­​-‏⁠﻿])+")
@@ -222,7 +223,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", item:
     Items are collected in blocks of at most `block`, each joined with all documents; share is a little under one half, as
     a changed word at the stretch's end is lost to it. Null and blank texts and passages give no row; repeated rows once.
     """
-    docs = documents.select(key, F.col("text")).where(F.col("text").isNotNull())
+    docs = busy(documents.select(key, F.col("text")).where(F.col("text").isNotNull()))
     items = items.where(F.col("passage").isNotNull() & F.col(item).isNotNull()).select(item, "passage").distinct()
     blocks = max(1, -(-items.count() // block))
     kinds = documents.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut
+from quire.session import busy, cut
 
 # Capital and small letters of other scripts that are drawn like a Latin letter, beside that letter.
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϲc ϳj Ϲ C"
@@ -108,7 +108,7 @@ def digests(rows: DataFrame) -> DataFrame:
             stored = [xxhash.xxh3_128_digest(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(form, pa.binary()), pa.array(stored, pa.binary())], ["field_name", "id", "form", "stored"])
 
-    rows = rows.select("field_name", "id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    rows = busy(rows.select("field_name", "id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull()))
     return rows.mapInArrow(digest, "field_name string, id string, form binary, stored binary")
 
 

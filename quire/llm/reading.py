@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import busy
+
 LEVELS = 4
 RUN = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_぀-ヿ㐀-鿿]+(?:['’][^\W\d_]+)*")
 STOP = re.compile(r"[.!?。！？؟।…]+")
@@ -103,7 +105,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, key: str = "doc_i
     given = labels.where(F.col("level").between(1, LEVELS)).groupBy(key).agg(*(F.count_if(F.col("level") == i + 1).alias(f"v{i}") for i in range(LEVELS)))
     votes = {r[0]: tuple(r[1:]) for r in given.orderBy(F.xxhash64(key), key).limit(labelled).collect()}
     kind = documents.schema[key].dataType.simpleString()
-    documents = documents.select(key, column).where(F.col(column).isNotNull())
+    documents = busy(documents.select(key, column).where(F.col(column).isNotNull()))
     if votes:
         lists = familiar_lists(document_frequencies(documents, key, column, votes), [sum(v[i] for v in votes.values()) for i in range(LEVELS)], least, size)
         known = documents.sparkSession.createDataFrame([(k,) for k in votes], f"{key} {kind}")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.lookalike import canonical
+from quire.session import busy
 
 #: Scripts whose sentences end in a space only.
 UNPUNCTUATED = r"\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
@@ -343,7 +344,7 @@ def split_sentences(paragraphs: DataFrame, leave_out: DataFrame | None = None, *
     The model is trained on all texts given. Together the spans of a text cover all but white space. Null and blank texts
     give no row; a text without a final stop is a sentence. leave_out: keys that are no case.
     """
-    rows = paragraphs.select(key, column).where(F.col(column).isNotNull())
+    rows = busy(paragraphs.select(key, column).where(F.col(column).isNotNull()))
     model = train(rows, column)
 
     def run(batches):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.transducer import Transducer, compile_words
-from quire.session import shared_folder
+from quire.session import busy, shared_folder
 
 VOCABULARY = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: how byte-level BPE of this vocabulary cuts text into words.
@@ -164,6 +164,7 @@ def encode_corpus(texts: DataFrame, key: str = "doc_id", column: str = "text", v
     Null and empty texts give an empty list, strings that look like special tokens are ordinary text, repeated rows are
     kept as they are, and other columns are ignored.
     """
+    texts = busy(texts.select(key, column))
     vocabulary = vocabulary or f"{VOCABULARY}/byte_bpe_50k.tiktoken"
     source = lexicon(texts, vocabulary, column, words)
     if isinstance(source, bytes):
