@@ -27,7 +27,8 @@ def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, t
     docs = busy(docs.where(F.col(text).isNotNull()).select(doc, text))
     read = docs.select(doc, tokens(F.col(text)).alias("t"))
     size = docs.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count("*").alias("N"), F.avg("n").alias("mean"))
-    tf = read.select(doc, F.size("t").alias("n"), F.explode("t").alias("token")).join(wanted, "token").groupBy(doc, "n", "token").agg(F.count("*").alias("tf"))
+    # an outer explode, as the optimiser would filter on the tokens' number before an inner one, cutting all texts twice
+    tf = read.select(doc, F.size("t").alias("n"), F.explode_outer("t").alias("token")).join(wanted, "token").groupBy(doc, "n", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(size)).select("token", "mean", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # size is one row
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
