@@ -56,9 +56,8 @@ def streaks(days: DataFrame, key: list[str], day: str) -> DataFrame:
 
 def day_grid(counts: DataFrame, key: str, day: str, n: str) -> DataFrame:
     """Every day between the first and last of all, for each key, with 0 where nothing was."""
-    span = counts.agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias(day))
-    keys = counts.select(key).distinct()
-    grid = keys.join(F.broadcast(span))  # days of a calendar: bounded by time, not by rows
+    span = counts.agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a IS NOT NULL")
+    grid = counts.select(key).distinct().join(F.broadcast(span)).select(key, F.explode(F.sequence("a", "b")).alias(day))  # span is one row
     return grid.join(counts, [key, day], "left").select(key, day, F.coalesce(n, F.lit(0)).alias(n))
 
 

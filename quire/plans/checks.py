@@ -8,7 +8,7 @@ from quire.functions import text as T
 from quire.functions.fuzzy import conflict_udf, plain_udf, ratio_udf, sorted_ratio_udf, surname_udf
 from quire.operators import entities as E
 from quire.operators import intervals as I
-from quire.plans.joins import PARAS, SECTIONS, SENT, _RESOLVED, marker_spans, markers, paragraphs, resolve_markers, sections, spans
+from quire.plans.joins import PARAS, SECTIONS, SENT, _RESOLVED, marker_spans, markers, paragraphs, resolve_markers, sections
 from quire.plans.retrieval import marker_clusters
 from quire.plans.retrieval import SQL as RETRIEVAL_SQL
 from quire.plans.stats import SQL as STATS_SQL

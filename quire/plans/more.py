@@ -12,7 +12,7 @@ from quire.functions.references import parse_reference_udf
 from quire.operators import intervals as I
 from quire.operators.evidence import locate_udf
 from quire.operators.retrieval import top
-from quire.plans.joins import _KEY, PARAS, SENT, marker_spans, markers, paragraphs, spans
+from quire.plans.joins import _KEY, PARAS, SENT, marker_spans, paragraphs, spans
 from quire.plans.text import MARKERS, REFS, records, refs
 from quire.session import table
 
@@ -156,7 +156,7 @@ def labelled_pairs(spark, folder):
 def unreachable_note(spark, folder):
     """One note for all sources that gave nothing: how many records and sources, and the sources' names in order."""
     gone = records(spark, folder).where("NOT answered")
-    return gone.agg(F.countDistinct("record_id").alias("n_records"), F.countDistinct("source").alias("n_sources"), F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"))
+    return gone.agg(F.countDistinct("record_id").alias("n_records"), F.countDistinct("source").alias("n_sources"), F.nullif(F.array_join(F.array_sort(F.collect_set("source")), ", "), F.lit("")).alias("sources"))
 
 
 def metric_bands(spark, folder):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import retrieval as R
 from quire.operators import sequences as Q
-from quire.plans.joins import PARAS, SECTIONS, SENT, _NUMBERS, marker_spans, markers, numbers, paragraphs, sections, spans
+from quire.plans.joins import PARAS, SECTIONS, SENT, _NUMBERS, marker_spans, numbers, paragraphs, sections, spans
 from quire.plans.text import MARKERS, REFS, TOKENS, records, refs
 from quire.session import table
 

@@ -137,9 +137,12 @@ def _low(x: str) -> str:
 
 def _widths(x: str) -> str:
     return f"translate({x}, '{T.WIDE}', '{T.NARROW.replace(chr(39), chr(39) * 2)}')"
+
+
 def _spaceless(x: str) -> str:
     return f"regexp_replace({x}, '\\s+', '', 'g')"
 
+
 TOKENS = f"""flatten(list_transform(regexp_extract_all({_low('text')}, '[a-z0-9]+|[{T.HAN}]+'),
     lambda x: CASE WHEN x >= '一' AND length(x) > 1 THEN list_transform(range(1, length(x)), lambda i: substr(x, i::BIGINT, 2)) ELSE [x] END))"""
 
