@@ -6,7 +6,6 @@ import re
 import unicodedata
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
