@@ -59,6 +59,7 @@ def orphans(refs: DataFrame, parents: DataFrame, *, rows_per_range: int = 200_00
     """
     refs = refs.where((F.col("cite_key") != "") & F.col("at").isNotNull())
     parents = parents.where(F.col("begin").isNotNull() & F.col("key").isNotNull() & F.col("scope").isNotNull())
+    parents = parents.groupBy("scope", "key", "begin").agg(F.max(F.coalesce("end", F.lit(int(FOREVER)))).alias("end"))  # repeats fold before they are shuffled
     ranges = max(1, min(max_ranges, -(-parents.count() // rows_per_range) * 2))
     # the digest's upper 31 bits, cut into equal ranges
     of = lambda scope, key: F.shiftright(F.shiftrightunsigned(F.xxhash64(scope, key), 33) * F.lit(ranges), 31).cast("int")
@@ -67,7 +68,7 @@ def orphans(refs: DataFrame, parents: DataFrame, *, rows_per_range: int = 200_00
     sizes = F.broadcast(sizes)  # at most max_ranges rows
     left = refs.join(sizes, "range").select("*", (F.pmod(F.xxhash64("from_id", "at"), F.col("splits"))).cast("int").alias("split"))
     right = (
-        parents.select("scope", "key", "begin", F.coalesce("end", F.lit(int(FOREVER))).alias("end"), of("scope", "key").alias("range"))
+        parents.select("scope", "key", "begin", "end", of("scope", "key").alias("range"))
         .join(sizes, "range")
         .select("scope", "key", "begin", "end", "range", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"))
     )
