@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,7 +36,7 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
+def spread(df: DataFrame, *columns: Column | str) -> DataFrame:
     """df over as many tasks as shuffles have, at least two a core: for few bytes that take much work each."""
     spark = df.sparkSession
     n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
