@@ -78,3 +78,17 @@ def test_latex_projects(spark, tmp_path):
     got = [(r.project, r.kind, r.text, r["keys"]) for r in latex.read_latex(spark, str(tmp_path)).orderBy("project", "ix").collect()]
     assert got == [("one", "heading", "Intro", []), ("one", "paragraph", "First we say [a, b].", ["a", "b"]), ("one", "paragraph", "Second.", []), ("one", "caption", "A cap [c]", ["c"]), ("one", "bibitem", "Raw A.", ["a"]), ("two.tar.gz", "paragraph", "Tar text.", [])]
     assert [r.file for r in latex.read_latex(spark, str(tmp_path)).where("text = 'Second.'").collect()] == ["more.tex"]
+
+
+def test_sink(spark, tmp_path):
+    from quire.sources import sink
+
+    files = spark.createDataFrame([("a.tex", "one\ntwo\nthree"), ("b.tex", "x"), ("c.tex", None)], "path string, text string")
+    found = spark.createDataFrame([("a.tex", 2, "check\nthis"), ("a.tex", 2, "and"), ("a.tex", 99, "end"), ("c.tex", 1, None)], "path string, line int, message string")
+    got = {r.path: r for r in sink.annotate(files, found).collect()}
+    assert got["a.tex"].text.split("\n") == ["one", "% NOTE: and", "% NOTE: check this", "two", "three", "% NOTE: end"]
+    assert sink.uncomment(got["a.tex"].text) == "one\ntwo\nthree" and "+% NOTE: and" in got["a.tex"].diff and set(got) == {"a.tex", "c.tex"}
+    (tmp_path / "v.toml").write_text('id = "v"\nname = "Venue"\naliases = ["V."]\n[rules]\nmin_refs = 8\n')
+    (tmp_path / "w.json").write_text('{"name": "W"}')
+    (tmp_path / "bad.json").write_text("{")
+    assert [(r.id, r.aliases, r.rules) for r in sink.registry(spark, str(tmp_path)).orderBy("id").collect()] == [("v", ["V."], '{"min_refs": 8}'), ("w", [], "{}")]
