@@ -210,3 +210,15 @@ def test_store(spark, tmp_path):
     log = spark.createDataFrame([(1,)], "v int").withColumn("ts", F.expr("timestamp'2024-01-01'"))
     store.append_by_day(log, str(tmp_path / "log"))
     assert store.remaining(log, spark.read.parquet(str(tmp_path / "log")), "v").count() == 0
+
+
+def test_perturb(spark):
+    from quire.operators import perturb
+
+    df = spark.createDataFrame([(f"r{i}", f"line {i}", f"A title of {i} words", 2000 + i % 9, ["A", "B", "C"][: i % 4]) for i in range(400)] + [("n", None, None, None, None)], "ref_id string, raw string, title string, year int, authors array<string>")
+    a = perturb.inject(df, "s", 0.5)
+    assert rows(a) == rows(perturb.inject(df.repartition(7), "s", 0.5)) and a.count() == 401
+    changed = "raw <> old_raw OR title <> old_title OR year <> old_year OR authors <> old_authors"
+    assert a.where(f"kind IS NOT NULL AND NOT ({changed})").count() == a.where(f"kind IS NULL AND ({changed})").count() == 0
+    assert {r.kind for r in a.select("kind").distinct().collect()} == {None, "year", "title", "author", "number", "source"}
+    assert perturb.inject(df, "s", 0.0).where("kind IS NOT NULL").count() == 0
