@@ -7,6 +7,22 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Thresholds and wordings that decide the results below.
+ABSTRACT_LEAST, ABSTRACT_HEAD, ABSTRACT_NAMES = 150, 200, 3
+ABSTRACT_IMPRINT = r"(?i)proceedings of|in proceedings|\bpp?\.? *[0-9]|\bvol\.? *[0-9]|\bisbn\b"
+TYPE_CODES = {"J": "journal", "C": "conference", "A": "conference", "M": "book", "G": "book", "D": "thesis", "EB": "web", "DB": "web", "CP": "web"}
+OTHER_CODES = ("R", "P", "S", "N", "Z")
+PREPRINT_WORDS = r"(?i)arxiv|preprint"
+CONFERENCE_WORDS = r"(?i)proceedings|conference|workshop|symposium|会议|论文集"
+JOURNAL_WORDS = r"(?i)journal|transactions|\bvol\.|[0-9]+ *\( *[0-9]+ *\) *[:：]|学报|期刊"
+GREY_WORDS = r"(?i)technical report|white *paper|\bblog\b|github|https?://|www\.|\bdataset\b|accessed|retrieved from|unpublished|\bmanuscript\b|\btutorial\b|\bsoftware\b|\btoolkit\b"
+FRAGMENT = {"characters": 40, "digits": 12, "colons": 3}
+FLATTENED = {"characters": 500, "colons": 10}
+TABLE_SHARES = {"digits": 0.08, "colons": 0.015}
+CLAIM_HAN, CLAIM_WORDS = 8, 4
+CENTURY_PIVOT = 91
+PREFIX_WORDS, HEAD_WORDS, HEAD_SHARE = 4, 6, 0.6
+
 HAN = "一-鿿"
 LATIN_WORD = "[A-Za-zÀ-ɏ0-9]+(?:['’-][A-Za-zÀ-ɏ0-9]+)*"
 
@@ -70,13 +86,13 @@ def clean_page(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, WIDE, NARROW), "[ \\t]{2,}", " "))
 
 
-def good_abstract(c: Column, least: int = 150, head: int = 200) -> Column:
+def good_abstract(c: Column, least: int = ABSTRACT_LEAST, head: int = ABSTRACT_HEAD) -> Column:
     """Whether a text reads like an abstract: long enough, and no proceedings line, pages or author run in front."""
     c = F.trim(c)
     front = F.substring(c, 1, head)
-    imprint = front.rlike(r"(?i)proceedings of|in proceedings|\bpp?\.? *[0-9]|\bvol\.? *[0-9]|\bisbn\b")
+    imprint = front.rlike(ABSTRACT_IMPRINT)
     names = F.regexp_count(front, F.lit(r"[A-Z][A-Za-z-]+(?: [A-Z][A-Za-z-]*)+[,.]"))
-    return F.coalesce((F.length(c) >= least) & ~imprint & (names < 3), F.lit(False))
+    return F.coalesce((F.length(c) >= least) & ~imprint & (names < ABSTRACT_NAMES), F.lit(False))
 
 
 def tokens(c: Column) -> Column:
@@ -88,21 +104,16 @@ def tokens(c: Column) -> Column:
 
 def reference_type(c: Column) -> Column:
     """Kind of a bibliography line: preprint wording, else the bracketed type code, else the venue's wording."""
-    code = F.upper(F.regexp_extract(c, r"\[ *([JCAMDRPSNZG]|EB|DB|CP) *(?:/ *OL)? *\]", 1))
-    return (
-        F.when(c.rlike(r"(?i)arxiv|preprint"), "preprint")
-        .when(code == "J", "journal").when(code.isin("C", "A"), "conference").when(code.isin("M", "G"), "book")
-        .when(code == "D", "thesis").when(code.isin("EB", "DB", "CP"), "web").when(code != "", "other")
-        .when(c.rlike(r"(?i)proceedings|conference|workshop|symposium|会议|论文集"), "conference")
-        .when(c.rlike(r"(?i)journal|transactions|\bvol\.|[0-9]+ *\( *[0-9]+ *\) *[:：]|学报|期刊"), "journal")
-        .when(c.rlike(r"https?://"), "web").otherwise("other")
-    )
+    code = F.upper(F.regexp_extract(c, rf"\[ *({'|'.join(sorted([*TYPE_CODES, *OTHER_CODES], key=len, reverse=True))}) *(?:/ *OL)? *\]", 1))
+    coded = F.create_map(*(F.lit(x) for pair in TYPE_CODES.items() for x in pair))[code]
+    worded = F.when(c.rlike(CONFERENCE_WORDS), "conference").when(c.rlike(JOURNAL_WORDS), "journal").when(c.rlike(r"https?://"), "web").otherwise("other")
+    return F.when(c.rlike(PREPRINT_WORDS), "preprint").when(code != "", F.coalesce(coded, F.lit("other"))).otherwise(worded)
 
 
 def grey_literature(raw: Column, venue: Column, doi: Column) -> Column:
     """Reports, web pages, data sets and software, and entries with neither venue nor DOI."""
     text = F.concat_ws(" ", raw, venue)
-    worded = text.rlike(r"(?i)technical report|white *paper|\bblog\b|github|https?://|www\.|\bdataset\b|accessed|retrieved from|unpublished|\bmanuscript\b|\btutorial\b|\bsoftware\b|\btoolkit\b")
+    worded = text.rlike(GREY_WORDS)
     return F.coalesce(worded, F.lit(False)) | ((F.trim(F.coalesce(venue, F.lit(""))) == "") & doi.isNull())
 
 
@@ -129,16 +140,16 @@ def table_fragment(c: Column, whole: bool = False) -> Column:
     compact = F.regexp_replace(c, r"\s+", "")
     n = F.length(compact)
     digits, colons = F.regexp_count(compact, F.lit("[0-9]")), F.regexp_count(compact, F.lit("[:：∶]"))
-    dense = (digits >= 0.08 * n) & (colons >= 0.015 * n)
+    dense = (digits >= TABLE_SHARES["digits"] * n) & (colons >= TABLE_SHARES["colons"] * n)
     if whole:
-        return F.coalesce((n >= 500) & (colons >= 10) & dense & ~c.rlike(r"[。．！？!?]|\.(?:\s|$)"), F.lit(False))
-    return F.coalesce((n >= 40) & (digits >= 12) & (colons >= 3) & dense, F.lit(False))
+        return F.coalesce((n >= FLATTENED["characters"]) & (colons >= FLATTENED["colons"]) & dense & ~c.rlike(r"[。．！？!?]|\.(?:\s|$)"), F.lit(False))
+    return F.coalesce((n >= FRAGMENT["characters"]) & (digits >= FRAGMENT["digits"]) & (colons >= FRAGMENT["colons"]) & dense, F.lit(False))
 
 
 def too_short(c: Column) -> Column:
     """Whether a claim says too little to check: under 8 Han characters or, where words prevail, under 4 words."""
     han, words = han_characters(c), F.coalesce(F.regexp_count(c, F.lit("[A-Za-z0-9]+")), F.lit(0))
-    return F.when((han > 0) & (han >= words), han < 8).otherwise(words < 4)
+    return F.when((han > 0) & (han >= words), han < CLAIM_HAN).otherwise(words < CLAIM_WORDS)
 
 
 def own_contribution(c: Column) -> Column:
@@ -146,7 +157,7 @@ def own_contribution(c: Column) -> Column:
     return F.coalesce(c.rlike(r"(?i)\b(?:we|our|this (?:paper|study|work|chapter|article)|in this paper|the present study)\b|本文|我们|本研究|本章"), F.lit(False))
 
 
-def id_year(c: Column, pivot: int = 91) -> Column:
+def id_year(c: Column, pivot: int = CENTURY_PIVOT) -> Column:
     """The year in an identifier like 'pb:1407.47185' (two digits of the year, two of the month)."""
     yy = F.regexp_extract(c, r"([0-9]{2})[0-9]{2}[.]", 1)
     return F.when(yy != "", F.when(yy.try_cast("bigint") >= pivot, 1900 + yy.try_cast("bigint")).otherwise(2000 + yy.try_cast("bigint")))
@@ -178,14 +189,14 @@ def common_words(a: Column, b: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("bigint")
 
 
-def title_prefix(a: Column, b: Column, least: int = 4) -> Column:
+def title_prefix(a: Column, b: Column, least: int = PREFIX_WORDS) -> Column:
     """Whether one title is the other's leading words, at least `least`, the other going on."""
     n = lambda c: F.size(F.split(F.trim(ascii_lower(c)), r"\s+"))
     k = common_words(a, b)
     return F.coalesce((k >= least) & (k == F.least(n(a), n(b))) & (n(a) != n(b)), F.lit(False))
 
 
-def title_head(a: Column, b: Column, least: int = 6, share: float = 0.6) -> Column:
+def title_head(a: Column, b: Column, least: int = HEAD_WORDS, share: float = HEAD_SHARE) -> Column:
     """Whether two titles share `least` leading words and `share` of the shorter one."""
     n = lambda c: F.size(F.split(F.trim(ascii_lower(c)), r"\s+"))
     k = common_words(a, b)
