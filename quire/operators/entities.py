@@ -1,4 +1,4 @@
-"""Entries against external records: blocking, likeness, field agreement, status, assignment one to one, author-year links."""
+"""Entries against external records: likeness, field agreement, status, assignment one to one, author-year links."""
 
 from __future__ import annotations
 
@@ -7,19 +7,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.fuzzy import plain_udf, ratio_udf, sorted_ratio_udf, surname_udf
-from quire.functions.text import ascii_lower, squash, title_head, title_prefix, year_only_difference
+from quire.functions.text import HEAD_WORDS, PREFIX_WORDS, ascii_lower, title_head, title_prefix, year_only_difference
+from quire.operators.alike import alike, arranged_udf
 
 
-def blocks(df: DataFrame, key: str, title: Column, doi: Column, first: Column, year: Column) -> DataFrame:
-    """key, block: the keys by which a row meets others: its DOI, the start and end of its title key, first author and year."""
-    t = squash(title)
-    made = F.array(
-        F.when(doi.isNotNull(), F.concat(F.lit("d"), ascii_lower(F.regexp_extract(doi, r"10\..*", 0)))),
-        F.when(F.length(t) >= 12, F.concat(F.lit("s"), F.left(t, F.lit(12)), F.right(t, F.lit(8)))),
-        F.when(F.length(t) >= 12, F.concat(F.lit("t"), F.left(t, F.lit(24)))),
-        F.when(first.isNotNull() & year.isNotNull(), F.concat(F.lit("a"), squash(first), year.cast("string"))),
-    )
-    return df.select(key, F.explode(F.array_distinct(F.array_compact(made))).alias("block"))
+def heads(df: DataFrame, key: str, title: Column, side: str) -> DataFrame:
+    """key, block: two titles share a block if they share as many leading words as title_head asks for, or if one is the other's beginning.
+
+    side: "l" or "r"; a whole title of one side meets the beginnings of the other's.
+    """
+    w = F.split(F.trim(ascii_lower(title)), r"\s+")
+    first = lambda n: F.array_join(F.slice(w, 1, n), " ")
+    other = {"l": "r", "r": "l"}[side]
+    begun = F.when(F.size(w) > PREFIX_WORDS, F.transform(F.sequence(F.lit(PREFIX_WORDS), F.size(w) - 1), lambda n: F.concat(F.lit(other), first(n))))
+    made = F.concat(F.array(F.when(F.size(w) >= HEAD_WORDS, F.concat(F.lit("h"), first(F.lit(HEAD_WORDS)))), F.when(F.size(w) >= PREFIX_WORDS, F.concat(F.lit(side), first(F.size(w))))), F.coalesce(begun, F.array().cast("array<string>")))
+    return df.where(title.isNotNull()).select(key, F.explode(F.array_compact(made)).alias("block"))
+
+
+def likely(entries: DataFrame, records: DataFrame, least: float) -> DataFrame:
+    """ref_id, record_id: all pairs whose titles, or title and main title, are alike by `least`, and all that share a head."""
+    a = entries.select("ref_id", arranged_udf("title").alias("a"))
+    b = records.select("record_id", F.explode(F.array("title", F.coalesce("main_title", "title"))).alias("t")).select("record_id", arranged_udf("t").alias("b")).distinct()
+    near = a.join(alike(a, b, least), "a").join(b, "b").select("ref_id", "record_id")
+    begun = heads(entries, "ref_id", F.col("title"), "l").join(heads(records, "record_id", F.col("title"), "r"), "block").select("ref_id", "record_id")
+    return near.unionByName(begun).distinct()
 
 
 def candidates(entries: DataFrame, records: DataFrame, *, least: float = 92.0) -> DataFrame:
@@ -31,9 +42,7 @@ def candidates(entries: DataFrame, records: DataFrame, *, least: float = 92.0) -
     """
     e = entries.withColumn("first", surname_udf(F.get("authors", F.lit(0))))
     r = records.withColumn("first", surname_udf(F.get("authors", F.lit(0))))
-    left = blocks(e, "ref_id", F.col("title"), F.col("doi"), F.col("first"), F.col("year"))
-    right = blocks(r, "record_id", F.col("title"), F.col("doi"), F.col("first"), F.col("year"))
-    pairs = left.join(right, "block").select("ref_id", "record_id").distinct()
+    pairs = likely(entries, records, least)
     a = e.select("ref_id", F.col("title").alias("ta"), F.col("first").alias("fa"), F.col("year").alias("ya"), F.lower("doi").alias("da"))
     b = r.select("record_id", F.col("title").alias("tb"), F.col("main_title").alias("mb"), F.col("first").alias("fb"), F.col("year").alias("yb"), F.col("alt_year").alias("zb"), F.lower("doi").alias("db"), F.col("arxiv_id").isNotNull().alias("preprint"))
     p = pairs.join(a, "ref_id").join(b, "record_id")
