@@ -7,9 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.fuzzy import plain_udf, sorted_ratio_udf
+from quire.functions.fuzzy import plain_udf
 from quire.functions.references import parse_reference_udf
 from quire.operators import intervals as I
+from quire.operators.alike import alike, arranged_udf
 from quire.operators.evidence import locate_udf
 from quire.operators.retrieval import top
 from quire.plans.joins import _KEY, PARAS, SENT, marker_spans, paragraphs, spans
@@ -62,13 +63,15 @@ def tagged_sentences(spark, folder):
 
 
 def gray_zone(spark, folder):
-    """For each entry the three likest record titles from 70 on, titles told apart by their key; records meet by title start or end."""
-    r = refs(spark, folder).where("title IS NOT NULL").select("ref_id", T.squash(c("title")).alias("k"), plain_udf("title").alias("t")).where("length(k) >= 8")
-    d = records(spark, folder).where("title IS NOT NULL").select(T.squash(c("title")).alias("key"), plain_udf("title").alias("u")).where("length(key) >= 8").groupBy("key").agg(F.min("u").alias("u"))
-    ends = lambda k: F.explode(F.array(F.concat(F.lit("s"), F.left(k, F.lit(14))), F.concat(F.lit("e"), F.right(k, F.lit(10)))))
-    p = r.select("ref_id", "t", ends(c("k")).alias("b")).join(d.select("key", "u", ends(c("key")).alias("b")), "b").select("ref_id", "t", "key", "u").distinct()
-    s = p.withColumn("score", F.round(sorted_ratio_udf("t", "u"), 4)).where("score >= 70")
-    return top(s, "ref_id", [F.desc("score"), c("key")], 3).select("ref_id", "key", "score", long("rank"))
+    """For each entry the three likest record titles from 70 on, titles told apart by their key; all titles are compared.
+
+    A title without a letter of the key's (one in another script) is told apart by its words.
+    """
+    r = refs(spark, folder).where("title IS NOT NULL").select("ref_id", arranged_udf("title").alias("a")).where("a <> ''")
+    d = records(spark, folder).where("title IS NOT NULL").select(T.squash(c("title")).alias("key"), plain_udf("title").alias("u")).select(F.coalesce(F.nullif("key", F.lit("")), "u").alias("key"), "u").where("u <> ''").groupBy("key").agg(F.min("u").alias("u")).select("key", arranged_udf("u").alias("b"))
+    s = alike(r, d, 70.0).join(d, "b").select("a", "key", F.round("score", 4).alias("score"))
+    best = top(s, "a", [F.desc("score"), c("key")], 3)
+    return r.join(best, "a").select("ref_id", "key", "score", long("rank"))
 
 
 def content_duplicates(spark, folder):

@@ -66,3 +66,36 @@ def test_queries_whole(spark, folder, monkeypatch, name):
     got = checks.QUERIES[name](spark, folder).collect()
     monkeypatch.setattr(entities, "likely", lambda e, r, least: e.select("ref_id").crossJoin(r.select("record_id")))
     assert sorted(map(str, got)) == sorted(map(str, checks.QUERIES[name](spark, folder).collect()))
+
+
+@have
+def test_gray_zone_whole(spark, folder):
+    """The three likest titles of each entry by brute force, where neither start nor end of the key is the same."""
+    from quire.functions.text import squash
+    from quire.plans import more
+    from quire.plans.text import records, refs
+
+    asked = [(r.ref_id, plain(r.title)) for r in refs(spark, folder).where("title IS NOT NULL").collect()]
+    known: dict = {}
+    for r in records(spark, folder).where("title IS NOT NULL").select("title", squash(F.col("title")).alias("k")).collect():
+        known.setdefault(r.k or plain(r.title), []).append(plain(r.title))
+    want = set()
+    for ref, t in asked:
+        scored = sorted((-round(s, 4), k) for k, us in known.items() if (s := sorted_ratio(t, min(us))) >= 70 and t and min(us))
+        want |= {(ref, k, -s, i) for i, (s, k) in enumerate(scored[:3], 1)}
+    assert {tuple(r) for r in more.gray_zone(spark, folder).select("ref_id", "key", "score", "rank").collect()} == want
+
+
+@have
+def test_gray_zone_short(spark, tmp_path):
+    """Short titles, and titles in other scripts, are compared as well."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quire.plans import more
+
+    for name, titles in (("reference_entries", ["土壤水分", "Почвенная влага"]), ("candidate_records", ["土壤水份", "Почвенная влага.", "Иное"])):
+        t = pq.read_table(f"{SMALL}/{name}.parquet").slice(0, len(titles))
+        rows = [r | {"title": x, "ref_id": x, "record_id": i} for i, (r, x) in enumerate(zip(t.to_pylist(), titles))]
+        pq.write_table(pa.Table.from_pylist(rows, schema=t.schema), tmp_path / f"{name}.parquet")
+    assert sorted(map(tuple, more.gray_zone(spark, str(tmp_path)).collect())) == [("Почвенная влага", "почвенная влага", 100.0, 1), ("土壤水分", "土壤水份", 75.0, 1)]
