@@ -103,29 +103,38 @@ def block_pairs(left: list[str], right: list[str], least: float) -> Iterator[pd.
         yield pd.DataFrame({"a": names[0][x[hit]], "b": names[1][y[hit]], "score": score[hit]})
 
 
-def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+def alike(left: DataFrame, right: DataFrame, least: float, by: str | None = None) -> DataFrame:
     """a, b, score: all pairs of the distinct strings `a` of left and `b` of right whose ratio is `least` or more.
 
     No pair is lost: a ratio of t needs lengths within t / (200 - t) of each other, and at least as many letters in common
     as the subsequence has. Strings are cut into bands of length and blocks of BLOCK; only blocks whose lengths can fit
-    meet, each pair of them in one group.
+    meet, each pair of them in one group. by: a column of both sides; only strings of the same group are compared, and the
+    result bears it as well. A group is not cut by length.
     """
+    keys = [by] if by else []
 
     def blocked(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        df = df.where(F.col(name).isNotNull()).select(name).distinct().withColumn("n", F.length(name)).withColumn("band", F.floor(F.log(F.col("n") + 1) / F.log(F.lit(STEP))))
-        sizes = df.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))  # at most one row a band
-        df = df.join(F.broadcast(sizes), "band").withColumn("part", F.pmod(F.xxhash64(name), "parts")).select(name, "n", F.concat_ws("/", "band", "part").alias(f"block_{name}"))
-        return df.select(name, f"block_{name}"), df.groupBy(f"block_{name}").agg(F.min("n").alias(f"low_{name}"), F.max("n").alias(f"high_{name}"))
+        band = F.lit(0) if by else F.floor(F.log(F.length(name) + 1) / F.log(F.lit(STEP)))
+        df = df.where(F.col(name).isNotNull()).select(*keys, name).distinct().withColumn("n", F.length(name)).withColumn("band", band)
+        sizes = df.groupBy(*keys, "band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+        df = df.join(sizes if by else F.broadcast(sizes), [*keys, "band"]).withColumn("part", F.pmod(F.xxhash64(name), "parts"))  # without by one row a band
+        df = df.select(*keys, name, "n", F.concat_ws("/", "band", "part").alias(f"block_{name}"))
+        return df.select(*keys, name, f"block_{name}"), df.groupBy(*keys, f"block_{name}").agg(F.min("n").alias(f"low_{name}"), F.max("n").alias(f"high_{name}"))
 
     (a, at), (b, bt) = blocked(left, "a"), blocked(right, "b")
     share = least / (200.0 - least)
     fits = (F.col("high_b") >= share * F.col("low_a") - 1e-6) & (F.col("high_a") >= share * F.col("low_b") - 1e-6)
-    meet = at.crossJoin(bt).where(fits).select("block_a", "block_b")  # one row a pair of blocks
-    pair = F.concat_ws("|", "block_a", "block_b").alias("pair")
-    sides = spread(a.join(meet, "block_a").select("a", pair), "pair"), spread(b.join(meet, "block_b").select("b", pair), "pair")
+    meet = (at.join(bt, by) if by else at.crossJoin(bt)).where(fits).select(*keys, "block_a", "block_b")  # one row a pair of blocks
+    pair = F.concat_ws("|", "block_a", "block_b", *keys).alias("pair")
+    sides = spread(a.join(meet, [*keys, "block_a"]).select("a", pair, *(F.concat(k).alias("group") for k in keys)), "pair"), spread(b.join(meet, [*keys, "block_b"]).select("b", pair), "pair")
+    kind = [f"group {left.schema[by].dataType.simpleString()}"] if by else []
 
     def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         got = list(block_pairs(x["a"].tolist(), y["b"].tolist(), least)) if len(x) and len(y) else []
-        return pd.concat(got) if got else pd.DataFrame({"a": pd.Series(dtype=str), "b": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
+        got = pd.concat(got) if got else pd.DataFrame({"a": pd.Series(dtype=str), "b": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
+        if by:
+            got.insert(0, "group", x["group"].iloc[0] if len(x) else None)
+        return got
 
-    return sides[0].groupBy("pair").cogroup(sides[1].groupBy("pair")).applyInPandas(score, "a string, b string, score double")
+    out = sides[0].groupBy("pair").cogroup(sides[1].groupBy("pair")).applyInPandas(score, ", ".join([*kind, "a string, b string, score double"]))
+    return out.withColumnRenamed("group", by) if by else out

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.fuzzy import conflict_udf, plain_udf, ratio_udf, sorted_ratio_udf, surname_udf
+from quire.functions.fuzzy import conflict_udf, plain_udf, ratio_udf, surname_udf
 from quire.operators import entities as E
 from quire.operators import intervals as I
+from quire.operators.alike import alike, arranged_udf
 from quire.plans.joins import PARAS, SECTIONS, SENT, _RESOLVED, marker_spans, markers, paragraphs, resolve_markers, sections
-from quire.plans.retrieval import marker_clusters
+from quire.plans.retrieval import first_appearance, list_order, marker_clusters
 from quire.plans.retrieval import SQL as RETRIEVAL_SQL
 from quire.plans.stats import SQL as STATS_SQL
 from quire.plans.stats import _TYPED, section_bands
 from quire.plans.text import MARKERS, REFS, records, refs
-from quire.session import table
+from quire.session import cut, table
 
 c = F.col
 
@@ -54,13 +56,13 @@ def author_year_links(spark, folder):
 def near_duplicate_entries(spark, folder):
     """Later entries of a manuscript whose title is 95 like and whose whole line is 75 like an earlier one's; the first is named.
 
-    Entries meet by the start of their title key within their manuscript, so lists are not paired all with all.
+    All titles of a manuscript are compared.
     """
-    e = refs(spark, folder).where("raw IS NOT NULL").select("doc_id", "ref_id", "pos", plain_udf("title").alias("t"), plain_udf("raw").alias("w"), T.squash(c("title")).alias("k")).where("length(k) >= 8")
-    keyed = e.select("*", F.explode(F.array(F.left("k", F.lit(8)), F.concat(F.lit("~"), F.right("k", F.lit(8))))).alias("b"))
-    a, b = (keyed.select("doc_id", "b", *(c(x).alias(f"{x}_{i}") for x in ("ref_id", "pos", "t", "w"))) for i in (1, 2))
-    p = a.join(b, ["doc_id", "b"]).where("pos_1 < pos_2 OR pos_1 = pos_2 AND ref_id_1 < ref_id_2").drop("b").distinct()
-    like = p.where((sorted_ratio_udf("t_1", "t_2") >= 95) & (ratio_udf("w_1", "w_2") >= 75))
+    e = cut(refs(spark, folder).where("raw IS NOT NULL").select("doc_id", "ref_id", "pos", arranged_udf("title").alias("t"), plain_udf("raw").alias("w")).where("t <> ''"))
+    near = alike(e.select("doc_id", c("t").alias("a")), e.select("doc_id", c("t").alias("b")), 95.0, by="doc_id").select("doc_id", c("a").alias("t_1"), c("b").alias("t_2"))
+    a, b = (e.select("doc_id", *(c(x).alias(f"{x}_{i}") for x in ("ref_id", "pos", "t", "w"))) for i in (1, 2))
+    p = near.join(a, ["doc_id", "t_1"]).join(b, ["doc_id", "t_2"]).where("pos_1 < pos_2 OR pos_1 = pos_2 AND ref_id_1 < ref_id_2")
+    like = p.where(ratio_udf("w_1", "w_2") >= 75)
     return like.groupBy(c("ref_id_2").alias("ref_id")).agg(F.min_by("ref_id_1", F.struct("pos_1", "ref_id_1")).alias("first_ref"))
 
 
@@ -104,7 +106,7 @@ def uncited_statements(spark, folder):
 
 
 def findings(spark, folder):
-    """All set-based rules as one table: rule, manuscript, item; counted per rule and manuscript."""
+    """The rules that SQL expresses as one table, counted per rule and manuscript; all_findings has the others as well."""
     e, m = refs(spark, folder), markers(spark, folder)
     cited = m.select(F.explode("ref_ids").alias("ref_id")).distinct()
     lit = F.lit
@@ -127,13 +129,45 @@ def findings(spark, folder):
     return out.groupBy("rule", "doc_id").agg(F.countDistinct("item_id").alias("n"))
 
 
-def findings_grouped(spark, folder):
-    """Rules that several items of a manuscript break, folded into one line."""
-    g = findings(spark, folder)
+def all_findings(spark, folder):
+    """findings with duplicate entries, lists out of order, bare medium tags and missing volumes; no SQL: likeness of titles.
+
+    A list that a reference manager keeps must follow the first citations of its entries; one that is cited by author and
+    year alone must be sorted by them.
+    """
+    e, lit = cut(refs(spark, folder)), F.lit
+    kinds = markers(spark, folder).where("kind IS NOT NULL").groupBy("doc_id").agg(F.bool_or(c("kind") == "zotero").alias("managed"), F.bool_and(c("kind") == "author_year").alias("dated"))
+    cited = e.where("origin = 'list'").select("doc_id", "ref_id", "pos").join(first_appearance(spark, folder).select("doc_id", "ref_id", c("rank").alias("seen")), ["doc_id", "ref_id"])
+    moved = cited.withColumn("before", F.lag("seen").over(Window.partitionBy("doc_id").orderBy("pos", "ref_id"))).where("seen < before").select("doc_id").distinct()
+    tag = r"\[(?:[JMDPCRNSZOAG]|EB|DB|CP|DS)(?:/[A-Z]{1,2})?\]"
+    rows = [
+        cut(near_duplicate_entries(spark, folder)).join(e.select("ref_id", "doc_id"), "ref_id").select(lit("duplicate_entry").alias("rule"), "doc_id", c("ref_id").alias("item_id")),
+        moved.join(kinds.where("managed"), "doc_id").select(lit("managed_list_order").alias("rule"), "doc_id", c("doc_id").alias("item_id")),
+        list_order(spark, folder).where("n_breaks > 0").join(kinds.where("dated"), "doc_id").select(lit("unsorted_list").alias("rule"), "doc_id", c("doc_id").alias("item_id")),
+        e.where(c("raw").rlike(r"\[\s*OL\s*\]") & ~c("raw").rlike(tag)).select(lit("bare_medium_tag").alias("rule"), "doc_id", c("ref_id").alias("item_id")),
+        e.where((c("origin") == "list") & c("raw").rlike(r"[\[［]\s*J\s*[\]］]") & ~c("raw").rlike(r"(?:19|20)[0-9]{2}\s*[,，]\s*(?:[0-9]+|[(（]\s*[0-9]+)|[0-9]+\s*[(（]\s*[0-9S]")).select(lit("missing_volume").alias("rule"), "doc_id", c("ref_id").alias("item_id")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return cut(findings(spark, folder)).unionByName(out.groupBy("rule", "doc_id").agg(F.countDistinct("item_id").alias("n")))
+
+
+def folded(g):
     return g.groupBy("rule").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_items"), F.count_if(c("n") >= 2).alias("n_folded"))
 
 
-QUERIES = {f.__name__: f for f in (entry_candidates, reference_status, entry_assignment, sibling_attributes, author_year_links, near_duplicate_entries, venue_matches, attribution_mismatches, number_conflicts, uncited_statements, findings, findings_grouped)}
+def findings_grouped(spark, folder):
+    """Rules that several items of a manuscript break, folded into one line; of those that SQL expresses."""
+    return folded(findings(spark, folder))
+
+
+def all_findings_grouped(spark, folder):
+    """findings_grouped over all rules; no SQL, as all_findings."""
+    return folded(all_findings(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (entry_candidates, reference_status, entry_assignment, sibling_attributes, author_year_links, near_duplicate_entries, venue_matches, attribution_mismatches, number_conflicts, uncited_statements, findings, findings_grouped, all_findings, all_findings_grouped)}
 
 _CUES = "(?i)\\b(?:earlier|previous|prior) (?:work|studies|research)\\b|已有的研究|先行研究|la recherche antérieure|la investigación previa"
 _OWN = "(?i)\\b(?:we|our|this (?:paper|study|work|chapter|article)|in this paper|the present study)\\b|本文|我们|本研究|本章"

@@ -99,3 +99,47 @@ def test_gray_zone_short(spark, tmp_path):
         rows = [r | {"title": x, "ref_id": x, "record_id": i} for i, (r, x) in enumerate(zip(t.to_pylist(), titles))]
         pq.write_table(pa.Table.from_pylist(rows, schema=t.schema), tmp_path / f"{name}.parquet")
     assert sorted(map(tuple, more.gray_zone(spark, str(tmp_path)).collect())) == [("Почвенная влага", "почвенная влага", 100.0, 1), ("土壤水分", "土壤水份", 75.0, 1)]
+
+
+@have
+def test_all_findings(spark, tmp_path):
+    """Duplicates, lists out of order, bare medium tags and missing volumes are findings, beside those that SQL has."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name in os.listdir(SMALL):
+        pq.write_table(pq.read_table(f"{SMALL}/{name}").slice(0, 0), tmp_path / name)
+    entry = lambda ref, doc, pos, title, raw, author: {"ref_id": ref, "doc_id": doc, "pos": pos, "title": title, "raw": raw, "authors": [author], "year": 2020, "origin": "list"}
+    long_title = "Sensor drift in coastal observation networks of the north"
+    entries = [
+        entry("a1", "d1", 1, long_title, f"Zed, Z. {long_title}[J]. Tides, 2020, 3(1): 1-9.", "Zed, Z."),
+        entry("a2", "d1", 2, "Qe" + long_title[2:-2] + "qh", f"Zed, Z. Qe{long_title[2:-2]}qh[J]. Tides: 1-9.", "Ace, Z."),
+        entry("a3", "d1", 3, "土壤水分", "土壤水分[OL].", "Zoe, Z."),
+        entry("b1", "d2", 1, "One", "One", "Ann"), entry("b2", "d2", 2, "Two", "Two", "Bea"),
+    ]
+    marker = lambda i, doc, kind, start, ids: {"doc_id": doc, "marker_id": i, "para_id": f"p{doc}", "start_pos": start, "end_pos": start + 1, "raw": "x", "kind": kind, "ref_ids": ids}
+    cited = [marker("m1", "d1", "author_year", 0, ["a1"]), marker("m2", "d2", "zotero", 0, ["b2"]), marker("m3", "d2", "zotero", 3, ["b1"])]
+    paras = [{"para_id": f"p{d}", "doc_id": d, "para_ix": 0, "text": "abcdef", "is_caption": False} for d in ("d1", "d2")]
+    for name, rows in (("reference_entries", entries), ("markers", cited), ("paragraphs", paras)):
+        schema = pq.read_schema(f"{SMALL}/{name}.parquet")
+        pq.write_table(pa.Table.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema), tmp_path / f"{name}.parquet")
+    got = {(r.rule, r.doc_id, r.n) for r in checks.all_findings(spark, str(tmp_path)).collect()}
+    new = {("duplicate_entry", "d1", 1), ("managed_list_order", "d2", 1), ("unsorted_list", "d1", 1), ("bare_medium_tag", "d1", 1), ("missing_volume", "d1", 1)}
+    assert got == new | {(r.rule, r.doc_id, r.n) for r in checks.findings(spark, str(tmp_path)).collect()}
+    assert {r.ref_id for r in checks.near_duplicate_entries(spark, str(tmp_path)).collect()} == {"a2"}
+
+
+@have
+def test_near_duplicates_whole(spark, folder):
+    """Against all pairs of entries of a manuscript."""
+    from quire.plans.text import refs
+
+    lists: dict = {}
+    for r in refs(spark, folder).where("raw IS NOT NULL AND title IS NOT NULL").orderBy("pos", "ref_id").collect():
+        lists.setdefault(r.doc_id, []).append((r.ref_id, plain(r.title), plain(r.raw)))
+    want = {}
+    for es in lists.values():
+        for j, (ref, t, w) in enumerate(es):
+            first = next((p for p, u, v in es[:j] if t and u and sorted_ratio(u, t) >= 95 and ratio(v, w) >= 75), None)
+            want |= {ref: first} if first else {}
+    assert {r.ref_id: r.first_ref for r in checks.near_duplicate_entries(spark, folder).collect()} == want
