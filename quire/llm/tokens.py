@@ -8,6 +8,7 @@ import os
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.transducer import Transducer, compile_words
-from quire.session import busy, shared_folder
+from quire.session import busy, cut, largest, shared_folder
 
 VOCABULARY = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: how byte-level BPE of this vocabulary cuts text into words.
@@ -46,23 +47,30 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one word: join the adjacent pair of lowest rank, leftmost first, until no pair is in the vocabulary."""
     if word in ranks:
         return [ranks[word]]
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if rank == 1 << 60:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    whole = [True] * n  # whether a part begins here
+    queue = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapify(queue)
+    while queue:
+        _, i, j, end = heappop(queue)
+        if not whole[i] or after[i] != j or j >= n or not whole[j] or after[j] != end:
+            continue  # one of the two has been joined since
+        whole[j], after[i] = False, end
+        if end < n:
+            before[end] = i
+            if (r := ranks.get(word[i : after[end]])) is not None:
+                heappush(queue, (r, i, end, after[end]))
+        if before[i] >= 0 and (r := ranks.get(word[before[i] : end])) is not None:
+            heappush(queue, (r, before[i], i, end))
+    return [ranks[word[i : after[i]]] for i in range(n) if whole[i]]
 
 
 @lru_cache(2)
 def merger(path: str):
-    """merge for the vocabulary at path, by tiktoken's merge loop, which a long word doesn't slow down."""
-    import tiktoken
-
+    """merge for the vocabulary at path."""
     ranks = ranks_of(path)
-    coder = tiktoken.Encoding("lexicon", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens={})
-    return coder._encode_single_piece if hasattr(coder, "_encode_single_piece") else lambda w: merge(w, ranks)
+    return lambda word: merge(word, ranks)
 
 
 def count_words(texts: DataFrame, column: str = "text", flush: int = 300_000) -> DataFrame:
@@ -91,7 +99,7 @@ def lexicon(texts: DataFrame, vocabulary: str, column: str = "text", words: int
     Returns the path of the file in the shared folder, or, where that is no file system path, the bytes themselves, whose
     size the bound on words limits.
     """
-    top = count_words(texts, column).where(F.length("word") <= 48).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    top = largest(cut(count_words(texts, column).where(F.length("word") <= 48)), "n", words).select("word").collect()
     encode = merger(vocabulary)
     data = compile_words([(w, encode(w)) for w in sorted(bytes(r.word) for r in top)])
     folder = shared_folder(texts.sparkSession)
