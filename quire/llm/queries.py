@@ -72,11 +72,18 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return p7_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
+def p7_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that follow an item's template with other numbers, names and units in its slots: re-parameterised items."""
+    from quire.llm.leakage import leaks
+
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), mode="template")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.reading import reading_levels
 
     return reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_scored": p2_scored, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_scored": p2_scored, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p7_templates": p7_templates, "p8_found": p8_found}
 SQL: dict[str, str] = {}

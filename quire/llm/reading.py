@@ -103,7 +103,7 @@ class Formula:
         return out.reshape(len(z), -1)
 
     @classmethod
-    def fit(cls, language: np.ndarray, x: np.ndarray, votes: np.ndarray, n: int, rounds: int = 1500, decay: float = 1e-3) -> Formula:
+    def fit(cls, language: np.ndarray, x: np.ndarray, votes: np.ndarray, n: int, rounds: int = 1500, decay: float = 3e-4) -> Formula:
         """A multinomial logistic fit to votes (a row per text, a column per level) by accelerated gradient steps."""
         mean, spread = x.mean(0), x.std(0)
         mean[-1], spread[-1] = 0, 1

@@ -231,6 +231,43 @@ def test_leaks(spark):
     assert leakage.leaks(d.where("false"), e).count() == leakage.leaks(d, e.where("false")).count() == 0
 
 
+def test_leak_places():
+    """A stretch is found wherever it stands in its item and its document, and whatever stands before it."""
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(3000)}" for _ in range(15_000)]
+    net = leakage.Items([(1, " ".join(long))])
+    part = " ".join(long[6000:])
+    for texts in ([part], ["other words first", part], [part, "and after"]):
+        got = net.search(list(range(len(texts))), texts, 0.1, 0.46, 0.82, "held")
+        assert got == [(texts.index(part), 0)]
+    words = "the old survey of river ice near a small town asked every second house how long the winter roads stayed closed and who kept them open".split()
+    items = [(i, " ".join(rng.choice(words) if rng.random() < 0.8 else f"Nam{rng.randrange(10**6)}" for _ in range(120))) for i in range(30)]
+    net = leakage.Items(items)
+    for every in (6, 7, 8):  # of half a passage each sixth word changed, and more
+        found = 0
+        for i, passage in items:
+            some = passage.split()[: 66]
+            some[every - 1 :: every] = ["changed"] * len(some[every - 1 :: every])
+            found += (0, i) in net.search([0], [" ".join(some)], 0.1, 0.46, 0.82 if every > 6 else 0.8, "held")
+        assert found >= 29, every
+    # whatever the bounds drop the alignment would refuse
+    for _ in range(300):
+        i, passage = rng.choice(items)
+        some = [w if rng.random() < rng.choice((0.5, 0.9)) else "x" for w in passage.split()[rng.randrange(60) :]]
+        lit = net.code(some) >> 32
+        got, same, slots = net.stretch(i, lit, -80, 80)
+        if got >= 0.46 and same >= 0.82 and slots >= leakage.SLOTS:
+            assert net.possible(i, lit, -80, 80, 0.46, 0.82)
+
+
+def test_leak_templates(spark):
+    say = lambda name, n, unit: f"In the first trial {name} carried {n} {unit} of wet sand across the yard and then rested for an hour before anyone weighed the load again."
+    items = spark.createDataFrame([("a", say("Torku", 12, "kg"))], "item_id string, passage string")
+    docs = spark.createDataFrame([("same", say("Torku", 12, "kg")), ("filled", say("Welbo", 77, "lbs")), ("none", "In the first trial nothing was carried.")], "doc_id string, text string")
+    assert rows(leakage.leaks(docs, items)) == [("same", "a")]
+    assert rows(leakage.leaks(docs, items, mode="template")) == [("filled", "a")]
+
+
 # 8
 
 
