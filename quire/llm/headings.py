@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,59 +14,12 @@ from pyspark.sql import functions as F
 from quire.llm.lookalike import canonical
 from quire.session import spread
 
-# Other ways to write each entry of the heading list, by its English name.
-OTHER_WORDINGS = {
-    "Introduction": "intro; introd; opening remarks; getting started; einführung; 绪论; 前言; 导论; preliminary remarks; background",
-    "Motivation": "rationale for the study; why this matters; 选题动机; 研究动因; why we did this study",
-    "Research Questions": "questions addressed; what we ask; 待答问题; research question; questions we ask",
-    "Contributions": "our contribution; what this paper adds; 本文贡献; contribution; key contributions",
-    "Related Work": "rel wk; rel work; prior art; prior work; earlier studies; earlier work; previous research; previous work; previous studies; 前人研究; 相关研究; related research; related studies",
-    "Literature Review": "lit review; lit rev; review of published studies; survey of the literature; 文献回顾; 研究综述; review of the literature; literature survey",
-    "Theoretical Framework": "theory and concepts; conceptual underpinnings; 理论框架; theor framework; conceptual framework; theory",
-    "Methodology": "meth; methodol; method; methods; methods used; how the study was done; 方法论; 方法; how we did it; our approach; approach; 研究设计",
-    "Study Area": "field site description; where we worked; 研究区概况; 研究区; study site; field site",
-    "Data Collection": "data coll; gathering the data; how data were obtained; 资料收集; 数据收集; collection of data; data acquisition",
-    "Model Architecture": "model arch; how the model is built; structure of the network; 网络结构; 模型架构; network architecture; network structure",
-    "Statistical Analysis": "stats anal; stat analysis; statistics used; statistical treatment of the data; 统计处理; 统计分析; statistical methods",
-    "Sampling Procedure": "how samples were drawn; selection of samples; 样本选取; 抽样; sampling; sampling proc; sample selection",
-    "Implementation Details": "impl details; notes on the implementation; implementation specifics; 具体实现; implementation",
-    "Experimental Setup": "exp setup; expt set up; setting up the trials; configuration of the experiments; 实验环境; 实验设计; experiment setup; experimental design; experimental configuration",
-    "Results": "reslts; findings; outcomes; what we found; 研究发现; 研究结果; 结果; main findings",
-    "Ablation Study": "ablations; ablation; removing components one by one; 消融分析; 消融研究; ablation experiments",
-    "Baselines": "systems compared; reference systems; 对比方法; baseline; baseline methods; compared systems",
-    "Evaluation Metrics": "eval metrics; performance measures; how we score; 评估标准; 评估指标; metrics; evaluation measures",
-    "Case Study": "a worked example; an illustrative case; 个案分析; 案例分析; case studies; worked example; illustrative case",
-    "Discussion": "disc; discuss; interpretation of findings; interpretation of the findings; what the findings mean; 结果讨论; 讨论与分析",
-    "Limitations": "lims; limits; shortcomings; weaknesses of this study; 不足之处; 研究局限; 研究不足; weaknesses",
-    "Threats to Validity": "what could undermine validity; validity concerns; 有效性威胁; validity threats; threats",
-    "Ethical Considerations": "ethical consid; research ethics; ethics statement; 伦理声明; 研究伦理; ethics; ethical issues",
-    "Conclusion": "conc; concl; conclusions; closing remarks; summing up; concluding thoughts; concluding remarks; 结束语; 结语; 总结; summary and conclusions",
-    "Future Work": "fut work; outlook; next steps; directions for further research; 研究展望; 展望; future research; future directions; further research",
-    "Practical Implications": "pract implications; implications for practice; what practitioners can take away; 实践意义; 实践启示与建议; implications",
-}
-# Headings of parts that the list doesn't hold.
-NO_ENTRY = (
-    "acknowledgments; acknowledgements; danksagung; remerciements; agradecimientos; 致谢; funding; funding statement; keywords; 关键词; "
-    "glossary; nomenclature; abbreviations; index of places; index; appendix; 附录; anhang; annexe; apéndice; data availability; "
-    "conflict of interest; conflicts of interest; competing interests; author contributions; supplementary tables; supplementary material; "
-    "references; bibliography; 参考文献; untitled; todo; tbd; abstract; 摘要; table of contents; contents; section; chapter; preface; 目录"
-)
-# Ways to write the canonical sections.
-SECTIONS = {
-    "intro": "intro; introd; introduction; intro section; 引言; 绪论; 前言; einleitung; introducción",
-    "related": "related; relatd; related work; rel work; rel wk; related works; 相关; 相关工作; 文献综述; literature; prior work; lit review",
-    "method": "method; methods; meth; methd; methodology; 方法; 研究方法; methodik; mthd",
-    "experiment": "experiment; experiments; exp; expt; expts; experimnt; experimental; 实验; 实验结果; results; evaluation; eval",
-    "discussion": "discussion; disc; discusion; discuss; discussions; 讨论; diskussion",
-    "conclusion": "conclusion; conclusions; concl; conc; conclsion; 结论; 结语; summary; closing",
-    "other": "other; othr; others; misc other; misc; miscellaneous; 其他; 其它; sonstiges; otros; autre; etc",
-}
-# What is typed where nothing is meant.
-NO_SECTION = "x; ok; yes; no; to check; see above; tbd; needs title; draft; todo; n a; none; null; unknown; check; check this; pending; see below; title; na"
 # Words that carry no heading's meaning.
 FILLER = set("the a an of and in on for to our this that overview brief study revised der die das des le la les l de du el los las".split())
 CJK = "㐀-鿿豈-﫿"
 NUMBERING = re.compile(rf"^[\s§#*]*(?:第[一二三四五六七八九十百\d]+[章节]|[一二三四五六七八九十]+[、.]|(?:section|chapter|part|kapitel|chapitre|capitulo)\s*\d+\s*[:.]?|\d+(?:\.\d+)*\s*[.):、]?(?=[\s{CJK}]|$)|[a-z]\)|(?:x{0,2}(?:ix|iv|v?i{1,3}|v)|x{1,2})[.)](?=\s|$)|§)\s*")
+#: How like a word of the list a typed word must be to count at all.
+LIKE = 0.55
 SPACED = re.compile(r"(?<!\S)\w(?: \w)+(?!\S)")
 TAIL = re.compile(r"\([^()]*\)\s*$|\s[:：].*$|[:：].*$|\bof the \S+ study\b|\bin brief\b|\band overview\b")
 
@@ -124,7 +78,7 @@ class Matcher:
     """An automaton over the names and other wordings of a list, and token-set similarity for what it finds nothing in."""
 
     def __init__(self, wordings: list[tuple[str, str]], none: str = "none", least: float = 0.7):
-        self.none, self.least, self.seen = none, least, {}
+        self.none, self.least, self.seen, self.near = none, least, {}, {}
         self.net = ahocorasick.Automaton()
         self.names: list[tuple[str, list[str], str]] = []
         for target, wording in wordings:
@@ -138,11 +92,37 @@ class Matcher:
                 self.net.add_word(pattern, (len(pattern), target))
                 self.names.append((target, [w for w in words if w not in FILLER] or words, name.replace(" ", "")))
         self.net.make_automaton()
-        self.grams = [self._grams(joined) for _, _, joined in self.names]
+        self.tokens = sorted({t for _, some, _ in self.names for t in some})
+        self.having: dict[str, list[int]] = {}
+        for i, (_, some, _) in enumerate(self.names):
+            for t in set(some):
+                self.having.setdefault(t, []).append(i)
+        self.token_bags, self.name_bags = self._bags(self.tokens), self._bags([name for _, _, name in self.names])
+        self.token_sizes, self.name_sizes = (np.array(list(map(len, x)), int) for x in (self.tokens, [name for _, _, name in self.names]))
+        self.longest = max([0, *(sum(map(len, some)) for _, some, _ in self.names), *self.name_sizes.tolist()])
 
     @staticmethod
-    def _grams(joined: str) -> set[str]:
-        return {joined[i : i + 2] for i in range(len(joined) - 1)} | {joined[:1] + "^"}
+    def _bags(some: list[str]) -> np.ndarray:
+        """How often each letter occurs, by 64 classes of letters."""
+        out = np.zeros((len(some), 64), np.int16)
+        for i, w in enumerate(some):
+            np.add.at(out[i], np.fromiter(map(ord, w), np.int64, len(w)) % 64, 1)
+        return out
+
+    def like(self, word: str) -> dict[str, float]:
+        """The list's words that are like enough to count. An edit distance is at least the length less the letters both hold."""
+        if (got := self.near.get(word)) is None:
+            if len(self.near) > 100_000:
+                self.near.clear()
+            got = {}
+            if self.tokens:
+                both = np.minimum(self.token_bags, self._bags([word])[0]).sum(1)
+                for i in np.flatnonzero((both >= LIKE * np.maximum(self.token_sizes, len(word))) | (both >= min(len(word), 3))):
+                    t = self.tokens[i]
+                    if (both[i] >= LIKE * max(len(t), len(word)) or t.startswith(word)) and (x := likeness(word, t)) >= LIKE:
+                        got[t] = x
+            self.near[word] = got
+        return got
 
     def mentions(self, words: list[str]) -> list[tuple[int, int, str]]:
         """(length, start, target) of the longest non-overlapping mentions."""
@@ -155,25 +135,33 @@ class Matcher:
         return out
 
     def similar(self, words: list[str]) -> tuple[float, str]:
-        """The likest wording, by the set of words and by the letters without spaces."""
+        """The likest of all wordings, by the set of words and by the letters without spaces.
+
+        Only wordings that can't reach `least` are left unscored: what shares no like word and too few letters, and, for a
+        value of 2.7 times the letters of the longest wording, all of them, as most of its letters stay without a partner.
+        """
         joined = "".join(words)
         own = [w for w in words if w not in FILLER] or words
-        grams, best = self._grams("".join(own)), (0.0, self.none)
-        near = sorted(range(len(self.names)), key=lambda i: -2 * len(grams & self.grams[i]) / (len(grams) + len(self.grams[i])))[:24]
-        for i in near:
-            target, tokens, name = self.names[i]
-            n = max(len(joined), len(name))
-            d = distance(joined, name, n // 3)
-            score = 1 - d / n if d <= max(1, n * 0.3) else 0.0
-            left, gain = list(own), 0.0
-            for t in tokens:
-                if left:
-                    like, w = max((likeness(w, t), w) for w in left)
-                    if like >= 0.55:
-                        gain += like * len(t)
-                        left.remove(w)
-            total = sum(map(len, tokens)) + 0.7 * sum(map(len, left))
-            best = max(best, (max(score, gain / total), target))
+        best = (0.0, self.none)
+        if len(joined) <= 1.5 * self.longest + 1 and len(self.names):
+            most = np.maximum(self.name_sizes, len(joined))
+            both = np.minimum(self.name_bags, self._bags([joined])[0]).sum(1)
+            for i in np.flatnonzero(both >= np.minimum(most - 1, 0.7 * most)):
+                target, _, name = self.names[i]
+                n = max(len(joined), len(name))
+                d = distance(joined, name, n // 3)
+                best = max(best, (1 - d / n if d <= max(1, n * 0.3) else 0.0, target))
+        if sum(map(len, own)) <= 2.7 * self.longest:
+            near = [(w, self.like(w)) for w in own]
+            for i in {i for _, some in near for t in some for i in self.having[t]}:
+                target, tokens, _ = self.names[i]
+                left, gain = list(near), 0.0
+                for t in tokens:
+                    at = max(range(len(left)), key=lambda k: (left[k][1].get(t, 0.0), left[k][0]), default=None)
+                    if at is not None and t in left[at][1]:
+                        gain += left.pop(at)[1][t] * len(t)
+                total = sum(map(len, tokens)) + 0.7 * sum(len(w) for w, _ in left)
+                best = max(best, (gain / total, target))
         return best
 
     def match(self, text: str) -> str:
@@ -192,34 +180,31 @@ class Matcher:
         body = words_of(body_of(text))
         if found := self.mentions(body):
             return found[0][2]
-        if len("".join(words)) > 120:  # no typing error of a heading
-            return self.none
         score, target = max(self.similar(words), self.similar(body))
         return target if score >= self.least else self.none
 
 
-def split(some: str) -> list[str]:
-    return [x.strip() for x in some.split(";")]
-
-
-def matchers(catalog: list[tuple[str, str, str, list[str] | None]]) -> tuple[Matcher, Matcher]:
+def matchers(catalog: list[tuple[str, str, str, list[str] | None]], headings: dict[str, list[str]], labels: dict[str, list[str]]) -> tuple[Matcher, Matcher]:
     """For headings and for section labels. catalog: entry_code, canonical, name, other_names."""
-    titles, labels = [], [(k, x) for k, some in SECTIONS.items() for x in split(some)] + [("none", x) for x in split(NO_SECTION)]
+    titles, sections = [], [(k, x) for k, some in labels.items() for x in [*([k] if k != "none" else []), *some]]
     for code, section, name, others in catalog:
-        mine = [name, *(others or []), *split(OTHER_WORDINGS.get(name, ""))]
-        titles += [(code, x) for x in mine if x]
-        labels += [(section, x) for x in [name, *(others or [])] if x]
-    titles += [("none", x) for x in split(NO_ENTRY)]
-    return Matcher(titles), Matcher(labels)
+        mine = [name, *(others or [])]
+        titles += [(code, x) for x in [*mine, *headings.get(name, [])] if x]
+        sections += [(section, x) for x in mine if x]
+    titles += [("none", x) for x in headings.get("none", [])]
+    sections += [(k, k) for k in dict.fromkeys(section for _, section, _, _ in catalog) if k]
+    return Matcher(titles), Matcher(sections)
 
 
-def map_headings(sections: DataFrame, catalog: DataFrame, *, most_entries: int = 10_000) -> DataFrame:
+def map_headings(sections: DataFrame, catalog: DataFrame, *, headings: dict[str, list[str]] | None = None, labels: dict[str, list[str]] | None = None, most_entries: int = 10_000) -> DataFrame:
     """section_id, field_name, target: what each non-blank title and canonical means, 'none' where it means no entry.
 
     Names, names in other languages and other wordings form one automaton; the longest mention that overlaps no longer
-    one wins, the first of equal ones. A value without mention goes to the likest wording by token-set similarity, if it is
-    like enough. Null and blank values give no row, repeated rows count once, values of any length are searched whole. The
-    list is collected: more than most_entries entries are refused. An empty list maps titles to 'none'.
+    one wins, the first of equal ones. A value without mention goes to the likest of all wordings by token-set similarity,
+    if it is like enough. headings and labels: other wordings of the entries, by English name, and of the sections; those
+    under 'none' mean nothing in the list. Null and blank values give no row, repeated rows count once, values of any
+    length are searched whole. The list is collected: more than most_entries entries are refused. An empty list maps
+    titles to 'none'.
     """
     entries = [tuple(r) for r in catalog.select("entry_code", "canonical", "name", "other_names").limit(most_entries + 1).collect()]
     if len(entries) > most_entries:
@@ -227,7 +212,7 @@ def map_headings(sections: DataFrame, catalog: DataFrame, *, most_entries: int =
     entries.sort(key=lambda r: r[0] or "")
 
     def run(batches):
-        title, label = matchers(entries)
+        title, label = matchers(entries, headings or {}, labels or {})
         for batch in batches:
             fields, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             out = [(title if f == "title" else label).match(t) for f, t in zip(fields, texts)]
@@ -235,8 +220,11 @@ def map_headings(sections: DataFrame, catalog: DataFrame, *, most_entries: int =
 
     values = sections.select(F.col("section_id").cast("string").alias("section_id"), F.expr("stack(2, 'title', title, 'canonical', canonical) AS (field_name, typed)"))
     values = values.where(F.col("typed").rlike(r"[^\s\p{Z}]"))
-    # equal values meet in few tasks, which map them once each; eight for a value that many sections bear
-    return spread(values, F.col("typed"), F.pmod(F.hash("section_id"), F.lit(8))).mapInArrow(run, "section_id string, field_name string, target string").distinct()
+    # equal values meet in few tasks, which map them once each; a value that a third of the sections bear still fills no task
+    spark = sections.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.pmod(F.hash("section_id"), F.lit(-(-tasks // 3)))
+    return spread(values, F.col("typed"), salt).mapInArrow(run, "section_id string, field_name string, target string").distinct()
 
 
 def unmatched(found: DataFrame, sections: DataFrame) -> DataFrame:

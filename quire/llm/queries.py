@@ -20,8 +20,9 @@ def headings(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.headings import map_headings
+    from quire.llm.wordings import HEADINGS, LABELS
 
-    return map_headings(table(spark, folder, "sections"), table(spark, folder, "heading_catalog"))
+    return map_headings(table(spark, folder, "sections"), table(spark, folder, "heading_catalog"), headings=HEADINGS, labels=LABELS)
 
 
 def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
