@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import headings, leakage, lookalike, reading, sentences, tokens, transducer, works
+from quire.llm import headings, leakage, lookalike, reading, sentences, tokens, transducer, wordings, works
 
 VOCABULARY = f"{tokens.VOCABULARY}/byte_bpe_50k.tiktoken"
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
@@ -24,21 +24,56 @@ def catalog(spark):
     return spark.createDataFrame(CATALOG, "entry_code string, canonical string, name string, other_names array<string>")
 
 
+def mapped(sections, entries):
+    return headings.map_headings(sections, entries, headings=wordings.HEADINGS, labels=wordings.LABELS)
+
+
 def test_headings(spark):
     typed = {"1. Introduction": "H01", "Ｒesults (north only)": "H16", "R e l a t e d   W o r k": "H05", "Reslts": "H16", "Discussion des résultats": "H21", "2 引　言": "H01", "Rеlаtеd Wоrk": "H05", "What We Found": "H16", "Resultant Forces on Bridge Decks": "none", "Funding": "none", "3.2": "none", "D1scussion": "H21", "Introduction and " + "x " * 5000: "H01", "Intro​duction": "H01", "Author Contributions": "none"}
     data = [(f"s{i}", t, None, "x", "y") for i, t in enumerate(typed)] + [("c", None, "methd", "", ""), ("c2", " ", "see above", "", ""), ("c2", " ", "see above", "", ""), (None, "Results", None, "", "")]
-    got = {(r.section_id, r.field_name): r.target for r in headings.map_headings(spark.createDataFrame(data, SECTION), catalog(spark)).collect()}
+    got = {(r.section_id, r.field_name): r.target for r in mapped(spark.createDataFrame(data, SECTION), catalog(spark)).collect()}
     for i, (t, want) in enumerate(typed.items()):
         assert got[f"s{i}", "title"] == want, t
     assert got["c", "canonical"] == "method" and got["c2", "canonical"] == "none" and got[None, "title"] == "H16"
     assert len(got) == len(typed) + 3
     none = spark.createDataFrame([], SECTION)
-    assert headings.map_headings(none, catalog(spark)).count() == 0
-    assert {r.target for r in headings.map_headings(spark.createDataFrame(data, SECTION), catalog(spark).where("false")).where("field_name = 'title'").collect()} == {"none"}
-    found = headings.map_headings(spark.createDataFrame(data, SECTION), catalog(spark))
+    assert mapped(none, catalog(spark)).count() == 0
+    assert {r.target for r in mapped(spark.createDataFrame(data, SECTION), catalog(spark).where("false")).where("field_name = 'title'").collect()} == {"none"}
+    found = mapped(spark.createDataFrame(data, SECTION), catalog(spark))
     assert ("canonical", "see above", 1) in rows(headings.unmatched(found, spark.createDataFrame(data, SECTION)))
 
 
+def test_likeness_alone():
+    """Without other wordings, and against a plain score of every wording."""
+    title, label = headings.matchers(CATALOG, {}, {})
+    for typed, want in {"Reslts": "H16", "What We Found": "none", "Ｒeltaed Wrok": "H05", "Reslts (" + "as was told at length in an earlier report " * 5 + ")": "H16", "word " * 100_000: "none", "Introdction: " + "of many things " * 20: "H01"}.items():
+        assert title.match(typed) == want, typed[:40]
+    assert label.match("relatd") == "related" and label.match("x") == "none"
+
+    def plainly(m, words):
+        own, joined, best = [w for w in words if w not in headings.FILLER] or words, "".join(words), 0.0
+        for _, tokens_, name in m.names:
+            n = max(len(joined), len(name))
+            d = headings.distance(joined, name, n)
+            left, gain = list(own), 0.0
+            for t in tokens_:
+                if left and (x := max((headings.likeness(w, t), w) for w in left))[0] >= headings.LIKE:
+                    gain += x[0] * len(t)
+                    left.remove(x[1])
+            best = max(best, 1 - d / n if d <= max(1, n * 0.3) else 0.0, gain / (sum(map(len, tokens_)) + 0.7 * sum(map(len, left))))
+        return best
+
+    rng = random.Random(3)
+    names = [n for _, _, n, _ in CATALOG]
+    for _ in range(400):
+        letters = list(rng.choice(names) + rng.choice(["", " of it", " results"]))
+        for _ in range(rng.randrange(5)):
+            letters[rng.randrange(len(letters))] = rng.choice("aeirst ")
+        words = headings.words_of("".join(letters))
+        if words and (want := plainly(title, words)) >= title.least:
+            assert abs(title.similar(words)[0] - want) < 1e-9, words
+
+
 def test_distance():
     def slow(a, b):
         d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
