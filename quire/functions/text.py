@@ -8,14 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Thresholds and wordings that decide the results below.
-ABSTRACT_LEAST, ABSTRACT_HEAD, ABSTRACT_NAMES = 150, 200, 3
-ABSTRACT_IMPRINT = r"(?i)proceedings of|in proceedings|\bpp?\.? *[0-9]|\bvol\.? *[0-9]|\bisbn\b"
+ABSTRACT_LEAST, ABSTRACT_HEAD, ABSTRACT_NAMES = 150, 200, 0.6
 TYPE_CODES = {"J": "journal", "C": "conference", "A": "conference", "M": "book", "G": "book", "D": "thesis", "EB": "web", "DB": "web", "CP": "web"}
 OTHER_CODES = ("R", "P", "S", "N", "Z")
 PREPRINT_WORDS = r"(?i)arxiv|preprint"
-CONFERENCE_WORDS = r"(?i)proceedings|conference|workshop|symposium|会议|论文集"
-JOURNAL_WORDS = r"(?i)journal|transactions|\bvol\.|[0-9]+ *\( *[0-9]+ *\) *[:：]|学报|期刊"
-GREY_WORDS = r"(?i)technical report|white *paper|\bblog\b|github|https?://|www\.|\bdataset\b|accessed|retrieved from|unpublished|\bmanuscript\b|\btutorial\b|\bsoftware\b|\btoolkit\b"
 FRAGMENT = {"characters": 40, "digits": 12, "colons": 3}
 FLATTENED = {"characters": 500, "colons": 10}
 TABLE_SHARES = {"digits": 0.08, "colons": 0.015}
@@ -23,6 +19,27 @@ CLAIM_HAN, CLAIM_WORDS = 8, 4
 CENTURY_PIVOT = 91
 PREFIX_WORDS, HEAD_WORDS, HEAD_SHARE = 4, 6, 0.6
 
+#: How bibliographic styles number what stands in a larger work: volume, issue, pages, and numbers of books and series.
+NUMERATION = {"volume": r"\b(?:vol|volume)\b[. ]*[0-9]", "issue": r"\b(?:no|issue)\b[. ]*[0-9]", "pages": r"\bpp?\b[. ]*[0-9]|\bpages? [0-9]", "number": r"\biss?n\b|\bisbn\b"}
+#: Kinds of venue by the words in their names.
+VENUES = {
+    "conference": ("conference", "congress", "symposium", "workshop", "proceedings", "meeting of", "会议", "研讨会", "论文集", "大会"),
+    "journal": ("journal", "annals", "transactions", "letters", "bulletin", "quarterly", "zeitschrift", "revue", "revista", "学报", "杂志", "期刊"),
+}
+#: Kinds of grey literature: what is issued outside publishers' channels, by how bibliographies name it.
+GREY_KINDS = {
+    "report": ("technical report", "tech. rep", "research report", "working paper", "white ?paper", "discussion paper", "policy brief", "final report"),
+    "web": ("https?://", "www[.]", "web ?site", "web ?page", "blog", "wiki"), "data": ("data ?set", "data ?base", "corpus release"), "code": ("software", "source code", "tool ?kit", "git(?:hub|lab)", "computer program"),
+    "draft": ("unpublished", "manuscript", "in preparation", "forthcoming", "personal communication"), "teaching": ("lecture notes", "slides", "tutorial", "course material"), "other": ("press release", "newsletter", "fact ?sheet"),
+}
+#: When an online source was seen, and the date of a page with its month.
+SEEN = r"(?:accessed|retrieved|available (?:at|from|online))\b|访问日期|检索"
+DATED = r"\((?:19|20)[0-9]{2}, *(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+#: An author who says what the work itself does: who, and what is done. "We" alone says nothing.
+OWN_WHO = {"person": "we|i", "work": "(?:this|the present) (?:paper|study|work|article|chapter|thesis|report)", "thing": "our (?:method|model|approach|system|results?|findings|experiments?|analysis|contribution)"}
+OWN_DOES = "propose|present|introduce|develop|describe|report|show|find|demonstrate|investigate|examine|study|evaluate|compare|argue|extend|apply|design|measure|analy[sz]e|contribute|explain|use|aim"
+OWN_HAN = "(?:本文|本研究|本章|本论文|我们)(?:提出|介绍|研究|发现|分析|设计|采用|考察|探讨|证明|认为|比较|评估)"
+
 HAN = "一-鿿"
 LATIN_WORD = "[A-Za-zÀ-ɏ0-9]+(?:['’-][A-Za-zÀ-ɏ0-9]+)*"
 
@@ -86,13 +103,23 @@ def clean_page(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, WIDE, NARROW), "[ \\t]{2,}", " "))
 
 
+def any_of(words: tuple | dict) -> str:
+    """A pattern of words, or of kinds of words, without regard to case."""
+    some = words if not isinstance(words, dict) else [w for kind in words.values() for w in ((kind,) if isinstance(kind, str) else kind)]
+    return f"(?i){'|'.join(some)}"
+
+
+IMPRINT, GREY, CONFERENCE, JOURNAL = any_of(NUMERATION), any_of(GREY_KINDS), any_of(VENUES["conference"]), any_of(VENUES["journal"])
+ISSUE = r"[0-9]+ *[(（] *[0-9]+"
+OWN = f"(?i)\\b(?:{'|'.join(OWN_WHO.values())}) (?:(?:also|then|here|further|first|therefore) )?(?:{OWN_DOES})[a-z]*\\b|{OWN_HAN}"
+
+
 def good_abstract(c: Column, least: int = ABSTRACT_LEAST, head: int = ABSTRACT_HEAD) -> Column:
-    """Whether a text reads like an abstract: long enough, and no proceedings line, pages or author run in front."""
+    """Whether a text reads like an abstract: long enough, and in front neither an imprint nor mostly capitalised words, as lists of names are."""
     c = F.trim(c)
     front = F.substring(c, 1, head)
-    imprint = front.rlike(ABSTRACT_IMPRINT)
-    names = F.regexp_count(front, F.lit(r"[A-Z][A-Za-z-]+(?: [A-Z][A-Za-z-]*)+[,.]"))
-    return F.coalesce((F.length(c) >= least) & ~imprint & (names < ABSTRACT_NAMES), F.lit(False))
+    words, names = F.regexp_count(front, F.lit("[A-Za-z]{2,}")), F.regexp_count(front, F.lit("\\b[A-Z][a-z]+"))
+    return F.coalesce((F.length(c) >= least) & ~front.rlike(IMPRINT) & (names <= ABSTRACT_NAMES * words), F.lit(False))
 
 
 def tokens(c: Column) -> Column:
@@ -106,25 +133,27 @@ def reference_type(c: Column) -> Column:
     """Kind of a bibliography line: preprint wording, else the bracketed type code, else the venue's wording."""
     code = F.upper(F.regexp_extract(c, rf"\[ *({'|'.join(sorted([*TYPE_CODES, *OTHER_CODES], key=len, reverse=True))}) *(?:/ *OL)? *\]", 1))
     coded = F.create_map(*(F.lit(x) for pair in TYPE_CODES.items() for x in pair))[code]
-    worded = F.when(c.rlike(CONFERENCE_WORDS), "conference").when(c.rlike(JOURNAL_WORDS), "journal").when(c.rlike(r"https?://"), "web").otherwise("other")
+    worded = F.when(c.rlike(CONFERENCE), "conference").when(c.rlike(JOURNAL) | c.rlike(ISSUE), "journal").when(c.rlike(r"https?://"), "web").otherwise("other")
     return F.when(c.rlike(PREPRINT_WORDS), "preprint").when(code != "", F.coalesce(coded, F.lit("other"))).otherwise(worded)
 
 
 def grey_literature(raw: Column, venue: Column, doi: Column) -> Column:
-    """Reports, web pages, data sets and software, and entries with neither venue nor DOI."""
+    """Reports, web pages, data sets, software and drafts by their wording, what was accessed or is dated to a month, and
+    entries with neither venue nor DOI."""
     text = F.concat_ws(" ", raw, venue)
-    worded = text.rlike(GREY_WORDS)
+    worded = text.rlike(GREY) | text.rlike(f"(?i){SEEN}|{DATED}")
     return F.coalesce(worded, F.lit(False)) | ((F.trim(F.coalesce(venue, F.lit(""))) == "") & doi.isNull())
 
 
-def marker_numbers(c: Column, most: int = 10_000) -> Column:
-    """The numbers of a numeric marker; '3-5' gives 3, 4, 5 and '5-3' the same; of a range over `most` only the ends."""
+def marker_numbers(c: Column) -> Column:
+    """The numbers of a numeric marker; '3-5' gives 3, 4, 5 and '5-3' the same, however wide the range. Ends of over six
+    digits are no places in a list and name nothing."""
     items = F.regexp_extract_all(c, F.lit(r"[0-9]+ *[-–] *[0-9]+|[0-9]+"), 0)
     low = lambda x: F.regexp_extract(x, "^[0-9]+", 0).try_cast("bigint")
     high = lambda x: F.regexp_extract(x, "[0-9]+$", 0).try_cast("bigint")
-    wide = lambda x: F.abs(high(x) - low(x)) > most
-    run = lambda x: F.when(wide(x), F.array(low(x), high(x))).otherwise(F.sequence(F.least(low(x), high(x)), F.when(wide(x), F.least(low(x), high(x))).otherwise(F.greatest(low(x), high(x)))))
-    return F.flatten(F.transform(F.filter(items, lambda x: low(x).isNotNull() & high(x).isNotNull()), run))
+    place = lambda x: F.coalesce(F.greatest(low(x), high(x)) < 1_000_000, F.lit(False)) & low(x).isNotNull() & high(x).isNotNull()
+    run = lambda x: F.sequence(F.least(low(x), high(x)), F.greatest(low(x), high(x)))
+    return F.flatten(F.transform(F.filter(items, place), run))
 
 
 def author_year_items(c: Column) -> Column:
@@ -153,8 +182,8 @@ def too_short(c: Column) -> Column:
 
 
 def own_contribution(c: Column) -> Column:
-    """Whether a sentence speaks of its author's own work."""
-    return F.coalesce(c.rlike(r"(?i)\b(?:we|our|this (?:paper|study|work|chapter|article)|in this paper|the present study)\b|本文|我们|本研究|本章"), F.lit(False))
+    """Whether a sentence says what its author's own work does: a subject and a verb; "we" alone isn't enough."""
+    return F.coalesce(c.rlike(OWN), F.lit(False))
 
 
 def id_year(c: Column, pivot: int = CENTURY_PIVOT) -> Column:
@@ -217,3 +246,100 @@ def edit_class(old: Column, new: Column) -> Column:
         F.when(old == new, "same").when(spaces(old) == spaces(new), "space").when(F.translate(old, WIDE, NARROW) == F.translate(new, WIDE, NARROW), "width")
         .when(hyphens(old) == hyphens(new), "hyphen").when(old.startswith(new) | new.startswith(old), "truncate").otherwise("other")
     )
+
+
+#: What stands before a stop without ending a sentence, in several languages, besides single letters.
+SHORTENED = "Dr|Mr|Mrs|Ms|Prof|St|Figs?|Eqs?|Secs?|Tab|Nos?|Vol|pp|Ch|eds?|cf|vs|al|approx|resp|Refs?|etc|Abb|bzw|ca|Nr|Bd|vgl|usw|Kap|env|chap|fig|vol|no|pág|núm|рис|табл|см|стр|др"
+ASIDE, HERE = "\x02", "\x03"
+#: (pattern, replacement) in turn: marks are set aside, stops that end nothing are hidden, and a mark is put behind each end.
+SPLITTING = [
+    (f"[{ASIDE}{HERE}]", " "), (f"(^|[^\\p{{L}}])({SHORTENED}|\\p{{L}})[.]", f"{{1}}{{2}}{ASIDE}"),
+    ("([.!?…]+[\"”’»)\\]]*(?:\\[[0-9, –-]*\\])?)(\\s+)([^\\s\\p{Ll}])", f"{{1}}{HERE}{{2}}{{3}}"), ("([。！？｡؟۔।॥]+[”’」』）)\\]》\"]*)", f"{{1}}{HERE}"),
+]
+
+
+def sentences(c: Column) -> Column:
+    """ARRAY<STRUCT<start_pos, end_pos, text>>: the sentences of a text by its stops, with their places; null for null.
+
+    A stop ends a sentence where white space and no small letter follows, closing quotes and a numeric citation with it;
+    stops of scripts that write no spaces always do. Abbreviations, initials and decimals end nothing. Pieces without
+    anything but white space are left out. Built-in expressions only; problem 4's operator learns what this takes from a list.
+    """
+    marked = c
+    for pattern, put in SPLITTING:
+        marked = F.regexp_replace(marked, pattern, put.replace("{1}", "$1").replace("{2}", "$2").replace("{3}", "$3"))
+    pieces = F.split(marked, HERE, -1)
+    none = F.array().cast("array<struct<start_pos:bigint,end_pos:bigint,text:string>>")
+
+    def add(done: Column, piece: Column) -> Column:
+        begin = F.regexp_replace(piece, "^\\s+", "")
+        core = F.regexp_replace(begin, "\\s+$", "")
+        start = done["at"] + F.length(piece) - F.length(begin)
+        one = F.array(F.struct(start.cast("bigint").alias("start_pos"), (start + F.length(core)).cast("bigint").alias("end_pos"), F.translate(core, ASIDE, ".").alias("text")))
+        return F.struct((done["at"] + F.length(piece)).cast("bigint").alias("at"), F.when(core == "", done["out"]).otherwise(F.concat(done["out"], one)).alias("out"))
+
+    return F.aggregate(pieces, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), add, lambda done: done["out"])
+
+
+#: Section kinds by the words in a title, the first kind that has one; a word in Latin letters must begin there.
+HEADING_WORDS = {
+    "related": ("related", "literature", "prior work", "previous", "state of the art", "相关工作", "文献综述", "研究现状", "stand der forschung", "état de l", "estado del arte", "trabajos relacionados"),
+    "conclusion": ("conclu", "summary", "future work", "outlook", "closing", "结论", "总结", "结语", "展望", "fazit", "schluss", "ausblick"),
+    "discussion": ("discuss", "limitation", "implication", "threats", "讨论", "局限", "启示", "diskussion", "discus", "ethic", "伦理"),
+    "experiment": ("experiment", "result", "evaluation", "ablation", "finding", "baseline", "metric", "case study", "analysis of results", "实验", "结果", "评估", "评价", "消融", "案例", "ergebnis", "résultat", "resultado", "auswertung"),
+    "method": ("method", "approach", "model", "architecture", "implementation", "procedure", "data", "design", "sampling", "statistic", "framework", "study area", "方法", "模型", "数据", "实现", "抽样", "框架", "method", "méthod", "métod", "verfahren"),
+    "intro": ("introduc", "background", "motivation", "overview", "research question", "contribution", "引言", "绪论", "前言", "背景", "动机", "问题", "贡献", "einleitung", "einführung", "introducc"),
+}
+
+
+def heading_kind(c: Column) -> Column:
+    """The canonical section that a title's words name, by ordered kinds; 'other' where none does, null for null or blank."""
+    low = F.lower(c)
+    out = F.when(F.trim(c) == "", F.lit(None).cast("string"))
+    for kind, words in HEADING_WORDS.items():
+        latin, han = [w for w in words if w[0] < "一"], [w for w in words if w[0] >= "一"]
+        out = out.when(low.rlike(f"(?:^|[^\\p{{L}}])(?:{'|'.join(latin)})|{'|'.join(han)}"), kind)
+    return out.when(c.isNotNull(), "other")
+
+
+def fix_page(c: Column) -> Column:
+    """Text of a page as taken from a PDF file: typographic ligatures as letters, control characters out, words broken at
+    line ends joined, spaces before punctuation out."""
+    for sign, plain in {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}.items():
+        c = F.replace(c, F.lit(sign), F.lit(plain))
+    c = F.regexp_replace(c, "[\x00-\x08\x0b\x0c\x0e-\x1f­]", "")
+    c = F.regexp_replace(c, "([a-z])-[ \t]*\n[ \t]*([a-z])", "$1$2")
+    return F.regexp_replace(c, " +([,.;:!?])", "$1")
+
+
+TAIL_HEADS = "(?i)\\n[ \\t0-9.]*(?:references|bibliography|works cited|literaturverzeichnis|bibliographie|bibliografía|参考文献)[ \\t]*:?[ \\t]*\\n"
+
+
+def without_tail(c: Column, share: float = 0.3) -> Column:
+    """A text up to its last heading of a reference list, if that stands beyond `share` of it; else the whole."""
+    parts = F.split(c, TAIL_HEADS, -1)
+    tail = F.element_at(parts, -1)
+    head = F.substr(c, F.lit(1), F.length(c) - F.length(tail))
+    kept = F.regexp_replace(head, f"{TAIL_HEADS}$", "")
+    return F.when((F.size(parts) > 1) & (F.length(kept) > share * F.length(c)), kept).otherwise(c)
+
+
+def list_window(c: Column) -> Column:
+    """Whether a window of text looks like entries of a reference list: several years, and signs of names, pages or DOIs."""
+    years = F.regexp_count(c, F.lit("[(（ ,.](?:19|20)[0-9]{2}[a-z]?[)）.,; ]"))
+    signs = F.regexp_count(c, F.lit("\\b[A-Z][.](?:[ -]?[A-Z][.])*,|\\bpp?[.] *[0-9]|[0-9]+ *[(][0-9]+[)] *[,:]|doi|10[.][0-9]{4}/|\\[[JMCDPR]\\]|\\bet al\\b"))
+    return F.coalesce((years >= 2) & (signs >= 3) & (years * 400 >= F.length(c)), F.lit(False))
+
+
+def short_number(c: Column) -> Column:
+    """A measure for a screen: whole numbers without a point, below 1 three places, below 100 one, else none; '–' for null."""
+    size = F.abs(c)
+    at = lambda places: F.regexp_replace(F.format_string(f"%.{places}f", F.round(c, places)), "(\\.[0-9]*?)0+$", "$1")
+    text = F.when(size >= 100, F.format_string("%.0f", F.round(c, 0))).when(size >= 1, at(1)).when(size < 1, at(3))
+    return F.coalesce(F.regexp_replace(text, "\\.$", ""), F.lit("–"))
+
+
+def short_range(low: Column, high: Column) -> Column:
+    """A range for a screen; one number where both ends read alike, '–' where both are null."""
+    a, b = short_number(low), short_number(high)
+    return F.when(a == b, a).otherwise(F.concat(a, F.lit("–"), b))

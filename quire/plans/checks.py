@@ -6,16 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.fuzzy import conflict_udf, plain_udf, ratio_udf, surname_udf
+from quire.functions.fuzzy import plain_udf, ratio_udf, surname_udf
 from quire.operators import entities as E
 from quire.operators import intervals as I
 from quire.operators.alike import alike, arranged_udf
-from quire.plans.joins import PARAS, SECTIONS, SENT, _RESOLVED, marker_spans, markers, paragraphs, resolve_markers, sections
+from quire.operators.quantities import conflicts
+from quire.plans.joins import PARAS, SECTIONS, SENT, _RESOLVED, claim_references, marker_spans, markers, paragraphs, resolve_markers, sections
 from quire.plans.retrieval import first_appearance, list_order, marker_clusters
 from quire.plans.retrieval import SQL as RETRIEVAL_SQL
 from quire.plans.stats import SQL as STATS_SQL
 from quire.plans.stats import _TYPED, section_bands
-from quire.plans.text import MARKERS, REFS, records, refs
+from quire.plans.text import MARKERS, REFS, _q, records, refs, sentence_rows
 from quire.session import cut, table
 
 c = F.col
@@ -88,16 +89,19 @@ def attribution_mismatches(spark, folder):
 
 
 def number_conflicts(spark, folder):
-    """Abstracts of one work that give different values for what reads like the same quantity; records meet by title key."""
-    r = records(spark, folder).where("abstract IS NOT NULL").select("record_id", "abstract", T.squash(F.coalesce("main_title", "title")).alias("k")).where("length(k) >= 8")
-    a, b = (r.select("k", c("record_id").alias(f"r{i}"), c("abstract").alias(f"a{i}")) for i in (1, 2))
-    p = a.join(b, "k").where("r1 < r2 AND a1 <> a2").withColumn("x", conflict_udf("a1", "a2")).where("x.claimed IS NOT NULL")
-    return p.select("r1", "r2", "x.claimed", "x.given")
+    """Sentences that cite and the abstracts of what they cite, where both give a number for what reads like the same
+    quantity, but not the same number. A cited entry's record is one of the same title key."""
+    r = records(spark, folder).where("abstract IS NOT NULL").select("record_id", "abstract", F.explode(F.array_distinct(F.array(T.squash(c("title")), T.squash(F.coalesce("main_title", "title"))))).alias("k")).where("k <> ''")
+    e = refs(spark, folder).select("ref_id", T.squash(c("title")).alias("k")).where("k <> ''").join(r, "k").select("ref_id", "record_id", "abstract").distinct()
+    s = sentence_rows(spark, folder).select("para_id", "sent_ix", "text")
+    cited = claim_references(spark, folder).join(s, ["para_id", "sent_ix"]).join(e, "ref_id")
+    pair = F.struct("para_id", "sent_ix", "record_id")
+    return conflicts(cited.select(pair.alias("pair"), c("text").alias("claim"), c("abstract").alias("source")).distinct()).select("pair.*", "claimed", "given")
 
 
 def uncited_statements(spark, folder):
     """Sentences that speak of earlier work, not of the author's, and hold no marker, in introductions and related work."""
-    s = table(spark, folder, "sentences").distinct().select("para_id", "sent_ix", "text", c("start_pos").alias("begin"), c("end_pos").alias("stop"))
+    s = sentence_rows(spark, folder).select("para_id", "sent_ix", "text", c("start_pos").alias("begin"), c("end_pos").alias("stop"))
     place = paragraphs(spark, folder).where("NOT is_caption AND cell IS NULL").select("para_id", "section_id").join(sections(spark, folder).where(F.lower(F.trim("canonical")).isin("intro", "related", "discussion")).select("section_id"), "section_id")
     cue = c("text").rlike(r"(?i)\b(?:earlier|previous|prior) (?:work|studies|research)\b|已有的研究|先行研究|la recherche antérieure|la investigación previa")
     told = s.join(place.select("para_id"), "para_id", "left_semi").where(cue & ~T.own_contribution(c("text")))
@@ -170,7 +174,7 @@ def all_findings_grouped(spark, folder):
 QUERIES = {f.__name__: f for f in (entry_candidates, reference_status, entry_assignment, sibling_attributes, author_year_links, near_duplicate_entries, venue_matches, attribution_mismatches, number_conflicts, uncited_statements, findings, findings_grouped, all_findings, all_findings_grouped)}
 
 _CUES = "(?i)\\b(?:earlier|previous|prior) (?:work|studies|research)\\b|已有的研究|先行研究|la recherche antérieure|la investigación previa"
-_OWN = "(?i)\\b(?:we|our|this (?:paper|study|work|chapter|article)|in this paper|the present study)\\b|本文|我们|本研究|本章"
+_OWN = _q(T.OWN)
 _STATEMENTS = f"""SELECT s.para_id, s.sent_ix::BIGINT AS sent_ix FROM {SENT} s WHERE s.para_id IN (SELECT p.para_id FROM {PARAS} p JOIN {SECTIONS} x ON p.section_id = x.section_id WHERE NOT p.is_caption AND p.cell IS NULL AND lower(trim(x.canonical, ' ')) IN ('intro', 'related', 'discussion'))
     AND regexp_matches(s.text, '{_CUES}') AND NOT regexp_matches(s.text, '{_OWN}') AND NOT EXISTS (SELECT 1 FROM {MARKERS} m WHERE m.para_id = s.para_id AND s.start_pos <= m.start_pos AND m.end_pos <= s.end_pos)"""
 _FINDINGS = f"""SELECT rule, doc_id, count(DISTINCT item) AS n FROM (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import intervals as I
-from quire.plans.text import MARKERS, REFS, latest, refs
+from quire.plans.text import MARKERS, REFS, SENTENCES, latest, refs, sentence_rows
 from quire.session import table
 
 c = F.col
@@ -27,8 +27,8 @@ def markers(spark, folder):
 
 
 def spans(spark, folder):
-    """Stored sentences as [begin, stop) of their paragraph."""
-    return table(spark, folder, "sentences").distinct().select("para_id", "sent_ix", c("start_pos").alias("begin"), c("end_pos").alias("stop"))
+    """Sentences of all body paragraphs as [begin, stop)."""
+    return sentence_rows(spark, folder).select("para_id", "sent_ix", c("start_pos").alias("begin"), c("end_pos").alias("stop"))
 
 
 def marker_spans(spark, folder):
@@ -85,7 +85,7 @@ def marker_in_sentence(spark, folder):
 
 
 def marker_overlaps(spark, folder):
-    """Markers that a stored sentence boundary cuts: they overlap several sentences."""
+    """Markers that a sentence boundary cuts: they overlap several sentences."""
     hit = I.overlapping(marker_spans(spark, folder), spans(spark, folder), "para_id")
     return hit.groupBy("marker_id").agg(F.count("*").alias("n_sentences")).where("n_sentences > 1")
 
@@ -177,7 +177,8 @@ QUERIES = {f.__name__: f for f in (section_paragraphs, claim_references, resolve
 
 PARAS = "(SELECT DISTINCT * EXCLUDE (loaded_at) FROM paragraphs)"
 SECTIONS = "(SELECT DISTINCT * EXCLUDE (loaded_at) FROM sections)"
-SENT = "(SELECT DISTINCT * FROM sentences)"
+SENT = SENTENCES
+STORED = "(SELECT DISTINCT * FROM sentences)"
 _KEY = "regexp_replace(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z一-鿿]+', '', 'g')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _IN = f"SELECT m.marker_id, m.para_id, s.sent_ix::BIGINT AS sent_ix, m.start_pos, m.ref_ids FROM {MARKERS} m JOIN {SENT} s ON m.para_id = s.para_id AND s.start_pos <= m.start_pos AND m.end_pos <= s.end_pos"

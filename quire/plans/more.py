@@ -13,8 +13,8 @@ from quire.operators import intervals as I
 from quire.operators.alike import alike, arranged_udf
 from quire.operators.evidence import locate_udf
 from quire.operators.retrieval import top
-from quire.plans.joins import _KEY, PARAS, SENT, marker_spans, paragraphs, spans
-from quire.plans.text import MARKERS, REFS, records, refs
+from quire.plans.joins import _KEY, PARAS, SENT, STORED, marker_spans, paragraphs, spans
+from quire.plans.text import MARKERS, REFS, records, refs, sentence_rows
 from quire.session import table
 
 c = F.col
@@ -53,8 +53,8 @@ def bibliography_tail(spark, folder):
 
 
 def tagged_sentences(spark, folder):
-    """Stored sentences with their markers replaced by local tags <1>, <2>, so that equal sentences of different manuscripts are equal."""
-    s = table(spark, folder, "sentences").distinct().select("para_id", "sent_ix", "text", c("start_pos").alias("begin"), c("end_pos").alias("stop"))
+    """Sentences with their markers replaced by local tags <1>, <2>, so that equal sentences of different manuscripts are equal."""
+    s = sentence_rows(spark, folder).select("para_id", "sent_ix", "text", c("start_pos").alias("begin"), c("end_pos").alias("stop"))
     hit = I.contained(marker_spans(spark, folder), s, "para_id").select("para_id", "sent_ix", "text", (c("start") - c("begin")).alias("a"), (c("end") - c("begin")).alias("b"))
     w = Window.partitionBy("para_id", "sent_ix").orderBy("a", "b")
     spanned = hit.distinct().withColumn("k", F.row_number().over(w)).groupBy("para_id", "sent_ix").agg(F.first("text").alias("text"), F.sort_array(F.collect_list(F.struct("a", "b", "k")), asc=False).alias("ms"))
@@ -82,7 +82,7 @@ def content_duplicates(spark, folder):
 
 
 def span_hit_rate(spark, folder):
-    """Of the markers in split paragraphs: how much of each the stored sentences that overlap it cover, and the share of hits."""
+    """Of the markers in split paragraphs: how much of each the sentences that overlap it cover, and the share of hits."""
     m = marker_spans(spark, folder).join(spans(spark, folder).select("para_id").distinct(), "para_id", "left_semi")
     s = I.merged(spans(spark, folder).select("para_id", c("begin").alias("start"), c("stop").alias("end")), "para_id").select("para_id", c("start").alias("begin"), c("end").alias("stop"))
     cover = I.overlapping(m, s, "para_id").groupBy("marker_id").agg(F.sum(F.least("end", "stop") - F.greatest("start", "begin")).alias("n"))
@@ -106,9 +106,10 @@ def exact_positions(spark, folder):
 
 
 def matched_boundaries(spark, folder):
-    """Stored sentences against marker ends of their paragraph, each used once, nearest first: right within 3 characters, missed, false; no SQL: greedy."""
-    a = spans(spark, folder).select("para_id", c("stop").alias("p"), F.lit(0).alias("side"))
-    b = marker_spans(spark, folder).join(spans(spark, folder).select("para_id").distinct(), "para_id", "left_semi").select("para_id", c("end").alias("p"), F.lit(1).alias("side"))
+    """Where the older splitter ended sentences against where the splitter here does, each used once, nearest first: right within 3 characters, missed, false; no SQL: greedy."""
+    stored = table(spark, folder, "sentences").distinct()
+    a = stored.select("para_id", c("end_pos").alias("p"), F.lit(0).alias("side"))
+    b = spans(spark, folder).join(stored.select("para_id").distinct(), "para_id", "left_semi").select("para_id", c("stop").cast("int").alias("p"), F.lit(1).alias("side"))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = (sorted(pdf.loc[pdf["side"] == k, "p"].tolist()) for k in (0, 1))
@@ -191,8 +192,8 @@ SQL = {
     "tagged_sentences": f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY para_id, sent_ix ORDER BY a, b) AS k, coalesce(lag(b) OVER (PARTITION BY para_id, sent_ix ORDER BY a, b), 0) AS e FROM (SELECT DISTINCT * FROM ({_IN})))
         SELECT para_id, sent_ix::BIGINT AS sent_ix, string_agg(substr(text, e + 1, a - e) || '<' || k || '>', '' ORDER BY k) || substr(first(text), max(b) + 1) AS tagged FROM m GROUP BY 1, 2""",
     "content_duplicates": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS n_copies FROM documents WHERE text IS NOT NULL",
-    "span_hit_rate": f"""WITH m AS (SELECT * FROM {MARKERS} WHERE para_id IN (SELECT para_id FROM sentences)), p AS (SELECT marker_id, start_pos, end_pos, (SELECT count(*) FROM range(m.start_pos, m.end_pos) r(i) WHERE EXISTS (SELECT 1 FROM sentences s WHERE s.para_id = m.para_id AND s.start_pos <= r.i AND r.i < s.end_pos)) AS n FROM m)
+    "span_hit_rate": f"""WITH k AS MATERIALIZED (SELECT * FROM {SENT}), m AS (SELECT * FROM {MARKERS} WHERE para_id IN (SELECT para_id FROM k)), p AS (SELECT marker_id, start_pos, end_pos, (SELECT count(*) FROM range(m.start_pos, m.end_pos) r(i) WHERE EXISTS (SELECT 1 FROM k s WHERE s.para_id = m.para_id AND s.start_pos <= r.i AND r.i < s.end_pos)) AS n FROM m)
         SELECT count(*) AS n_markers, count(*) FILTER (WHERE n / (end_pos - start_pos) >= 0.5) AS n_hits, round(avg(coalesce(n / (end_pos - start_pos), 0)), 6) AS mean_share FROM p""",
-    "exact_positions": f"SELECT s.para_id, s.sent_ix::BIGINT AS sent_ix, nullif(instr(p.text, s.text), 0)::BIGINT AS place FROM {SENT} s JOIN {PARAS} p ON p.para_id = s.para_id WHERE s.text <> ''",
+    "exact_positions": f"SELECT s.para_id, s.sent_ix::BIGINT AS sent_ix, nullif(instr(p.text, s.text), 0)::BIGINT AS place FROM {STORED} s JOIN {PARAS} p ON p.para_id = s.para_id WHERE s.text <> ''",
     "repeated_loads": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, count(*) - count(DISTINCT {k}) AS n_repeats FROM {n}" for n, k in (("sections", "section_id"), ("paragraphs", "para_id"), ("markers", "marker_id"), ("bib_entries", "entry_id"), ("reference_entries", "ref_id"))),
 }

@@ -9,7 +9,7 @@ from quire.functions import text as T
 from quire.operators import retrieval as R
 from quire.operators import sequences as Q
 from quire.plans.joins import PARAS, SECTIONS, SENT, _NUMBERS, marker_spans, numbers, paragraphs, sections, spans
-from quire.plans.text import MARKERS, REFS, TOKENS, records, refs
+from quire.plans.text import MARKERS, REFS, TOKENS, records, refs, sentence_rows
 from quire.session import table
 
 c = F.col
@@ -53,20 +53,20 @@ def cosine_topk(spark, folder):
 
 
 def prefilter_neighbours(spark, folder):
-    """The two longest stored sentences of each paragraph with the sentence before and after."""
+    """The two longest sentences of each paragraph with the sentence before and after."""
     s = spans(spark, folder).select("para_id", "sent_ix", (c("stop") - c("begin")).alias("n"))
     best = R.top(s, "para_id", [F.desc("n"), c("sent_ix")], 2)
     return R.with_neighbours(best, s, "para_id", "sent_ix", 1).select("para_id", long("sent_ix"))
 
 
 def sliding_windows3(spark, folder):
-    s = table(spark, folder, "sentences").distinct()
+    s = sentence_rows(spark, folder)
     return Q.sliding(s, ["para_id"], ["sent_ix"], "text").select("para_id", long("sent_ix"), F.md5("window").alias("window_md5"))
 
 
 def excerpt_fill(spark, folder):
-    """Excerpts of paragraphs: windows of three stored sentences, those of most words first; no SQL, as the choice is greedy."""
-    s = table(spark, folder, "sentences").distinct()
+    """Excerpts of paragraphs: windows of three sentences, those of most words first; no SQL, as the choice is greedy."""
+    s = sentence_rows(spark, folder)
     w = Q.sliding(s, ["para_id"], ["sent_ix"], "text").select("para_id", long("sent_ix"), T.count_words(c("window")).cast("double").alias("score"), F.length("window").cast("bigint").alias("size"))
     return R.excerpt(w, "para_id", "sent_ix", "score", "size", room=600)
 

@@ -84,8 +84,54 @@ def table_fragments(spark, folder):
     return table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", T.table_fragment(c("text")).alias("fragment"), T.table_fragment(c("text"), True).alias("flattened"))
 
 
+def body_paragraphs(spark, folder):
+    """Paragraphs of running text: no caption, cell, heading or blank."""
+    rows = latest(table(spark, folder, "paragraphs"), "para_id").where("NOT coalesce(is_caption, false) AND cell IS NULL").where(c("text").rlike(r"\S"))
+    heads = table(spark, folder, "sections").where("heading_para_id IS NOT NULL").select(c("heading_para_id").alias("para_id"))
+    return rows.join(heads, "para_id", "left_anti")
+
+
+def sentence_rows(spark, folder):
+    """para_id, sent_ix, start_pos, end_pos, text of the sentences of all body paragraphs."""
+    rows = body_paragraphs(spark, folder).select("para_id", F.posexplode(T.sentences(c("text"))).alias("sent_ix", "s"))
+    return rows.select("para_id", c("sent_ix").cast("bigint").alias("sent_ix"), "s.start_pos", "s.end_pos", "s.text")
+
+
+def sentences(spark, folder):
+    return sentence_rows(spark, folder).select("para_id", "sent_ix", "start_pos", "end_pos")
+
+
 def short_claims(spark, folder):
-    return table(spark, folder, "sentences").where("text IS NOT NULL").distinct().select("para_id", c("sent_ix").cast("bigint").alias("sent_ix"), T.too_short(c("text")).alias("short"), T.own_contribution(c("text")).alias("own"))
+    return sentence_rows(spark, folder).select("para_id", "sent_ix", T.too_short(c("text")).alias("short"), T.own_contribution(c("text")).alias("own"))
+
+
+def heading_kinds(spark, folder):
+    """Sections by the kind that their title's words name, beside the kind typed in."""
+    rows = latest(table(spark, folder, "sections"), "section_id").where("title IS NOT NULL")
+    return rows.select(T.heading_kind(c("title")).alias("kind"), F.lower(F.trim("canonical")).alias("typed")).groupBy("kind", "typed").agg(F.count("*").alias("n"))
+
+
+def page_fixes(spark, folder):
+    return table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.md5(T.fix_page(c("text"))).alias("fixed_md5"), F.length(T.fix_page(c("text"))).cast("bigint").alias("n_fixed"))
+
+
+def reference_tails(spark, folder):
+    """A manuscript's text without its list of references, and whether the end reads like one.
+
+    Each manuscript's lines are its paragraphs and entries in order; those of a manuscript are gathered by digest of its id
+    only to find the tail, so long ones cost what they are long.
+    """
+    lines = body_paragraphs(spark, folder).select("doc_id", F.lit(0).alias("part"), c("para_ix").alias("at"), c("para_id").alias("id"), "text")
+    head = refs(spark, folder).where("origin = 'list'").select("doc_id").distinct().select("doc_id", F.lit(1).alias("part"), F.lit(0).alias("at"), F.lit("").alias("id"), F.lit("References").alias("text"))
+    listed = refs(spark, folder).where("origin = 'list' AND raw IS NOT NULL").select("doc_id", F.lit(2).alias("part"), c("pos").alias("at"), c("ref_id").alias("id"), c("raw").alias("text"))
+    whole = lines.unionByName(head).unionByName(listed).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return whole.select("doc_id", F.length("text").cast("bigint").alias("n_text"), F.length(T.without_tail(c("text"))).cast("bigint").alias("n_body"), T.list_window(F.right("text", F.lit(600))).alias("list_at_end"))
+
+
+def number_formats(spark, folder):
+    """Means of measures by source as a screen shows them."""
+    got = table(spark, folder, "documents").groupBy("source").agg(F.avg("n_chars").alias("chars"), F.avg((c("text") == "").cast("int")).alias("empty"), F.min("n_chars").cast("double").alias("low"), F.max("n_chars").cast("double").alias("high"))
+    return got.select("source", T.short_number(c("chars")).alias("chars"), T.short_number(c("empty")).alias("empty"), T.short_range(c("low"), c("high")).alias("spread"))
 
 
 def id_years(spark, folder):
@@ -124,7 +170,7 @@ def phrase_occurrences(spark, folder):
     return table(spark, folder, "documents").where(F.contains(low, F.lit(phrase))).select("doc_id", F.explode(ends).alias("p")).select("doc_id", c("p").cast("bigint").alias("start_pos"))
 
 
-QUERIES = {f.__name__: f for f in (word_counts, script_language, entry_language, squash_key, unaccented_names, page_cleanup, tag_strip, abstract_gate, token_counts, reference_types, grey_literature, marker_numbers, author_year_items, table_fragments, short_claims, id_years, title_kinds, venue_keys, content_keys, title_variants, raw_edit_classes, phrase_occurrences)}
+QUERIES = {f.__name__: f for f in (word_counts, script_language, entry_language, squash_key, unaccented_names, page_cleanup, tag_strip, abstract_gate, token_counts, reference_types, grey_literature, marker_numbers, author_year_items, table_fragments, sentences, short_claims, heading_kinds, page_fixes, reference_tails, number_formats, id_years, title_kinds, venue_keys, content_keys, title_variants, raw_edit_classes, phrase_occurrences)}
 
 REFS = "(SELECT DISTINCT * EXCLUDE (loaded_at) FROM reference_entries)"
 RECORDS = "(SELECT DISTINCT * EXCLUDE (seen_at) FROM candidate_records)"
@@ -143,6 +189,27 @@ def _spaceless(x: str) -> str:
     return f"regexp_replace({x}, '\\s+', '', 'g')"
 
 
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _number(x: str) -> str:
+    at = lambda n: f"regexp_replace(printf('%.{n}f', round({x}, {n})), '(\\.[0-9]*?)0+$', '\\1')"
+    return f"coalesce(regexp_replace(CASE WHEN abs({x}) >= 100 THEN printf('%.0f', round({x}, 0)) WHEN abs({x}) >= 1 THEN {at(1)} ELSE {at(3)} END, '\\.$', ''), '–')"
+
+
+def _marked(x: str) -> str:
+    for pattern, put in T.SPLITTING:
+        put = put.replace("{1}", "\\1").replace("{2}", "\\2").replace("{3}", "\\3").replace(T.ASIDE, "' || chr(2) || '").replace(T.HERE, "' || chr(3) || '")
+        x = f"regexp_replace({x}, '{_q(pattern).replace(T.ASIDE, chr(92) + 'x02').replace(T.HERE, chr(92) + 'x03')}', '{put}', 'g')"
+    return x
+
+
+BODY = "(SELECT DISTINCT * EXCLUDE (loaded_at) FROM paragraphs WHERE NOT coalesce(is_caption, false) AND cell IS NULL AND regexp_matches(text, '\\S') AND para_id NOT IN (SELECT heading_para_id FROM sections WHERE heading_para_id IS NOT NULL))"
+SENTENCES = f"""(SELECT para_id, row_number() OVER (PARTITION BY para_id ORDER BY i) - 1 AS sent_ix, (a + length(piece) - length(b))::BIGINT AS start_pos, (a + length(piece) - length(b) + length(core))::BIGINT AS end_pos, translate(core, chr(2), '.') AS text
+    FROM (SELECT *, regexp_replace(b, '\\s+$', '') AS core FROM (SELECT para_id, i, piece, regexp_replace(piece, '^\\s+', '') AS b, sum(length(piece)) OVER (PARTITION BY para_id ORDER BY i) - length(piece) AS a
+    FROM (SELECT para_id, generate_subscripts(p, 1) AS i, unnest(p) AS piece FROM (SELECT para_id, string_split({_marked('text')}, chr(3)) AS p FROM {BODY})))) WHERE core <> '')"""
+_KINDS = " ".join(f"WHEN regexp_matches(lower(title), '(?:^|[^\\p{{L}}])(?:{_q('|'.join(w for w in words if w[0] < '一'))})|{'|'.join(w for w in words if w[0] >= '一')}') THEN '{kind}'" for kind, words in T.HEADING_WORDS.items())
 TOKENS = f"""flatten(list_transform(regexp_extract_all({_low('text')}, '[a-z0-9]+|[{T.HAN}]+'),
     lambda x: CASE WHEN x >= '一' AND length(x) > 1 THEN list_transform(range(1, length(x)), lambda i: substr(x, i::BIGINT, 2)) ELSE [x] END))"""
 
@@ -154,21 +221,29 @@ SQL = {
     "unaccented_names": f"SELECT regexp_replace(translate(name, '{T.ACCENTED}', '{T.PLAIN}'), '[\\x{{300}}-\\x{{36F}}]', '', 'g') AS plain_name, count(*) AS n, count(DISTINCT name) AS n_spellings FROM (SELECT unnest(authors) AS name FROM {REFS}) WHERE name IS NOT NULL GROUP BY 1",
     "page_cleanup": f"""SELECT doc_id, md5(t) AS clean_md5, length(t)::BIGINT AS n_clean FROM (SELECT doc_id, trim(regexp_replace({_widths("regexp_replace(regexp_replace(regexp_replace(replace(text, chr(173), ''), '([a-z])-\\n([a-z])', '\\1\\2', 'g'), '([" + T.HAN + "])[ \\t]*\\n\\s*', '\\1', 'g'), '[ \\t]*\\n\\s*', ' ', 'g')")}, '[ \\t]{{2,}}', ' ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL)""",
     "tag_strip": f"SELECT record_id, regexp_replace(title, '<[^>]+>', '', 'g') AS title FROM {RECORDS} WHERE title IS NOT NULL",
-    "abstract_gate": f"""SELECT source, count(*) AS n, count(*) FILTER (WHERE length(a) >= 150 AND NOT regexp_matches(h, '(?i)proceedings of|in proceedings|\\bpp?\\.? *[0-9]|\\bvol\\.? *[0-9]|\\bisbn\\b') AND len(regexp_extract_all(h, '[A-Z][A-Za-z-]+(?: [A-Z][A-Za-z-]*)+[,.]')) < 3) AS n_good
+    "abstract_gate": f"""SELECT source, count(*) AS n, count(*) FILTER (WHERE length(a) >= 150 AND NOT regexp_matches(h, '{_q(T.IMPRINT)}') AND len(regexp_extract_all(h, '\\b[A-Z][a-z]+')) <= 0.6 * len(regexp_extract_all(h, '[A-Za-z]{{2,}}'))) AS n_good
         FROM (SELECT source, trim(abstract, ' ') AS a, substr(trim(abstract, ' '), 1, 200) AS h FROM {RECORDS} WHERE answered) GROUP BY 1""",
     "token_counts": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, {TOKENS} AS t FROM documents WHERE text IS NOT NULL)",
     "reference_types": f"""SELECT CASE WHEN regexp_matches(raw, '(?i)arxiv|preprint') THEN 'preprint' WHEN code = 'J' THEN 'journal' WHEN code IN ('C', 'A') THEN 'conference' WHEN code IN ('M', 'G') THEN 'book' WHEN code = 'D' THEN 'thesis' WHEN code IN ('EB', 'DB', 'CP') THEN 'web' WHEN code <> '' THEN 'other'
-        WHEN regexp_matches(raw, '(?i)proceedings|conference|workshop|symposium|会议|论文集') THEN 'conference' WHEN regexp_matches(raw, '(?i)journal|transactions|\\bvol\\.|[0-9]+ *\\( *[0-9]+ *\\) *[:：]|学报|期刊') THEN 'journal' WHEN regexp_matches(raw, 'https?://') THEN 'web' ELSE 'other' END AS kind, count(*) AS n
+        WHEN regexp_matches(raw, '{_q(T.CONFERENCE)}') THEN 'conference' WHEN (regexp_matches(raw, '{_q(T.JOURNAL)}') OR regexp_matches(raw, '{_q(T.ISSUE)}')) THEN 'journal' WHEN regexp_matches(raw, 'https?://') THEN 'web' ELSE 'other' END AS kind, count(*) AS n
         FROM (SELECT raw, upper(regexp_extract(raw, '\\[ *([JCAMDRPSNZG]|EB|DB|CP) *(?:/ *OL)? *\\]', 1)) AS code FROM {REFS} WHERE raw IS NOT NULL) GROUP BY 1""",
-    "grey_literature": f"SELECT ref_id, coalesce(regexp_matches(concat_ws(' ', raw, venue), '(?i)technical report|white *paper|\\bblog\\b|github|https?://|www\\.|\\bdataset\\b|accessed|retrieved from|unpublished|\\bmanuscript\\b|\\btutorial\\b|\\bsoftware\\b|\\btoolkit\\b'), false) OR (trim(coalesce(venue, ''), ' ') = '' AND doi IS NULL) AS grey FROM {REFS}",
+    "grey_literature": f"SELECT ref_id, coalesce(regexp_matches(concat_ws(' ', raw, venue), '{_q(T.GREY)}') OR regexp_matches(concat_ws(' ', raw, venue), '(?i){_q(T.SEEN)}|{_q(T.DATED)}'), false) OR (trim(coalesce(venue, ''), ' ') = '' AND doi IS NULL) AS grey FROM {REFS}",
     "marker_numbers": f"""SELECT marker_id, (row_number() OVER (PARTITION BY marker_id ORDER BY i, number) - 1)::BIGINT AS pos, number FROM (SELECT marker_id, i, unnest(range(least(lo, hi), greatest(lo, hi) + 1)) AS number FROM (
         SELECT marker_id, i, regexp_extract(x, '^[0-9]+')::BIGINT AS lo, regexp_extract(x, '[0-9]+$')::BIGINT AS hi FROM (SELECT marker_id, unnest(m) AS x, generate_subscripts(m, 1) AS i FROM (SELECT marker_id, regexp_extract_all(raw, '[0-9]+ *[-–] *[0-9]+|[0-9]+') AS m FROM {MARKERS} WHERE starts_with(raw, '[')))))""",
     "author_year_items": f"""SELECT marker_id, names, year, suffix FROM (SELECT marker_id, trim(regexp_replace(regexp_extract(x, '^(.*?)[,， (（]*((?:19|20)[0-9][0-9])([a-z]?)', 1), '[,， ]+$', ''), ' ') AS names, try_cast(regexp_extract(x, '((?:19|20)[0-9][0-9])([a-z]?)', 1) AS BIGINT) AS year, regexp_extract(x, '((?:19|20)[0-9][0-9])([a-z]?)', 2) AS suffix
         FROM (SELECT marker_id, unnest(regexp_split_to_array(regexp_replace(raw, '^[ \\t]*[\\(（\\[]|[\\)）\\]][ \\t]*$', '', 'g'), '[;；]')) AS x FROM {MARKERS} WHERE kind = 'author_year')) WHERE names <> '' AND year IS NOT NULL""",
     "table_fragments": f"""SELECT doc_id, n >= 40 AND d >= 12 AND k >= 3 AND d >= 0.08 * n AND k >= 0.015 * n AS fragment, n >= 500 AND k >= 10 AND d >= 0.08 * n AND k >= 0.015 * n AND NOT regexp_matches(text, '[。．！？!?]|\\.(?:\\s|$)') AS flattened
         FROM (SELECT doc_id, text, length(s) AS n, len(regexp_extract_all(s, '[0-9]')) AS d, len(regexp_extract_all(s, '[:：∶]')) AS k FROM (SELECT doc_id, text, {_spaceless('text')} AS s FROM documents WHERE text IS NOT NULL))""",
-    "short_claims": f"""SELECT para_id, sent_ix::BIGINT AS sent_ix, CASE WHEN han > 0 AND han >= words THEN han < 8 ELSE words < 4 END AS short, regexp_matches(text, '(?i)\\b(?:we|our|this (?:paper|study|work|chapter|article)|in this paper|the present study)\\b|本文|我们|本研究|本章') AS own
-        FROM (SELECT para_id, sent_ix, text, len(regexp_extract_all(text, '[{T.HAN}]')) AS han, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS words FROM (SELECT DISTINCT * FROM sentences WHERE text IS NOT NULL))""",
+    "sentences": f"SELECT para_id, sent_ix, start_pos, end_pos FROM {SENTENCES}",
+    "short_claims": f"""SELECT para_id, sent_ix, CASE WHEN han > 0 AND han >= words THEN han < 8 ELSE words < 4 END AS short, regexp_matches(text, '{_q(T.OWN)}') AS own
+        FROM (SELECT para_id, sent_ix, text, len(regexp_extract_all(text, '[{T.HAN}]')) AS han, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS words FROM {SENTENCES})""",
+    "heading_kinds": f"SELECT CASE WHEN trim(title, ' ') = '' THEN NULL {_KINDS} ELSE 'other' END AS kind, lower(trim(canonical, ' ')) AS typed, count(*) AS n FROM (SELECT DISTINCT * EXCLUDE (loaded_at) FROM sections) WHERE title IS NOT NULL GROUP BY 1, 2",
+    "page_fixes": f"SELECT doc_id, md5(t) AS fixed_md5, length(t)::BIGINT AS n_fixed FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{{ad}}]', '', 'g'), '([a-z])-[ \\t]*\\n[ \\t]*([a-z])', '\\1\\2', 'g'), ' +([,.;:!?])', '\\1', 'g') AS t FROM documents WHERE text IS NOT NULL)",
+    "reference_tails": f"""WITH l AS (SELECT doc_id, 0 AS part, para_ix AS place, para_id AS id, text FROM {BODY} UNION ALL SELECT DISTINCT doc_id, 1, 0, '', 'References' FROM reference_entries WHERE origin = 'list' UNION ALL SELECT doc_id, 2, pos, ref_id, raw FROM {REFS} WHERE origin = 'list' AND raw IS NOT NULL),
+        w AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY part, place, id) AS text FROM l GROUP BY 1), p AS (SELECT doc_id, text, regexp_split_to_array(text, '{_q(T.TAIL_HEADS)}') AS p FROM w), k AS (SELECT doc_id, text, p, regexp_replace(substr(text, 1, length(text) - length(p[-1])), '{_q(T.TAIL_HEADS)}$', '') AS kept FROM p)
+        SELECT doc_id, length(text)::BIGINT AS n_text, CASE WHEN len(p) > 1 AND length(kept) > 0.3 * length(text) THEN length(kept) ELSE length(text) END::BIGINT AS n_body, y >= 2 AND s >= 3 AND y * 400 >= least(length(text), 600) AS list_at_end
+        FROM (SELECT *, len(regexp_extract_all(right(text, 600), '[(（ ,.](?:19|20)[0-9]{{2}}[a-z]?[)）.,; ]')) AS y, len(regexp_extract_all(right(text, 600), '\\b[A-Z][.](?:[ -]?[A-Z][.])*,|\\bpp?[.] *[0-9]|[0-9]+ *[(][0-9]+[)] *[,:]|doi|10[.][0-9]{{4}}/|\\[[JMCDPR]\\]|\\bet al\\b')) AS s FROM k)""",
+    "number_formats": f"SELECT source, {_number('chars')} AS chars, {_number('empty')} AS empty, CASE WHEN {_number('low')} = {_number('high')} THEN {_number('low')} ELSE {_number('low')} || '–' || {_number('high')} END AS spread FROM (SELECT source, avg(n_chars) AS chars, avg((text = '')::INT) AS empty, min(n_chars)::DOUBLE AS low, max(n_chars)::DOUBLE AS high FROM documents GROUP BY 1)",
     "id_years": f"SELECT record_id, CASE WHEN yy <> '' THEN CASE WHEN yy::BIGINT >= 91 THEN 1900 + yy::BIGINT ELSE 2000 + yy::BIGINT END END AS id_year FROM (SELECT record_id, regexp_extract(arxiv_id, '([0-9]{{2}})[0-9]{{2}}[.]', 1) AS yy FROM {RECORDS} WHERE arxiv_id IS NOT NULL)",
     "title_kinds": f"SELECT CASE WHEN regexp_matches(title, '(?i)^ *(?:correction|corrigendum|erratum)|^ *(?:更正|勘误)') THEN 'correction' WHEN regexp_matches(title, '(?i)^ *(?:reply|response|comment)\\b|^ *(?:答复|评论)') THEN 'reply' WHEN regexp_matches(title, '(?i)\\b(?:survey|review|overview)\\b|综述') THEN 'survey' WHEN regexp_matches(title, '(?i)\\bcase stud(?:y|ies)\\b|案例') THEN 'case' ELSE 'research' END AS kind, count(*) AS n FROM {RECORDS} WHERE title IS NOT NULL GROUP BY 1",
     "venue_keys": f"SELECT trim(regexp_replace(regexp_replace(regexp_replace({_low('venue')}, '^ *(?:in:? +)?(?:proceedings|proc\\.?)(?: of)?(?: the)? +', ''), '[.,&]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS venue_key, count(*) AS n FROM {REFS} WHERE venue IS NOT NULL GROUP BY 1",

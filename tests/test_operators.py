@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import fuzzy
 from quire.functions import text as T
-from quire.operators import entities, evidence, intervals, layout, orphans, retrieval, sequences, statistics, store
+from quire.operators import entities, evidence, intervals, layout, orphans, quantities, retrieval, sequences, statistics, store
 
 
 def rows(df):
@@ -49,13 +49,53 @@ def test_fuzzy(spark):
         assert fuzzy.common(a, b) == slow(a, b)
     assert fuzzy.ratio("", "") == 100 and fuzzy.sorted_ratio("b a", "a b") == 100 and fuzzy.partial_ratio("bc", "abcd") == 100
     assert [fuzzy.surname(x) for x in ("Devlin, J.", "Devlin J. M.", "Jacob Devlin", "Aaron van den Oord", "van Atteveldt W", "王小明", "")] == ["Devlin", "Devlin", "Devlin", "van den Oord", "van Atteveldt", "王小明", ""]
-    assert fuzzy.conflict("accuracy reached 91 points on the reading benchmark", "accuracy reached 81 points on the reading benchmark") == (91.0, 81.0)
-    assert fuzzy.conflict("accuracy reached 91 points on the reading benchmark", "accuracy reached 90.9 points on the reading benchmark") is None
-    assert fuzzy.conflict("accuracy rose 10 points on the reading benchmark", "accuracy rose from 81 points to 91 points on the reading benchmark") is None
     df = spark.createDataFrame([("abc", "abd"), (None, "x")], "a string, b string")
     assert [r[0] for r in df.select(fuzzy.ratio_udf("a", "b")).collect()] == [200 * 2 / 6, None]
 
 
+def test_names():
+    for name, want in {"Devlin J. M.": "Devlin", "LEE A": "LEE", "J. LEE": "LEE", "A. Lee": "Lee", "van den Oord": "van den Oord", "Maria del Carmen": "del Carmen", "王 小": "小", " Smith ,J": "Smith", "K": "K"}.items():
+        assert fuzzy.surname(name) == want
+
+
+def test_conflicts(spark):
+    said = [
+        ("accuracy reached 91 points on the reading benchmark", "accuracy reached 81 points on the reading benchmark", (91.0, 81.0)), ("accuracy reached 91 points on the reading benchmark", "accuracy reached 90.9 points on the reading benchmark", None),
+        ("accuracy rose 10 points on the reading benchmark", "accuracy rose from 81 points to 91 points on the reading benchmark", None), ("they followed 1,200 patients through the whole winter", "they followed 900 patients through the winter of 1999", (1200.0, 900.0)),
+        ("they followed 1,200 patients through the whole winter", "they followed 900 nurses through the winter of 1999", None), ("the yield rose by 12% under shallow watering", "shallow watering made the yield fall by 7%", (12.0, 7.0)),
+        ("共有120名学生参加了阅读测试", "共有80名学生参加了阅读测试", (120.0, 80.0)), ("twelve of the patients", "20 of the patients", None), (None, "20 of the patients", None), ("20 of the patients", None, None), ("", "", None),
+        ("one trial used 6 plots beside the river", "the trial beside the river used 2 plots and later 3 plots", None),
+    ]
+    df = spark.createDataFrame([(i, a, b, "clash") for i, (a, b, _) in enumerate(said)], "pair int, claim string, source string, unit string")
+    got = {r.pair: (r.claimed, r.given) for r in quantities.conflicts(df.select("pair", "claim", "source")).collect()}
+    assert got == {i: w for i, (_, _, w) in enumerate(said) if w}
+    assert rows(quantities.quantities(df.where("pair = 5"), "pair", "claim").select("value", "unit")) == [(12.0, "%")]
+    assert quantities.conflicts(df.select("pair", "claim", "source").where("false")).count() == 0
+
+
+def test_sentence_scalars(spark):
+    c = F.col("s")
+    for text, want in {
+        "Dr. P. Lee came. He left.[3] Then 3.5 m rose, cf. Fig. 2. Done": ["Dr. P. Lee came.", "He left.[3]", "Then 3.5 m rose, cf. Fig. 2.", "Done"], "先做。后做！「停。」走": ["先做。", "后做！", "「停。」", "走"], " \n": [], "": [],
+        "He said “It failed.” Then more. small goes on.": ["He said “It failed.”", "Then more. small goes on."], "One?! Two… Three": ["One?!", "Two…", "Three"],
+    }.items():
+        got = one(spark, T.sentences(c), s=text)
+        assert [x.text for x in got] == want and [text[x.start_pos : x.end_pos] for x in got] == want
+    assert one(spark, T.sentences(F.lit(None).cast("string")), s="") is None
+    kinds = {"2 Related Work": "related", "Methodology": "method", "实验设置": "experiment", "Fazit": "conclusion", "Einleitung": "intro", "Funding": "other", " ": None, "Ergebnisse": "experiment"}
+    assert [one(spark, T.heading_kind(c), s=k) for k in kinds] == list(kinds.values())
+    assert one(spark, T.fix_page(c), s="ef-\nﬁcient , yes\x07") == "efficient, yes"
+    body = "Text of the study. " * 20
+    assert one(spark, T.without_tail(c), s=body + "\nReferences\nA, B. 2001.") == body and one(spark, T.without_tail(c), s="x\nReferences\n" + body) == "x\nReferences\n" + body
+    assert one(spark, T.list_window(c), s="Lee, A., (2001). On it. J. X, 3(2), 1-9. Kim, B., (2003). Y. doi:10.1000/x") is True and one(spark, T.list_window(c), s=body) is False
+    for v, want in ((1234.5, "1235"), (12.0, "12"), (3.14, "3.1"), (0.0312, "0.031"), (0.0, "0"), (None, "–")):
+        assert one(spark, T.short_number(F.lit(v).cast("double")), s="") == want
+    assert one(spark, T.short_range(F.lit(1.0), F.lit(2.5)), s="") == "1–2.5" and one(spark, T.short_range(F.lit(1.0), F.lit(1.0)), s="") == "1"
+    assert one(spark, T.own_contribution(c), s="We propose a method") and not one(spark, T.own_contribution(c), s="We know from earlier work")
+    assert one(spark, T.grey_literature(c, F.lit("V"), F.lit(None)), s="Lee (2021, March 3). A page.") is True
+    assert one(spark, F.size(T.marker_numbers(c)), s="[1-20000]") == 20_000 and one(spark, T.marker_numbers(c), s="[3-99999999999]") == []
+
+
 def test_intervals(spark):
     spans = spark.createDataFrame([("p", 0, 5), ("p", 5, 9), ("q", 0, 3), ("p", 7, 7), (None, 0, 3)], "k string, begin int, stop int")
     marks = spark.createDataFrame([("p", 4, 6, 1), ("p", 5, 7, 2), ("r", 0, 1, 3), ("p", None, 3, 4)], "k string, start int, end int, id int")
