@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.fuzzy import plain_udf, ratio_udf, sorted_ratio_udf, surname_udf
 from quire.functions.text import HEAD_WORDS, PREFIX_WORDS, ascii_lower, title_head, title_prefix, year_only_difference
+from quire.functions.text import marker_numbers as numbers_of
 from quire.operators.alike import alike, arranged_udf
 
 
@@ -112,6 +113,26 @@ def assign(scores: DataFrame, left: str, right: str, score: str, rounds: int = 3
     return taken if taken is not None else open_
 
 
+def marker_numbers(markers: DataFrame) -> DataFrame:
+    """doc_id, marker_id, number of numeric markers in square brackets, distinct. markers: doc_id, marker_id, raw."""
+    return markers.where(F.col("raw").startswith("[")).select("doc_id", "marker_id", F.explode(numbers_of(F.col("raw"))).alias("number")).distinct()
+
+
+def listed_entries(entries: DataFrame) -> DataFrame:
+    """List entries with their number by label and by place."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "ref_id")).cast("bigint")
+    return entries.where("origin = 'list'").select("doc_id", "ref_id", F.regexp_extract("label", r"^\[?([0-9]+)\]?$", 1).try_cast("bigint").alias("label_number"), place.alias("place"))
+
+
+def numbered_links(markers: DataFrame, entries: DataFrame) -> DataFrame:
+    """marker_id, number, ref_id: the entry of each number, the one that bears it as label, else the one at that place."""
+    e = listed_entries(entries)
+    by_label = e.where("label_number IS NOT NULL").groupBy("doc_id", F.col("label_number").alias("number")).agg(F.min_by("ref_id", F.struct("place")).alias("label_ref"))
+    by_place = e.select("doc_id", F.col("place").alias("number"), F.col("ref_id").alias("place_ref"))
+    hit = marker_numbers(markers).join(by_label, ["doc_id", "number"], "left").join(by_place, ["doc_id", "number"], "left")
+    return hit.select("marker_id", "number", F.coalesce("label_ref", "place_ref").alias("ref_id"))
+
+
 def author_year_links(items: DataFrame, entries: DataFrame, *, least: float = 85.0) -> DataFrame:
     """marker_id, names, year, ref_id: the entry of the same manuscript that a marker's names and year mean.
 

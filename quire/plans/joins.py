@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import entities as E
 from quire.operators import intervals as I
 from quire.plans.text import MARKERS, REFS, SENTENCES, latest, refs, sentence_rows
 from quire.session import table
@@ -50,24 +51,16 @@ def claim_references(spark, folder):
 
 
 def numbers(spark, folder):
-    rows = markers(spark, folder).where(c("raw").startswith("["))
-    return rows.select("doc_id", "marker_id", F.explode(T.marker_numbers(c("raw"))).alias("number")).distinct()
+    return E.marker_numbers(markers(spark, folder))
 
 
 def entries(spark, folder):
-    """List entries with their number by label and by place."""
-    listed = refs(spark, folder).where("origin = 'list'")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "ref_id")).cast("bigint")
-    return listed.select("doc_id", "ref_id", F.regexp_extract("label", r"^\[?([0-9]+)\]?$", 1).try_cast("bigint").alias("label_number"), place.alias("place"))
+    return E.listed_entries(refs(spark, folder))
 
 
 def resolve_markers(spark, folder):
     """The entry of each number: the one that bears it as label, else the one at that place."""
-    e = entries(spark, folder)
-    by_label = e.where("label_number IS NOT NULL").groupBy("doc_id", c("label_number").alias("number")).agg(F.min_by("ref_id", F.struct("place")).alias("label_ref"))
-    by_place = e.select("doc_id", c("place").alias("number"), c("ref_id").alias("place_ref"))
-    hit = numbers(spark, folder).join(by_label, ["doc_id", "number"], "left").join(by_place, ["doc_id", "number"], "left")
-    return hit.select("marker_id", "number", F.coalesce("label_ref", "place_ref").alias("ref_id"))
+    return E.numbered_links(markers(spark, folder), refs(spark, folder))
 
 
 def unresolved_numbers(spark, folder):

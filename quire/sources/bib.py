@@ -74,10 +74,18 @@ def entries(text: str) -> Iterator[tuple[str, str, dict[str, str], int]]:
 
 
 def bbl_items(text: str) -> Iterator[tuple[str, str, dict[str, str], int]]:
-    """Items of a thebibliography environment or a typeset .bbl file: key, raw text."""
+    """Items of a thebibliography environment or a typeset .bbl file (key, raw text), or of one that biblatex wrote (key, fields)."""
     for m in re.finditer(r"\\bibitem\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}(.*?)(?=\\bibitem|\\end\{thebibliography\}|\Z)", text, re.S):
         raw = re.sub(r"\\newblock|\\[a-zA-Z]+\*?|[{}~]", " ", m[2])
         yield m[1].strip(), "bibitem", {"raw": re.sub(r"\s+", " ", raw).strip()}, m.start()
+    for m in re.finditer(r"\\entry\{([^}]*)\}\{([^}]*)\}\{[^}]*\}(.*?)\\endentry", text, re.S):
+        fields = {f[1].lower(): m[3][f.end() : closing(m[3], f.end() - 1) - 1] for f in re.finditer(r"\\field\{([^}]*)\}\{", m[3])}
+        people = [m[3][a.end() : closing(m[3], a.end() - 1) - 1] for a in re.finditer(r"\\name\{author\}\{\d+\}\{[^}]*\}\{", m[3])][:1]
+        part = lambda who, x: next(iter(re.findall(rf"{x}=\{{([^{{}}]*)\}}", who)), "")
+        told = [f"{part(who, 'family')}, {part(who, 'given')}".strip(", ") for some in people for who in re.findall(r"\{\{[^{}]*\}\{((?:[^{}]|\{[^{}]*\})*)\}\}", some)]
+        if told:
+            fields["author"] = " and ".join(told)
+        yield m[1].strip(), m[2].strip().lower(), {k: re.sub(r"\s+", " ", v).strip() for k, v in fields.items()}, m.start()
 
 
 def read_bib(spark: SparkSession, path: str) -> DataFrame:

@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.bib import closing
+from quire.functions.fuzzy import surname
+from quire.sources.bib import bbl_items, closing, entries
 
-DDL = "project string, ix int, kind string, level int, text string, keys array<string>, file string, line int"
+DDL = "project string, ix int, kind string, level int, text string, keys array<string>, file string, line int, marks array<struct<start:int,end:int,keys:array<string>>>, entry_type string, fields map<string,string>"
 HEADINGS = {"part": 0, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
 CITE = re.compile(r"\\(?:[Cc]ite[a-zA-Z]*|parencite|textcite|autocite|footcite)\*?\s*(?:\[[^\]]*\]\s*){0,2}\{([^{}]*)\}")
 FLOATS = ("figure", "table", "figure*", "table*", "wrapfigure", "longtable")
@@ -88,11 +89,33 @@ def macros_of(text: str) -> dict[str, tuple[int, str]]:
     return out
 
 
-def expand_macros(text: str, macros: dict[str, tuple[int, str]], rounds: int = 4, most: int = 4_000_000) -> str:
+def settled(macros: dict[str, tuple[int, str]]) -> dict[str, tuple[int, str]]:
+    """The macros whose bodies never lead back to themselves, so that expansion ends; the others stay as they are written."""
+    names = {n: {m for m in re.findall(r"\\([A-Za-z@]+)", body) if m in macros} for n, (_, body) in macros.items()}
+    known: dict[str, bool] = {}
+
+    def ends(name: str, path: frozenset) -> bool:
+        if name in path:
+            return False
+        if name not in known:
+            known[name] = all(ends(n, path | {name}) for n in names[name])
+        return known[name]
+
+    return {n: m for n, m in macros.items() if ends(n, frozenset())}
+
+
+def aliases_of(text: str, macros: dict[str, tuple[int, str]]) -> dict[str, tuple[int, str]]:
+    """\\let\\new\\old: the new name for a macro, or for any other command."""
+    return {m[1]: macros.get(m[2], (0, f"\\{m[2]} ")) for m in re.finditer(r"\\let\s*\\([A-Za-z@]+)\s*=?\s*\\([A-Za-z@]+)", text) if m[1] != m[2]}
+
+
+def expand_macros(text: str, macros: dict[str, tuple[int, str]], most: int = 64_000_000) -> str:
+    """Every macro in place of its name, until none is left; a text that would grow beyond `most` letters is refused."""
+    macros = settled(macros)
     if not macros:
         return text
     call = re.compile(r"\\(" + "|".join(sorted(map(re.escape, macros), key=len, reverse=True)) + r")(?![A-Za-z@])")
-    for _ in range(rounds):
+    while True:
         out, at, changed = [], 0, False
         for m in call.finditer(text):
             if m.start() < at:
@@ -111,19 +134,43 @@ def expand_macros(text: str, macros: dict[str, tuple[int, str]], rounds: int = 4
             out += [text[at : m.start()], body]
             at, changed = i, True
         text = "".join(out) + text[at:]
-        if not changed or len(text) > most:
-            break
-    return text
+        if not changed:
+            return text
+        if len(text) > most:
+            raise ValueError("macros unfold beyond bounds")
+
+
+def placed(text: str, numbers: dict[str, int] | None = None, names: dict[str, tuple[list[str], str]] | None = None) -> tuple[str, list[dict]]:
+    """Readable text, and where each citation stands in it with its keys."""
+    cites: list[list[str]] = []
+
+    def hide(m: re.Match) -> str:
+        cites.append([k.strip() for k in m[1].split(",") if k.strip()])
+        return f"\uE000{chr(0xF0000 + len(cites) - 1)}\uE001" if len(cites) < 60_000 else m[0]
+
+    shown = render(CITE.sub(hide, text), numbers, names)
+    out, marks, at, size = [], [], 0, 0
+    for m in re.finditer("\uE000(.)\uE001", shown):
+        keys = cites[ord(m[1]) - 0xF0000]
+        raw = visible(keys, numbers, names)
+        out += [shown[at : m.start()], raw]
+        size += m.start() - at
+        marks.append({"start": size, "end": size + len(raw), "keys": keys})
+        size, at = size + len(raw), m.end()
+    return "".join(out) + shown[at:], marks
+
+
+def visible(keys: list[str], numbers: dict[str, int] | None, names: dict[str, tuple[list[str], str]] | None) -> str:
+    if names:
+        return "(" + "; ".join(f"{names_of(names[k][0])}, {names[k][1]}" for k in keys if k in names) + ")"
+    return "[" + ", ".join(str(numbers.get(k, k)) if numbers else k for k in keys) + "]"
 
 
 def render(text: str, numbers: dict[str, int] | None = None, names: dict[str, tuple[list[str], str]] | None = None) -> str:
     """Readable text: citations as [n], or as (Name, year) where names are given, math flattened, commands dropped."""
 
     def cite(m: re.Match) -> str:
-        keys = [k.strip() for k in m[1].split(",") if k.strip()]
-        if names:
-            return "(" + "; ".join(f"{names_of(names[k][0])}, {names[k][1]}" for k in keys if k in names) + ")"
-        return "[" + ", ".join(str(numbers.get(k, k)) if numbers else k for k in keys) + "]"
+        return visible([k.strip() for k in m[1].split(",") if k.strip()], numbers, names)
 
     text = CITE.sub(cite, text)
     text = re.sub(r"\$\$?(.+?)\$\$?|\\\((.+?)\\\)|\\\[(.+?)\\\]", lambda m: flat_math(next(g for g in m.groups() if g)), text, flags=re.S)
@@ -180,9 +227,11 @@ def table_rows(body: str) -> list[list[tuple[str, int, bool]]]:
     return rows
 
 
-def blocks(source: str, main: str) -> list[tuple[str, int | None, str, list[str], str, int]]:
-    """(kind, level, text, keys, file, line) of headings, paragraphs, captions, cells and list items in order."""
-    macros = macros_of(source.partition("\\begin{document}")[0])
+def blocks(source: str, main: str, numbers: dict[str, int] | None = None, names: dict[str, tuple[list[str], str]] | None = None) -> list[tuple[str, int | None, str, list[str], str, int, list[dict]]]:
+    """(kind, level, text, keys, file, line, marks) of headings, paragraphs, captions, cells and list items in order."""
+    preamble = source.partition("\\begin{document}")[0]
+    macros = macros_of(preamble)
+    macros = aliases_of(preamble, macros) | macros
     body = source.partition("\\begin{document}")[2] or source
     body = body.partition("\\end{document}")[0]
     body = expand_macros(conditionals(body), macros)
@@ -201,9 +250,9 @@ def blocks(source: str, main: str) -> list[tuple[str, int | None, str, list[str]
                 line += 1
         raw = re.sub("\x02[^\x03]*\x03", "", raw)
         keys = [k.strip() for m in CITE.finditer(raw) for k in m[1].split(",") if k.strip()]
-        text = render(raw)
+        text, marks = placed(raw, numbers, names)
         if text:
-            out.append((kind, level, text, keys, *(began or (file, line))))
+            out.append((kind, level, text, keys, *(began or (file, line)), marks))
 
     piece = re.compile(r"\\(" + "|".join(HEADINGS) + r")\*?\s*(?:\[[^\]]*\])?\s*\{|\\begin\{(" + "|".join(map(re.escape, FLOATS)) + r")\}|\\begin\{(thebibliography)\}|\n[ \t]*\n\s*|\\item\b")
     at = 0
@@ -225,10 +274,10 @@ def blocks(source: str, main: str) -> list[tuple[str, int | None, str, list[str]
                 for t in re.finditer(r"\\begin\{tabular[x*]?\}(?:\{[^{}]*\})?\s*\{(?:[^{}]|\{[^{}]*\})*\}(.*?)\\end\{tabular[x*]?\}", inner, re.S):
                     for row in table_rows(t[1]):
                         for text, span, header in row:
-                            out.append(("header" if header else "cell", span, text, [], file, line))
+                            out.append(("header" if header else "cell", span, text, [], file, line, []))
             else:
                 for k in re.finditer(r"\\bibitem\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}(.*?)(?=\\bibitem|\Z)", inner, re.S):
-                    out.append(("bibitem", None, render(k[2]), [k[1].strip()], file, line))
+                    out.append(("bibitem", None, render(k[2]), [k[1].strip()], file, line, []))
             line += inner.count("\n")
             end = body.find("}", stop) + 1 or len(body)
         else:
@@ -238,10 +287,58 @@ def blocks(source: str, main: str) -> list[tuple[str, int | None, str, list[str]
     return out
 
 
+def raw_of(fields: dict[str, str]) -> str:
+    """A bibliography line made of an entry's fields."""
+    if "raw" in fields:
+        return fields["raw"]
+    plain = lambda k: render(fields.get(k, ""))
+    authors = ", ".join(" ".join(reversed([x.strip() for x in a.split(",", 1)])) for a in re.split(r"\s+and\s+", plain("author")) if a)
+    volume = plain("volume") + (f"({plain('number')})" if fields.get("number") else "") + (f":{plain('pages')}" if fields.get("pages") else "")
+    place = ", ".join(x for x in (plain("journal") or plain("journaltitle") or plain("booktitle") or plain("publisher"), volume, plain("year") or plain("date")[:4]) if x)
+    return ". ".join(x for x in (authors, plain("title"), place, f"doi:{fields['doi']}" if fields.get("doi") else "") if x) + "."
+
+
+def assembled(files: dict[str, str], listed: list[tuple[str, str]], cited: list[str]) -> list[tuple[str, str, dict[str, str]]]:
+    """(key, type, fields) of a project's entries in the order of its list: the list in the text, else what the .bbl file
+    typeset, else the .bib entries in order of first citation, and last those nobody cites. A key counts once; fields of the
+    .bib file join what the list only has as a line."""
+    bib: dict[str, tuple[str, dict[str, str]]] = {}
+    typeset: list[tuple[str, dict[str, str]]] = []
+    for name in sorted(files):
+        if name.endswith(".bib"):
+            for key, kind, fields, _ in entries(files[name]):
+                bib.setdefault(key, (kind, fields))
+        elif name.endswith(".bbl"):
+            typeset += [(key, fields) for key, _, fields, _ in bbl_items(files[name])]
+    order = [(k, {"raw": raw}) for k, raw in listed] or typeset or [(k, {}) for k in dict.fromkeys(cited) if k in bib]
+    order += [(k, {}) for k in bib]
+    out: dict[str, tuple[str, dict[str, str]]] = {}
+    for key, fields in order:
+        out.setdefault(key, (bib.get(key, ("bibitem", {}))[0], {**bib.get(key, ("", {}))[1], **fields}))
+    return [(k, t, f) for k, (t, f) in out.items()]
+
+
 def parse_project(project: str, files: dict[str, str]) -> pd.DataFrame:
+    """Blocks of a project and, as kind entry, its bibliography; citations show numbers or names as its style says."""
     main = main_file(files)
-    rows = blocks(expand_inputs(main, files), main) if main else []
-    return pd.DataFrame([(project, i, *r) for i, r in enumerate(rows)], columns=["project", "ix", "kind", "level", "text", "keys", "file", "line"]).astype({"ix": "int32", "level": "Int32", "line": "int32"})
+    columns = ["project", "ix", "kind", "level", "text", "keys", "file", "line", "marks", "entry_type", "fields"]
+    rows: list[tuple] = []
+    if main:
+        source = expand_inputs(main, files)
+        try:
+            first = blocks(source, main)
+        except ValueError:
+            first = [("unreadable", None, None, [], main, 1, [])]
+        cited = [k for r in first for m in r[6] for k in m["keys"]]
+        found = assembled(files, [(r[3][0], r[2]) for r in first if r[0] == "bibitem"], cited)
+        numbers = {k: n for n, (k, _, _) in enumerate(found, 1)}
+        years = {k: f.get("year") or f.get("date", "")[:4] for k, _, f in found}
+        names = {k: ([surname(re.sub(r"[{}]", "", a)) for a in re.split(r"\s+and\s+", f["author"])], years[k]) for k, _, f in found if f.get("author") and years[k]}
+        dated = citation_style(source) == "author_year" and set(cited) & set(names)
+        typed = any(name.endswith((".bib", ".bbl")) for name in files)
+        again = blocks(source, main, None if dated else numbers, names if dated else None) if typed and found else first
+        rows = [(*r, None, None) for r in again] + [("entry", None, raw_of(f), [k], main, 0, [], t, f) for k, t, f in found if typed]
+    return pd.DataFrame([(project, i, *r) for i, r in enumerate(rows)], columns=columns).astype({"ix": "int32", "level": "Int32", "line": "int32"})
 
 
 def archive_files(data: bytes, most: int = 64 << 20) -> dict[str, str]:
@@ -258,12 +355,12 @@ def archive_files(data: bytes, most: int = 64 << 20) -> dict[str, str]:
 
 
 def read_latex(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of all LaTeX projects at path: a folder below it is a project, as is a .tar.gz file.
+    """Blocks of all LaTeX projects at path, and their entries: a folder below it is a project, as is a .tar.gz file.
 
     A project's files are one group, which one task reads: includes need them together. Projects without a .tex file
     give no row.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{tex,gz}").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{tex,bib,bbl,gz}").load(path).select("path", "content")
     inner = F.substring_index("path", path.removeprefix("file:").rstrip("/") + "/", -1)
     rows = files.withColumn("name", inner).withColumn("project", F.substring_index("name", "/", 1))
 

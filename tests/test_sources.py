@@ -2,7 +2,7 @@ import io
 import tarfile
 import zipfile
 
-from quire.sources import bib, docx, latex
+from quire.sources import bib, docx, latex, manuscripts
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -92,3 +92,81 @@ def test_sink(spark, tmp_path):
     (tmp_path / "w.json").write_text('{"name": "W"}')
     (tmp_path / "bad.json").write_text("{")
     assert [(r.id, r.aliases, r.rules) for r in sink.registry(spark, str(tmp_path)).orderBy("id").collect()] == [("v", ["V."], '{"min_refs": 8}'), ("w", [], "{}")]
+
+
+def word_file(path, paragraphs, numbering=True):
+    """paragraphs: text, or (text, style), or raw XML of a paragraph's inside."""
+    def para(p):
+        if isinstance(p, str) and p.startswith("<"):
+            return f"<w:p>{p}</w:p>"
+        text, style = p if isinstance(p, tuple) else (p, None)
+        return f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>' if style else ''}<w:r><w:t>{text}</w:t></w:r></w:p>"
+
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {NS}><w:body>{''.join(map(para, paragraphs))}</w:body></w:document>")
+        z.writestr("word/styles.xml", f'<w:styles {NS}><w:style w:styleId="H1"><w:name w:val="heading 1"/></w:style></w:styles>')
+        z.writestr("word/footnotes.xml", f'<w:footnotes {NS}><w:footnote w:id="4"><w:p><w:r><w:t>Park, C. (2011). A study of slow tides. Sea Letters, 4(1), 1-9.</w:t></w:r></w:p></w:footnote></w:footnotes>')
+        levels = "".join(f'<w:lvl w:ilvl="{i}"><w:start w:val="1"/><w:numFmt w:val="{f}"/><w:lvlText w:val="{t}"/></w:lvl>' for i, (f, t) in enumerate((("decimal", "[%1]"), ("lowerRoman", "%1.%2"), ("upperLetter", "%3)"))))
+        z.writestr("word/numbering.xml", f'<w:numbering {NS}><w:abstractNum w:abstractNumId="0">{levels}</w:abstractNum><w:num w:numId="3"><w:abstractNumId w:val="0"/></w:num></w:numbering>')
+
+
+def listed(text, level=0):
+    return f'<w:pPr><w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="3"/></w:numPr></w:pPr><w:r><w:t>{text}</w:t></w:r>'
+
+
+def raised(before, mark):
+    return f'<w:r><w:t>{before}</w:t></w:r><w:r><w:rPr><w:vertAlign w:val="superscript"/></w:rPr><w:t>{mark}</w:t></w:r>'
+
+
+def test_auto_numbers():
+    xml = io.BytesIO()
+    word_file(xml, [])
+    n = docx.Numbering(zipfile.ZipFile(xml).read("word/numbering.xml"))
+    assert [n.label(3, x) for x in (0, 1, 1, 0, 1, 2, 2)] == ["[1]", "1.i", "1.ii", "[2]", "2.i", "A)", "B)"] and n.label(9, 0) is None
+    assert [docx.spelled(28, s) for s in ("lowerLetter", "upperRoman", "decimalZero", "decimal")] == ["bb", "XXVIII", "28", "28"]
+
+
+def test_manuscripts(spark, tmp_path):
+    from quire.plans import checks, joins
+
+    word_file(tmp_path / "a.docx", [
+        "A study of tides", raised("Ann Lee", "1,2"), ("Introduction", "H1"), "Tides rise slowly [1, 3]. Others differ (Kim, 2003).", raised("They fall", "2"), '<w:r><w:t>As noted</w:t></w:r><w:r><w:footnoteReference w:id="4"/></w:r><w:r><w:t>.</w:t></w:r>', "Table 1. Depths", ("Methods", "H1"), "No mark here [9].",
+        ("References", "H1"), listed("Lee, A. (2001). On slow tides. Sea Letters, 1(2), 3-9."), listed("Moe, D. (2002). On fast tides. Sea Letters, 1(2), 3-9."), listed("Kim, B. (2003). On tides in general. Sea Letters, 2(2), 3-9."),
+    ])
+    word_file(tmp_path / "plain.docx", ["1 Introduction", "Text without styles (Lee et al., 2001).", "2.1 Details", "More.", "3. Results were found, and they were many.", "[1] Lee A. A first work[J]. Sea, 2001.", "[2] Kim B. A second work[J]. Sea, 2002.", "[3] Moe C. A third work[J]. Sea, 2003."])
+    p = tmp_path / "tex"
+    p.mkdir()
+    (p / "main.tex").write_text("\\documentclass{article}\\let\\say\\emph\\newcommand{\\loop}{\\loop}\n\\begin{document}\n\\section{Introduction}\nTides \\say{rise} \\cite{b,a}. Then \\cite{c} \\loop.\n\\begin{table}\\caption{Cap}\\begin{tabular}{l}x\\\\\\end{tabular}\\end{table}\\bibliography{r}\\end{document}")
+    (p / "r.bib").write_text("@article{a, author={Lee, Ann}, title={On tides}, journal={Sea}, year={2001}}\n@book{b, author={Kim, Bo and Moe, C.}, title={Tides}, year=2002}\n@misc{unused, title={None}}")
+    q = tmp_path / "blx"
+    q.mkdir()
+    (q / "m.tex").write_text("\\begin{document}Seen \\citep{k}.\\end{document}")
+    (q / "m.bbl").write_text("\\entry{k}{article}{}\\name{author}{1}{}{{{hash=1}{family={Park}, given={C.}}}}\\field{title}{Slow tides}\\field{year}{2011}\\endentry")
+    tables = manuscripts.read_manuscripts(spark, str(tmp_path))
+    folder = str(tmp_path / "out")
+    manuscripts.write_tables(tables, folder)
+    t = {n: [r.asDict() for r in spark.read.parquet(f"{folder}/{n}.parquet").collect()] for n in tables}
+    texts = {r["para_id"]: r["text"] for r in t["paragraphs"]}
+    assert all(texts[m["para_id"]][m["start_pos"] : m["end_pos"]] == m["raw"] for m in t["markers"])
+    got = {(m["doc_id"], m["raw"], m["kind"]): m["ref_ids"] for m in t["markers"]}
+    assert got["a.docx", "[1, 3]", "numeric"] == ["a.docx#r1", "a.docx#r3"] and got["a.docx", "(Kim, 2003)", "author_year"] == ["a.docx#r3"] and got["a.docx", "2", "superscript"] == ["a.docx#r2"]
+    assert got["a.docx", "", "footnote"] == ["a.docx#r100001"] and got["a.docx", "[9]", "numeric"] == [] and ("a.docx", "1,2", "superscript") not in got
+    assert got["plain.docx", "(Lee et al., 2001)", "author_year"] == ["plain.docx#r1"]
+    assert got["tex", "[1, 2]", "numeric"] == ["tex#r1", "tex#r2"] and got["tex", "[c]", "numeric"] == []
+    assert got["blx", "(Park, 2011)", "author_year"] == ["blx#r1"]
+    assert {(s["doc_id"], s["title"], s["canonical"]) for s in t["sections"]} == {("a.docx", None, "other"), ("a.docx", "Introduction", "intro"), ("a.docx", "Methods", "method"), ("a.docx", "References", "other"), ("plain.docx", "1 Introduction", "intro"), ("tex", "Introduction", "intro"), ("blx", None, "other")}
+    assert {r["text"] for r in t["paragraphs"] if r["is_caption"]} == {"Table 1. Depths", "Cap"} and [r["text"] for r in t["paragraphs"] if r["cell"]] == ["x"]
+    entries = {(r["doc_id"], r["pos"]): (r["title"], r["year"], r["key"]) for r in t["reference_entries"]}
+    assert entries["a.docx", 3] == ("On tides in general", 2003, None) and entries["tex", 1][2] == "b" and {r["key"] for r in t["bib_entries"]} == {"a", "b", "unused", "k"}
+    assert {(r.marker_id.split("#")[0], r.number) for r in joins.unresolved_numbers(spark, folder).collect()} == {("a.docx", 9)}
+    rules = {(r.rule, r.doc_id): r.n for r in checks.findings(spark, folder).collect()}
+    assert rules["unresolved_marker", "a.docx"] == 1 and rules["uncited_entry", "tex"] == 1 and ("uncited_entry", "a.docx") not in rules
+    (tmp_path / "none").mkdir()
+    assert all(d.count() == 0 for d in manuscripts.read_manuscripts(spark, str(tmp_path / "none")).values())
+
+
+def test_macros_end():
+    deep = {f"m{i}": (0, f"\\m{i + 1} x") for i in range(12)} | {"m12": (0, "end")}
+    deep = {k.translate(str.maketrans("0123456789", "abcdefghij")): (n, b.translate(str.maketrans("0123456789", "abcdefghij"))) for k, (n, b) in deep.items()}
+    assert latex.expand_macros("\\ma", deep) == "end" + " x" * 12
+    assert latex.expand_macros("\\a \\c", {"a": (0, "\\b"), "b": (0, "\\a"), "c": (0, "ok")}) == "\\a ok"
