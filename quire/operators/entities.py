@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.fuzzy import plain_udf, ratio_udf, sorted_ratio_udf, surname_udf
+from quire.functions.fuzzy import partial_ratio_udf, plain_udf, ratio_udf, sorted_ratio_udf, surname_udf
 from quire.functions.text import HEAD_WORDS, PREFIX_WORDS, ascii_lower, title_head, title_prefix, year_only_difference
 from quire.functions.text import marker_numbers as numbers_of
 from quire.operators.alike import alike, arranged_udf
@@ -34,26 +33,30 @@ def likely(entries: DataFrame, records: DataFrame, least: float) -> DataFrame:
     return near.unionByName(begun).distinct()
 
 
-def candidates(entries: DataFrame, records: DataFrame, *, least: float = 92.0) -> DataFrame:
+def candidates(entries: DataFrame, records: DataFrame, *, least: float = 92.0, horizon: int | None = None) -> DataFrame:
     """Pairs of entry and record whose titles agree, with the issues that speak against them.
 
     A pair needs a likeness of `least`, or a title that is the other's beginning or shares its head with no issue and
     author and year known on both sides; a title different in its year only needs the same DOI. Pairs whose first author
-    and year both differ drop out unless the DOI is the same. Columns: ref_id, record_id, score, issues, same_doi.
+    and year both differ drop out unless the DOI is the same. A record that is no preprint and names two authors must agree
+    in the second as well. Years agree within one, a preprint's within two; a record later than `horizon` + 1 is no
+    contradiction to an entry before it. Columns: ref_id, record_id, score, issues, same_doi.
     """
-    e = entries.withColumn("first", surname_udf(F.get("authors", F.lit(0))))
-    r = records.withColumn("first", surname_udf(F.get("authors", F.lit(0))))
+    names = lambda df: df.withColumn("first", surname_udf(F.get("authors", F.lit(0)))).withColumn("second", surname_udf(F.get("authors", F.lit(1))))
+    e, r = names(entries), names(records)
     pairs = likely(entries, records, least)
-    a = e.select("ref_id", F.col("title").alias("ta"), F.col("first").alias("fa"), F.col("year").alias("ya"), F.lower("doi").alias("da"))
-    b = r.select("record_id", F.col("title").alias("tb"), F.col("main_title").alias("mb"), F.col("first").alias("fb"), F.col("year").alias("yb"), F.col("alt_year").alias("zb"), F.lower("doi").alias("db"), F.col("arxiv_id").isNotNull().alias("preprint"))
+    a = e.select("ref_id", F.col("title").alias("ta"), F.col("first").alias("fa"), F.col("second").alias("sa"), F.col("year").alias("ya"), F.lower("doi").alias("da"))
+    b = r.select("record_id", F.col("title").alias("tb"), F.col("main_title").alias("mb"), F.col("first").alias("fb"), F.col("second").alias("sb"), F.col("year").alias("yb"), F.col("alt_year").alias("zb"), F.lower("doi").alias("db"), F.col("arxiv_id").isNotNull().alias("preprint"))
     p = pairs.join(a, "ref_id").join(b, "record_id")
     p = p.withColumn("pa", plain_udf("ta")).withColumn("score", F.greatest(sorted_ratio_udf("pa", plain_udf("tb")), sorted_ratio_udf("pa", plain_udf(F.coalesce("mb", "tb")))))
     same_doi = F.coalesce(F.col("da").endswith(F.col("db")), F.lit(False))
     late = F.least(F.abs(F.col("ya") - F.col("yb")), F.abs(F.col("ya") - F.col("zb")))
-    author_differs = F.coalesce(ratio_udf(plain_udf("fa"), plain_udf("fb")) < 85, F.lit(False))
+    differs = lambda x, y: F.coalesce(ratio_udf(plain_udf(x), plain_udf(y)) < 85, F.lit(False))
     year_differs = F.coalesce(late > F.when(F.col("preprint"), 2).otherwise(1), F.lit(False))
-    p = p.select("*", same_doi.alias("same_doi"), author_differs.alias("author_differs"), year_differs.alias("year_differs"))
-    issues = F.array_compact(F.array(F.when(F.col("author_differs"), "author"), F.when(F.col("year_differs"), "year"), F.when(F.col("da").isNotNull() & F.col("db").isNotNull() & ~F.col("same_doi"), "doi")))
+    if horizon is not None:
+        year_differs = year_differs & ~F.coalesce((F.col("ya") < horizon) & (F.least("yb", "zb") > horizon + 1), F.lit(False))
+    p = p.select("*", same_doi.alias("same_doi"), differs("fa", "fb").alias("author_differs"), (differs("sa", "sb") & ~F.col("preprint")).alias("second_differs"), year_differs.alias("year_differs"))
+    issues = F.array_compact(F.array(F.when(F.col("author_differs"), "author"), F.when(F.col("second_differs"), "second_author"), F.when(F.col("year_differs"), "year"), F.when(F.col("da").isNotNull() & F.col("db").isNotNull() & ~F.col("same_doi"), "doi")))
     p = p.withColumn("issues", issues)
     full = F.col("fa").isNotNull() & F.col("fb").isNotNull() & F.col("ya").isNotNull() & F.coalesce("yb", "zb").isNotNull()
     rescued = (title_prefix(F.col("ta"), F.col("tb")) | title_head(F.col("ta"), F.col("tb"))) & (F.size("issues") == 0) & full
@@ -62,55 +65,94 @@ def candidates(entries: DataFrame, records: DataFrame, *, least: float = 92.0) -
     return p.where(fits & (~barred | F.col("same_doi"))).select("ref_id", "record_id", F.round("score", 4).alias("score"), "issues", "same_doi")
 
 
-def statuses(entries: DataFrame, found: DataFrame, grey: Column, answered: int) -> DataFrame:
+def statuses(entries: DataFrame, found: DataFrame, grey: Column, answered: int | DataFrame, required: list[str] | None = None, least: int = 2) -> DataFrame:
     """ref_id, status, record_id, issues: verified, mismatch, not_found or unverifiable; the best record has fewest issues.
 
-    answered: how many sources answered at all. A silent source is no evidence: with fewer than two answering, nothing is
-    not_found. Chinese entries and grey literature without a record are unverifiable.
+    answered: how many sources answered at all, or ref_id, source of those that answered for each entry. A silent source
+    is no evidence: nothing is not_found for which fewer than `least` sources answered, or one of the `required` did not.
+    Chinese entries and grey literature without a record are unverifiable.
     """
     w = Window.partitionBy("ref_id").orderBy(F.size("issues"), F.desc("score"), "record_id")
     best = found.withColumn("n", F.row_number().over(w)).where("n = 1").select("ref_id", "record_id", "issues")
-    none = F.when((F.col("lang") == "zh") | grey | F.lit(answered < 2), "unverifiable").otherwise("not_found")
+    if isinstance(answered, DataFrame):
+        entries = entries.join(answered.where("source IS NOT NULL").groupBy("ref_id").agg(F.collect_set("source").alias("responded")), "ref_id", "left")
+        said = F.coalesce("responded", F.array().cast("array<string>"))
+        silent = (F.size(said) < least) | (F.size(F.array_except(F.array(*map(F.lit, required or [])).cast("array<string>"), said)) > 0)
+    else:
+        silent = F.lit(answered < least)
+    none = F.when((F.col("lang") == "zh") | grey | silent, "unverifiable").otherwise("not_found")
     status = F.when(F.col("record_id").isNull(), none).when(F.size("issues") == 0, "verified").otherwise("mismatch")
     return entries.join(best, "ref_id", "left").select("ref_id", status.alias("status"), "record_id", F.concat_ws(",", "issues").alias("issues"))
 
 
-def assign(scores: DataFrame, left: str, right: str, score: str, rounds: int = 30) -> DataFrame:
+def fold_local(statuses: DataFrame, entries: DataFrame, copies: DataFrame) -> DataFrame:
+    """statuses with what a copy at hand says: any disagreement of a trusted copy is a mismatch, agreement verifies what no
+    source knew, and a mismatch with a source stands.
+
+    copies: ref_id, title, authors, year, trusted; one row an entry at most. Titles and names in different scripts aren't
+    compared, an unknown field speaks for nothing. Columns as of statuses, issues with local_title, local_author, local_year.
+    """
+    han = lambda x: x.rlike("[一-鿿]")
+    e = entries.select("ref_id", F.col("title").alias("ta"), F.get("authors", F.lit(0)).alias("na"), F.col("year").alias("ya"))
+    l = copies.select("ref_id", F.col("title").alias("tl"), F.get("authors", F.lit(0)).alias("nl"), F.array_join("authors", " ").alias("all_l"), F.col("year").alias("yl"), F.coalesce("trusted", F.lit(False)).alias("trusted"), F.lit(True).alias("held"))
+    j = statuses.join(e, "ref_id").join(l, "ref_id", "left")
+    same_script = lambda a, b: han(F.col(a)) == han(F.col(b))
+    title = same_script("ta", "tl") & (ratio_udf(F.replace(plain_udf("ta"), F.lit(" "), F.lit("")), F.replace(plain_udf("tl"), F.lit(" "), F.lit(""))) < 85)
+    name = plain_udf(surname_udf("na"))
+    author = same_script("na", "nl") & ~F.contains(F.replace(plain_udf("all_l"), F.lit(" "), F.lit("")), F.replace(name, F.lit(" "), F.lit("")))
+    year = F.abs(F.col("ya") - F.col("yl")) > 1
+    told = lambda x, name: F.when(F.col("trusted") & F.coalesce(x, F.lit(False)), name)
+    j = j.withColumn("local", F.array_compact(F.array(told(title, "local_title"), told(author, "local_author"), told(year, "local_year"))))
+    unknown = F.col("status").isin("unverifiable", "not_found")
+    status = F.when(~F.coalesce("held", F.lit(False)), F.col("status")).when(F.size("local") > 0, "mismatch").when(unknown, "verified").otherwise(F.col("status"))
+    issues = F.when(F.size("local") > 0, F.concat_ws(",", F.when(F.col("status") == "mismatch", F.nullif("issues", F.lit(""))), F.array_join("local", ","))).otherwise(F.col("issues"))
+    return j.select("ref_id", status.alias("status"), "record_id", issues.alias("issues"))
+
+
+def structured_matches(items: DataFrame, entries: DataFrame, *, least: float = 80.0) -> DataFrame:
+    """item_id, ref_id, score: the entry of the same manuscript that an item with parsed fields means.
+
+    items: doc_id, item_id, title, year, family. The score is the likeness of the titles, or, for an entry without a title,
+    0.9 of the best likeness of the item's title with a stretch of its line; 10 more each for the same year and the same
+    first family name. The highest from `least` on wins, then the place in the list. Titles too unlike for the bonuses to
+    lift are never paired: alike() gives all pairs from least - 20 on.
+    """
+    from quire.operators.alike import alike, arranged_udf
+
+    i = items.where("title IS NOT NULL").select("doc_id", "item_id", F.col("year").cast("int").alias("yi"), plain_udf("family").alias("fi"), plain_udf("title").alias("pi"), arranged_udf("title").alias("a"))
+    e = entries.select("doc_id", "ref_id", "pos", F.col("year").alias("ye"), plain_udf(surname_udf(F.get("authors", F.lit(0)))).alias("fe"), "title", plain_udf("raw").alias("line"))
+    titled = e.where("title IS NOT NULL").withColumn("b", arranged_udf("title"))
+    near = alike(i.select("doc_id", "a"), titled.select("doc_id", "b"), least - 20, by="doc_id")
+    columns = ["item_id", "ref_id", "pos", "score", "yi", "ye", "fi", "fe"]
+    known = i.join(near, ["doc_id", "a"]).join(titled, ["doc_id", "b"]).select(*columns)
+    bare = i.join(e.where("title IS NULL AND line IS NOT NULL"), "doc_id").withColumn("score", partial_ratio_udf("pi", "line") * 0.9).select(*columns)
+    bonus = F.when(F.col("yi") == F.col("ye"), 10).otherwise(0) + F.when((F.col("fi") == F.col("fe")) & (F.col("fi") != ""), 10).otherwise(0)
+    scored = known.unionByName(bare).withColumn("score", F.round(F.col("score") + bonus, 4)).where(F.col("score") >= least)
+    best = scored.groupBy("item_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "pos", "ref_id")).alias("b"))
+    return best.select("item_id", "b.ref_id", (-F.col("b.s")).alias("score"))
+
+
+def assign(scores: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """One-to-one pairs by descending score: what a greedy pass over the sorted pairs takes, found by mutual best choices.
 
-    In each round every left row and every right row names its best open pair (ties by right, then left key); pairs both
-    sides name are taken, and all pairs that touch them drop out. The best open pair is always taken, so each round ends
-    at least every chain's head; `rounds` bounds chains, and what is then open is resolved by one grouped pass per
-    connected rest, which stays exact.
+    In each round every left row and every right row names its best open pair (ties by left, then right key); pairs both
+    sides name are taken, and all pairs that touch them drop out. A round takes the best pair of every connected rest at
+    least, so rounds go on until nothing is open, each over fewer pairs, and no group ever meets in one task.
     """
     from quire.session import cut
 
-    open_ = cut(scores.groupBy(left, right).agg(F.max(score).alias(score)))
-    taken = None
     order = [F.desc(score), left, right]
-    for _ in range(rounds):
-        a = F.row_number().over(Window.partitionBy(left).orderBy(*order))
-        b = F.row_number().over(Window.partitionBy(right).orderBy(*order))
-        mutual = cut(open_.withColumn("a", a).withColumn("b", b).where("a = 1 AND b = 1").drop("a", "b"))
-        if mutual.isEmpty():
-            break
-        taken = mutual if taken is None else taken.unionByName(mutual)
-        open_ = cut(open_.join(mutual.select(left), left, "left_anti").join(mutual.select(right), right, "left_anti"))
-    else:
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in open_.schema)
-
-        def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-            used: set = set()
-            keep = []
-            for i, r in pdf.sort_values([score, left, right], ascending=[False, True, True]).iterrows():
-                if ("l", r[left]) not in used and ("r", r[right]) not in used:
-                    used |= {("l", r[left]), ("r", r[right])}
-                    keep.append(i)
-            return pdf.loc[keep]
-
-        if not open_.isEmpty():
-            taken = taken.unionByName(open_.groupBy(F.lit("rest").alias("rest")).applyInPandas(greedy, kinds))
-    return taken if taken is not None else open_
+    named = lambda df: cut(df.withColumn("__a", F.row_number().over(Window.partitionBy(left).orderBy(*order))).withColumn("__b", F.row_number().over(Window.partitionBy(right).orderBy(*order))))
+    open_ = named(scores.groupBy(left, right).agg(F.max(score).alias(score)))
+    taken = []
+    while not open_.isEmpty():
+        mutual = open_.where("__a = 1 AND __b = 1").drop("__a", "__b")
+        taken.append(mutual)
+        open_ = named(open_.drop("__a", "__b").join(mutual.select(left), left, "left_anti").join(mutual.select(right), right, "left_anti"))
+    out = taken[0] if taken else open_.drop("__a", "__b")
+    for t in taken[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def marker_numbers(markers: DataFrame) -> DataFrame:

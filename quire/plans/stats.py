@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import statistics as S
 from quire.plans.joins import PARAS, SECTIONS, SENT, marker_in_sentence, markers, paragraphs, sections
-from quire.plans.text import HAN, LAT, MARKERS, RECORDS, REFS, records, refs
+from quire.plans.text import HAN, LAT, MARKERS, RECORDS, REFS, _q, records, refs
 from quire.session import table
 
 c = F.col
@@ -254,7 +254,7 @@ _BODY = f"""(SELECT p.doc_id, p.para_id, lower(trim(coalesce(s.canonical, 'other
     FROM {PARAS} p JOIN {SECTIONS} s ON p.section_id = s.section_id LEFT JOIN (SELECT para_id, count(*) AS n FROM {MARKERS} GROUP BY 1) m ON m.para_id = p.para_id)"""
 _SHARE = f"""(SELECT doc_id, part, w::BIGINT AS n_words, k::BIGINT AS n_cites, CASE WHEN sum(k) OVER (PARTITION BY doc_id) = 0 THEN 0 ELSE k / sum(k) OVER (PARTITION BY doc_id) END AS share, CASE WHEN w = 0 THEN 0 ELSE k * 1000.0 / w END AS density
     FROM (SELECT doc_id, part, sum(words) AS w, sum(n_cites) AS k FROM {_BODY} GROUP BY 1, 2))"""
-_KIND = "CASE WHEN regexp_matches(raw, '(?i)arxiv|preprint') THEN 'preprint' WHEN code = 'J' THEN 'journal' WHEN code IN ('C', 'A') THEN 'conference' WHEN code IN ('M', 'G') THEN 'book' WHEN code = 'D' THEN 'thesis' WHEN code IN ('EB', 'DB', 'CP') THEN 'web' WHEN code <> '' THEN 'other' WHEN regexp_matches(raw, '(?i)proceedings|conference|workshop|symposium|会议|论文集') THEN 'conference' WHEN regexp_matches(raw, '(?i)journal|transactions|\\bvol\\.|[0-9]+ *\\( *[0-9]+ *\\) *[:：]|学报|期刊') THEN 'journal' WHEN regexp_matches(raw, 'https?://') THEN 'web' ELSE 'other' END"
+_KIND = f"CASE WHEN regexp_matches(raw, '(?i)arxiv|preprint') THEN 'preprint' WHEN code = 'J' THEN 'journal' WHEN code IN ('C', 'A') THEN 'conference' WHEN code IN ('M', 'G') THEN 'book' WHEN code = 'D' THEN 'thesis' WHEN code IN ('EB', 'DB', 'CP') THEN 'web' WHEN code <> '' THEN 'other' WHEN regexp_matches(raw, '{_q(T.CONFERENCE)}') THEN 'conference' WHEN (regexp_matches(raw, '{_q(T.JOURNAL)}') OR regexp_matches(raw, '{_q(T.ISSUE)}')) THEN 'journal' WHEN regexp_matches(raw, 'https?://') THEN 'web' ELSE 'other' END"
 _TYPED = f"(SELECT *, {_KIND} AS kind FROM (SELECT *, upper(regexp_extract(raw, '\\[ *([JCAMDRPSNZG]|EB|DB|CP) *(?:/ *OL)? *\\]', 1)) AS code FROM {REFS}))"
 _PAIRS = "(SELECT a.doc_id, a.level AS l1, b.level AS l2 FROM reading_labels a JOIN reading_labels b ON a.doc_id = b.doc_id AND a.rater < b.rater WHERE a.level IS NOT NULL AND b.level IS NOT NULL)"
 _SAMPLE = "(SELECT * FROM (SELECT source, doc_id, coalesce(regexp_matches(text, '[0-9]'), false) AS hit, count(*) OVER (PARTITION BY source) AS size, row_number() OVER (PARTITION BY source ORDER BY md5('quire|' || doc_id), doc_id) AS r FROM documents) WHERE r <= 3)"
