@@ -29,16 +29,42 @@ def first_appearance(df: DataFrame, key: list[str], item: str, order: list[str])
     return first.select(*key, item, F.row_number().over(Window.partitionBy(*key).orderBy("first", item)).cast("bigint").alias("rank"))
 
 
-def running_offset(df: DataFrame, key: list[str], order: list[str], size: Column) -> DataFrame:
-    """offset: the sum of the sizes before a row."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)))
+def _blocks(df: DataFrame, key: list[str], place: str, size: int) -> DataFrame:
+    return df.withColumn("__block", F.floor(F.coalesce(F.col(place), F.lit(-1)) / size))
 
 
-def last_heading(df: DataFrame, key: list[str], order: list[str], heading: Column) -> DataFrame:
-    """heading: the last non-null heading at or before a row."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("heading", F.last(heading, ignorenulls=True).over(w))
+def running_offset(df: DataFrame, key: list[str], order: list[str], size: Column, block: int = 512) -> DataFrame:
+    """offset: the sum of the sizes before a row. The first column of order is an integer place; ties go by the others.
+
+    Sums run in two levels, over blocks of places and inside a block, so a group of any size is shared by many tasks: only
+    one row a block meets in one window.
+    """
+    rows = _blocks(df.withColumn("__size", size), key, order[0], block)
+    sums = rows.groupBy(*key, "__block").agg(F.sum("__size").alias("__total"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__total").over(Window.partitionBy(*key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__total")
+    w = Window.partitionBy(*key, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(before, [*key, "__block"]).withColumn("offset", F.col("__before") + F.coalesce(F.sum("__size").over(w), F.lit(0)))
+    return out.drop("__size", "__block", "__before")
+
+
+def numbered(df: DataFrame, key: str, place: str, order: list, block: int = 512) -> DataFrame:
+    """number: 1, 2, ... of a group's rows in order, whose first column is the integer place (null first); in two levels like running_offset."""
+    rows = _blocks(df, [key], place, block)
+    sums = rows.groupBy(key, "__block").agg(F.count("*").alias("__total"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__total").over(Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__total")
+    w = Window.partitionBy(key, "__block").orderBy(*order)
+    return rows.join(before, [key, "__block"]).withColumn("number", F.col("__before") + F.row_number().over(w)).drop("__block", "__before")
+
+
+def last_heading(df: DataFrame, key: list[str], order: list[str], heading: Column, block: int = 512) -> DataFrame:
+    """heading: the last non-null heading at or before a row; in two levels like running_offset."""
+    rows = _blocks(df.withColumn("__own", heading), key, order[0], block)
+    last = rows.where("__own IS NOT NULL").groupBy(*key, "__block").agg(F.max(F.struct(*order, "__own")).alias("__l"))
+    every = rows.select(*key, "__block").distinct().join(last, [*key, "__block"], "left")
+    before = every.withColumn("__before", F.last("__l.__own", ignorenulls=True).over(Window.partitionBy(*key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))).drop("__l")
+    w = Window.partitionBy(*key, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(before, [*key, "__block"]).withColumn("heading", F.coalesce(F.last("__own", ignorenulls=True).over(w), F.col("__before")))
+    return out.drop("__own", "__block", "__before")
 
 
 def sliding(df: DataFrame, key: list[str], order: list[str], text: str, size: int = 3, sep: str = " ") -> DataFrame:
@@ -109,6 +135,8 @@ def feasible(df: DataFrame, key: str, low: str, high: str, order: str) -> DataFr
 def heading_sequence(df: DataFrame, key: str, order: str, number: str) -> DataFrame:
     """accepted: whether a heading number continues its group's sequence (the same number or the next one after the last accepted).
 
+    order must have no ties inside a group.
+
     The state is one integer carried along the group's rows.
     """
 
@@ -128,14 +156,12 @@ def heading_sequence(df: DataFrame, key: str, order: str, number: str) -> DataFr
 def counters(df: DataFrame, key: list[str], order: str, level: str) -> DataFrame:
     """label: hierarchical number like 2.1.3 of each row: its level counts on, deeper levels begin again.
 
-    A count at level l since the last row of a higher level is a running maximum and a running count, so no Python state.
+    Rows are numbered once; a level's count is its running number less that number at the last row of a higher level, so
+    all nine levels share one window and one sort.
     """
-    rows = df
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    for i in range(1, 10):
-        rows = rows.withColumn(f"__reset{i}", F.sum(F.when(F.col(level) < i, 1).otherwise(0)).over(w))
-    for i in range(1, 10):
-        at = Window.partitionBy(*key, f"__reset{i}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn(f"__n{i}", F.sum(F.when(F.col(level) == i, 1).otherwise(0)).over(at))
-    parts = F.array(*(F.when(F.col(level) >= i, F.col(f"__n{i}").cast("string")) for i in range(1, 10)))
-    return rows.withColumn("label", F.array_join(F.array_compact(parts), ".")).drop(*(f"__reset{i}" for i in range(1, 10)), *(f"__n{i}" for i in range(1, 10)))
+    levels = range(1, 10)
+    rows = df.select("*", *(F.sum(F.when(F.col(level) == i, 1).otherwise(0)).over(w).alias(f"__n{i}") for i in levels))
+    rows = rows.select("*", *(F.max(F.when(F.col(level) < i, F.col(f"__n{i}"))).over(w).alias(f"__z{i}") for i in levels))
+    parts = F.array(*(F.when(F.col(level) >= i, (F.col(f"__n{i}") - F.coalesce(f"__z{i}", F.lit(0))).cast("string")) for i in levels))
+    return rows.withColumn("label", F.array_join(F.array_compact(parts), ".")).drop(*(f"__n{i}" for i in levels), *(f"__z{i}" for i in levels))

@@ -10,7 +10,9 @@ from quire.functions.fuzzy import plain_udf, ratio_udf, surname_udf
 from quire.operators import entities as E
 from quire.operators import intervals as I
 from quire.operators.alike import alike, arranged_udf
+from quire.operators import sequences as Q
 from quire.operators.quantities import conflicts
+from quire.operators.venues import same_venues
 from quire.plans.joins import PARAS, SECTIONS, SENT, _RESOLVED, claim_references, marker_spans, markers, paragraphs, resolve_markers, sections
 from quire.plans.retrieval import first_appearance, list_order, marker_clusters
 from quire.plans.retrieval import SQL as RETRIEVAL_SQL
@@ -68,13 +70,19 @@ def near_duplicate_entries(spark, folder):
 
 
 def venue_matches(spark, folder):
-    """Venues of entries to venues of records: the same key, else the likest of those with the same first letters, from 92 on."""
-    a = refs(spark, folder).where("venue IS NOT NULL").select(T.clean_venue(c("venue")).alias("venue")).distinct()
-    b = records(spark, folder).where("venue IS NOT NULL").select(T.clean_venue(c("venue")).alias("known")).distinct()
-    p = a.select("venue", F.left("venue", F.lit(3)).alias("k")).join(b.select("known", F.left("known", F.lit(3)).alias("k")), "k")
-    s = p.withColumn("score", F.when(c("venue") == c("known"), 100.0).otherwise(ratio_udf("venue", "known"))).where("score >= 92")
-    best = s.groupBy("venue").agg(F.max_by("known", F.struct("score", "known")).alias("known"), F.round(F.max("score"), 4).alias("score"))
-    return a.join(best, "venue", "left")
+    """Venues of entries to venues of records: by equal key, else the likest of all from 92 on."""
+    a = refs(spark, folder).where("venue IS NOT NULL").select("venue").distinct()
+    b = records(spark, folder).where("venue IS NOT NULL").select(c("venue").alias("known")).distinct()
+    best = same_venues(a, b).groupBy("venue").agg(F.max(F.struct("score", "known", "how")).alias("b"))
+    return a.join(best, "venue", "left").select("venue", "b.known", "b.how", "b.score")
+
+
+def structured_matches(spark, folder):
+    """The bibliography line that each BibTeX entry of a manuscript means, by its fields; no SQL: likeness."""
+    b = table(spark, folder, "bib_entries").drop("loaded_at").dropDuplicates(["entry_id"])
+    family = F.split(F.split(c("fields")["author"], r"\s+and\s+")[0], ",")[0]
+    items = b.select("doc_id", c("entry_id").alias("item_id"), c("fields")["title"].alias("title"), c("fields")["year"].try_cast("int").alias("year"), F.element_at(F.split(F.trim(family), r"\s+"), -1).alias("family"))
+    return E.structured_matches(items, refs(spark, folder))
 
 
 def attribution_mismatches(spark, folder):
@@ -109,8 +117,8 @@ def uncited_statements(spark, folder):
     return told.join(hit, ["para_id", "sent_ix"], "left_anti").select("para_id", c("sent_ix").cast("bigint").alias("sent_ix"))
 
 
-def findings(spark, folder):
-    """The rules that SQL expresses as one table, counted per rule and manuscript; all_findings has the others as well."""
+def rule_rows(spark, folder):
+    """rule, doc_id, item_id of everything the rules that SQL expresses find."""
     e, m = refs(spark, folder), markers(spark, folder)
     cited = m.select(F.explode("ref_ids").alias("ref_id")).distinct()
     lit = F.lit
@@ -130,7 +138,33 @@ def findings(spark, folder):
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out.groupBy("rule", "doc_id").agg(F.countDistinct("item_id").alias("n"))
+    return out
+
+
+def findings(spark, folder):
+    """The rules that SQL expresses as one table, counted per rule and manuscript; all_findings has the others as well."""
+    return rule_rows(spark, folder).groupBy("rule", "doc_id").agg(F.countDistinct("item_id").alias("n"))
+
+
+# How grave a rule's finding is; others are low.
+SEVERITY = {"unresolved_marker": "high", "no_citations": "high", "uncited_entry": "medium", "uncited_statement": "medium", "stacked_citations": "medium", "mixed_styles": "medium"}
+
+
+def finding_rows(spark, folder):
+    """Each finding as a row: its rule, how grave it is, where it stands, and a number in the order of its manuscript.
+
+    Findings about a whole manuscript or its list stand nowhere and come first. The place of a marker is its own, that of a
+    sentence or a cluster its paragraph. Numbers come from counts per block of paragraphs and ranks inside a block, so a
+    manuscript that holds a tenth of all rows is shared by many tasks.
+    """
+    found = rule_rows(spark, folder).distinct()
+    m = markers(spark, folder).select(c("marker_id").alias("item_id"), c("para_id").alias("marked"), c("start_pos").alias("start_pos"))
+    place = found.join(m, "item_id", "left").withColumn("para_id", F.coalesce("marked", F.when(c("item_id").contains("#"), F.substring_index("item_id", "#", 1)))).drop("marked")
+    p = paragraphs(spark, folder).select("para_id", "para_ix")
+    placed = place.join(p, "para_id", "left").withColumn("at", F.coalesce(c("para_ix").cast("bigint"), F.lit(-1).cast("bigint")))
+    severity = F.coalesce(F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))[c("rule")], F.lit("low"))
+    ranked = Q.numbered(placed, "doc_id", "at", ["at", F.coalesce("start_pos", F.lit(-1)), "rule", "item_id"])
+    return ranked.select("doc_id", c("number").cast("bigint").alias("number"), "rule", severity.alias("severity"), "item_id", "para_id", c("start_pos").cast("bigint").alias("start_pos"))
 
 
 def all_findings(spark, folder):
@@ -171,13 +205,13 @@ def all_findings_grouped(spark, folder):
     return folded(all_findings(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (entry_candidates, reference_status, entry_assignment, sibling_attributes, author_year_links, near_duplicate_entries, venue_matches, attribution_mismatches, number_conflicts, uncited_statements, findings, findings_grouped, all_findings, all_findings_grouped)}
+QUERIES = {f.__name__: f for f in (entry_candidates, reference_status, entry_assignment, sibling_attributes, author_year_links, near_duplicate_entries, venue_matches, structured_matches, attribution_mismatches, number_conflicts, uncited_statements, findings, findings_grouped, finding_rows, all_findings, all_findings_grouped)}
 
 _CUES = "(?i)\\b(?:earlier|previous|prior) (?:work|studies|research)\\b|已有的研究|先行研究|la recherche antérieure|la investigación previa"
 _OWN = _q(T.OWN)
 _STATEMENTS = f"""SELECT s.para_id, s.sent_ix::BIGINT AS sent_ix FROM {SENT} s WHERE s.para_id IN (SELECT p.para_id FROM {PARAS} p JOIN {SECTIONS} x ON p.section_id = x.section_id WHERE NOT p.is_caption AND p.cell IS NULL AND lower(trim(x.canonical, ' ')) IN ('intro', 'related', 'discussion'))
     AND regexp_matches(s.text, '{_CUES}') AND NOT regexp_matches(s.text, '{_OWN}') AND NOT EXISTS (SELECT 1 FROM {MARKERS} m WHERE m.para_id = s.para_id AND s.start_pos <= m.start_pos AND m.end_pos <= s.end_pos)"""
-_FINDINGS = f"""SELECT rule, doc_id, count(DISTINCT item) AS n FROM (
+_RULES = f"""
     SELECT 'uncited_entry' AS rule, doc_id, ref_id AS item FROM {REFS} WHERE ref_id NOT IN (SELECT unnest(ref_ids) FROM markers)
     UNION ALL SELECT 'missing_year', doc_id, ref_id FROM {REFS} WHERE year IS NULL
     UNION ALL SELECT 'unresolved_marker', m.doc_id, m.marker_id FROM ({_RESOLVED}) r JOIN {MARKERS} m ON m.marker_id = r.marker_id WHERE r.ref_id IS NULL
@@ -188,9 +222,12 @@ _FINDINGS = f"""SELECT rule, doc_id, count(DISTINCT item) AS n FROM (
     UNION ALL SELECT 'share_' || flag, doc_id, part FROM ({STATS_SQL['section_bands']}) WHERE flag IN ('below', 'above') AND part <> 'other'
     UNION ALL SELECT 'uncited_statement', p.doc_id, u.para_id || '#' || u.sent_ix FROM ({_STATEMENTS}) u JOIN {PARAS} p ON p.para_id = u.para_id
     UNION ALL SELECT 'venue_rules', doc_id, doc_id FROM {REFS} GROUP BY doc_id HAVING count(*) < 8 OR avg((year >= 2015)::INT) < 0.3
-    UNION ALL SELECT DISTINCT 'no_citations', doc_id, doc_id FROM paragraphs WHERE doc_id NOT IN (SELECT doc_id FROM markers) AND doc_id NOT IN (SELECT doc_id FROM reference_entries)) GROUP BY 1, 2"""
+    UNION ALL SELECT DISTINCT 'no_citations', doc_id, doc_id FROM paragraphs WHERE doc_id NOT IN (SELECT doc_id FROM markers) AND doc_id NOT IN (SELECT doc_id FROM reference_entries)"""
+_FINDINGS = f"SELECT rule, doc_id, count(DISTINCT item) AS n FROM ({_RULES}) GROUP BY 1, 2"
 SQL = {
     "uncited_statements": _STATEMENTS,
     "findings": _FINDINGS,
     "findings_grouped": f"SELECT rule, count(*) AS n_docs, sum(n)::BIGINT AS n_items, count(*) FILTER (WHERE n >= 2) AS n_folded FROM ({_FINDINGS}) GROUP BY 1",
+    "finding_rows": f"""WITH r AS (SELECT DISTINCT rule, doc_id, item AS item_id FROM ({_RULES})), p AS (SELECT r.*, coalesce(m.para_id, CASE WHEN contains(item_id, '#') THEN split_part(item_id, '#', 1) END) AS para_id, m.start_pos FROM r LEFT JOIN {MARKERS} m ON m.marker_id = r.item_id)
+        SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY coalesce(g.para_ix, -1), coalesce(p.start_pos, -1), rule, item_id) AS number, rule, CASE {' '.join(f"WHEN rule = '{k}' THEN '{v}'" for k, v in SEVERITY.items())} ELSE 'low' END AS severity, item_id, p.para_id, p.start_pos::BIGINT AS start_pos FROM p LEFT JOIN {PARAS} g ON g.para_id = p.para_id""",
 }

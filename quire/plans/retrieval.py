@@ -160,8 +160,8 @@ def last_heading(spark, folder):
 def heading_numbers(spark, folder):
     """Headings whose leading number continues their manuscript's sequence; no SQL: a state is carried."""
     h = sections(spark, folder).join(paragraphs(spark, folder).select(c("para_id").alias("heading_para_id"), c("para_ix").cast("bigint").alias("para_ix")), "heading_para_id")
-    h = h.select("doc_id", "para_ix", F.regexp_extract("title", r"^\s*([0-9]+)", 1).try_cast("bigint").alias("number"))
-    return Q.heading_sequence(h, "doc_id", "para_ix", "number")
+    h = h.select("doc_id", "section_id", F.concat_ws("/", F.format_string("%012d", "para_ix"), "section_id").alias("place"), F.regexp_extract("title", r"^\s*([0-9]+)", 1).try_cast("bigint").alias("number"))
+    return Q.heading_sequence(h, "doc_id", "place", "number").select("doc_id", F.substring_index("place", "/", -1).alias("section_id"), "number", "accepted")
 
 
 def hierarchical_labels(spark, folder):
@@ -174,8 +174,7 @@ def hierarchical_labels(spark, folder):
 
 def document_order_ids(spark, folder):
     m = marker_spans(spark, folder).join(paragraphs(spark, folder).select("para_id", "doc_id", "para_ix"), "para_id", "left")
-    w = Window.partitionBy("doc_id").orderBy(c("para_ix").asc_nulls_first(), "start", "marker_id")
-    return m.select("marker_id", F.row_number().over(w).cast("bigint").alias("number"))
+    return Q.numbered(m, "doc_id", "para_ix", [c("para_ix").asc_nulls_first(), "start", "marker_id"]).select("marker_id", long("number"))
 
 
 QUERIES = {f.__name__: f for f in (bm25_topk, rrf_fusion, rerank_top, cosine_topk, prefilter_neighbours, sliding_windows3, excerpt_fill, verbatim_containment, newest_records, shortest_marker, list_order, marker_clusters, int_runs, label_ranges, first_appearance, reorder_moves, order_feasible, running_offset, last_heading, heading_numbers, hierarchical_labels, document_order_ids)}
