@@ -9,26 +9,28 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.functions.text import tokens
-from quire.session import busy
+from quire.session import busy, cut
 
 
-def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, terms: str, *, k1: float = 1.5, b: float = 0.75, most_queries: int = 100_000) -> DataFrame:
+def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, terms: str, *, k1: float = 1.5, b: float = 0.75, most_tokens: int = 1_000_000) -> DataFrame:
     """query, doc, score, n_terms for each pair that shares a token; Okapi BM25 with idf ln(1 + (N - df + .5)/(df + .5)).
 
-    Only tokens of queries leave the scan: the (query, token) table is broadcast while it has at most most_queries rows,
-    else joined by shuffle. Null texts are no documents; N counts the others. A query's token counts once.
+    Only tokens of queries leave the scan: they are broadcast while there are at most most_tokens of them, else joined by
+    shuffle. Null texts are no documents; N counts the others. A query's token counts once.
     """
     asked = queries.select(query, F.explode(F.array_distinct(tokens(F.col(terms)))).alias("token"))
     wanted = asked.select("token").distinct()
-    if queries.limit(most_queries + 1).count() <= most_queries:
-        wanted = F.broadcast(wanted)
+    few = wanted.limit(most_tokens + 1).count() <= most_tokens
     docs = busy(docs.where(F.col(text).isNotNull()).select(doc, text))
     read = docs.select(doc, tokens(F.col(text)).alias("t"))
-    size = docs.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count("*").alias("N"), F.avg("n").alias("mean"))
-    # an outer explode, as the optimiser would filter on the tokens' number before an inner one, cutting all texts twice
-    tf = read.select(doc, F.size("t").alias("n"), F.explode_outer("t").alias("token")).join(wanted, "token").groupBy(doc, "n", "token").agg(F.count("*").alias("tf"))
+    # each text is cut once: an empty token bears its length, for the mean over all, and what is counted is written once
+    every = wanted.unionByName(queries.sparkSession.createDataFrame([("",)], "token string"))
+    every = F.broadcast(every) if few else every
+    told = cut(read.select(doc, F.size("t").alias("n"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("token")).join(every, "token").groupBy(doc, "n", "token").agg(F.count("*").alias("tf")))
+    size, tf = told.where("token = ''").agg(F.count("*").alias("N"), F.avg("n").alias("mean")), told.where("token <> ''")
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(size)).select("token", "mean", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # size is one row
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
@@ -58,7 +60,7 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k:
     """
     n = queries.count()
     blocks = max(1, -(-n // block))
-    kind = vectors.schema[key].dataType.simpleString()
+    kind, key_type = vectors.schema[key].dataType.simpleString(), to_arrow_type(vectors.schema[key].dataType)
     parts = []
     for i in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).select(key, vector).where(F.col(vector).isNotNull()).collect()
@@ -82,7 +84,8 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k:
                     cut = np.flatnonzero(s[a] >= np.partition(s[a], -min(k + 1, len(keys)))[-min(k + 1, len(keys))])
                     best[a] = heapq.nsmallest(k, best[a] + [(-s[a][j], keys[j]) for j in cut if keys[j] != ids[a] and s[a][j] > -2])
             out = [(a, j, -s) for a, some in zip(ids, best) for s, j in some]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["query", key, "score"]).astype({"query": "int64", key: "int64", "score": "float64"}), preserve_index=False)
+            cols = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (key_type, key_type, pa.float64()))], ["query", key, "score"])
 
         parts.append(vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(near, f"query {kind}, {key} {kind}, score double"))
     if not parts:

@@ -30,14 +30,11 @@ def bm25_topk(spark, folder):
     return best.select(long("item_id"), "doc_id", long("rank"), "score")
 
 
-def by_overlap(spark, folder):
-    return R.top(scored(spark, folder), "item_id", [F.desc("n_terms"), c("n_tokens"), c("doc_id")], 40)
-
-
 def rrf_fusion(spark, folder):
     """BM25 and the count of shared words, fused by reciprocal rank."""
-    first = R.top(scored(spark, folder), "item_id", [F.desc("score"), c("doc_id")], 40)
-    fused = R.fuse([first, by_overlap(spark, folder)], ["item_id", "doc_id"])
+    pairs = scored(spark, folder)
+    orders = ([F.desc("score"), c("doc_id")], [F.desc("n_terms"), c("n_tokens"), c("doc_id")])
+    fused = R.fuse([R.top(pairs, "item_id", o, 40) for o in orders], ["item_id", "doc_id"])
     return R.top(fused, "item_id", [F.desc("fused"), c("doc_id")], 5).select(long("item_id"), "doc_id", long("rank"), "fused")
 
 
@@ -212,4 +209,11 @@ SQL = {
     "running_offset": f"SELECT para_id, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY para_ix, para_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM {PARAS} WHERE text IS NOT NULL",
     "last_heading": f"SELECT para_id, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY para_ix, para_id ROWS UNBOUNDED PRECEDING) AS section_id FROM {PARAS} LEFT JOIN (SELECT heading_para_id AS para_id, min(section_id) AS h FROM {SECTIONS} WHERE heading_para_id IS NOT NULL GROUP BY 1) USING (para_id)",
     "document_order_ids": f"SELECT marker_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.para_ix NULLS FIRST, m.start_pos, m.marker_id) AS number FROM {MARKERS} m LEFT JOIN {PARAS} p ON m.para_id = p.para_id",
+    "hierarchical_labels": f"""WITH h AS (SELECT s.doc_id, s.section_id, p.para_ix, len(regexp_split_to_array(regexp_extract(s.title, '^\\s*([0-9]+(?:\\.[0-9]+)*)', 1), '\\.')) AS level FROM {SECTIONS} s JOIN {PARAS} p ON p.para_id = s.heading_para_id),
+        k AS (SELECT a.section_id, a.level, i, count(*) FILTER (WHERE b.level = i AND (b.para_ix, b.section_id) > coalesce((SELECT max((z.para_ix, z.section_id)) FROM h z WHERE z.doc_id = a.doc_id AND z.level < i AND (z.para_ix, z.section_id) <= (a.para_ix, a.section_id)), (-1, ''))) AS n
+              FROM h a CROSS JOIN range(1, 10) r(i) LEFT JOIN h b ON b.doc_id = a.doc_id AND (b.para_ix, b.section_id) <= (a.para_ix, a.section_id) WHERE i <= coalesce(a.level, 0) GROUP BY a.doc_id, a.section_id, a.para_ix, a.level, i)
+        SELECT h.section_id, h.level::BIGINT AS level, coalesce(string_agg(k.n::VARCHAR, '.' ORDER BY i), '') AS label FROM h LEFT JOIN k ON k.section_id = h.section_id GROUP BY 1, 2""",
+    "heading_numbers": f"""WITH RECURSIVE h AS (SELECT s.doc_id, s.section_id, try_cast(regexp_extract(s.title, '^\\s*([0-9]+)', 1) AS BIGINT) AS number, row_number() OVER (PARTITION BY s.doc_id ORDER BY p.para_ix, s.section_id) AS k FROM {SECTIONS} s JOIN {PARAS} p ON p.para_id = s.heading_para_id),
+        w AS (SELECT doc_id, section_id, number, k, coalesce(number = 1, false) AS accepted, CASE WHEN number = 1 THEN 1 ELSE 0 END::BIGINT AS last FROM h WHERE k = 1 UNION ALL SELECT h.doc_id, h.section_id, h.number, h.k, coalesce(h.number > 0 AND h.number IN (w.last, w.last + 1), false), CASE WHEN h.number > 0 AND h.number IN (w.last, w.last + 1) THEN h.number ELSE w.last END FROM w JOIN h ON h.doc_id = w.doc_id AND h.k = w.k + 1)
+        SELECT doc_id, section_id, number, accepted FROM w""",
 }
