@@ -124,6 +124,33 @@ def test_hot_work(spark):
     assert {r.ref_id for r in got.collect()} == {f"r{i}" for i in range(60)}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall(spark):
+    """Of the references of every twentieth id, against all records by the exact comparison alone, nine in ten pairs or more come out."""
+    import json
+
+    refs, records = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("reference_entries", "candidate_records"))
+    asked = refs.where(F.pmod(F.xxhash64("ref_id"), F.lit(20)) == 0)
+    a, b = ({r.id: json.loads(r.profile) for r in x.collect()} for x in works.profiles_of(asked, records))
+    want = {(i, k) for i, p in a.items() for k, q in b.items() if works.same_work(p, q)}
+    got = {(r.ref_id, r.record_id) for r in works.match_works(refs, records).collect()}
+    assert len(want) > 20 and len(want & got) >= 0.9 * len(want) and {g for g in got if g[0] in a} <= want
+
+
+def test_training(spark):
+    """Trained vectors find pairs that untrained ones miss: an error in a title of few words."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(n))
+    works_ = [(" ".join(word(3) for _ in range(4)), word(4), 1950 + i % 60) for i in range(300)]
+    spoil = lambda t: t[:-5] + t[-4] + t[-5] + t[-3:]
+    refs = [(f"r{i}", f"{a.title()} A ({y}) {spoil(t).title()}. J. 1:1-9", None, None, None, None, "", "") for i, (t, a, y) in enumerate(works_)]
+    records = [(i, "a", True, t, None, [f"A. {a}", *(f"B. {word(4)}" for _ in range(3))], y, None, None, None, None, 0.5) for i, (t, a, y) in enumerate(works_)]
+    a, b = spark.createDataFrame(refs, REFS), spark.createDataFrame(records, RECORDS)
+    found = [works.match_works(a, b, learn=x, tables=1, flips=0).where("ref_id = concat('r', record_id)").count() for x in (0.0, 1.0)]
+    assert found[1] > found[0]
+    assert len(works.surnames([f"Family{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)])) == 60
+
+
 def test_parsing():
     for raw, authors, title in (
         ("A. Lee and B. Kim. A title: sub. Venue, 1, 2001.", ["kim", "lee"], "A title: sub"), ("Lee, A., & Kim, B. (2001). A title. Venue, 4.", ["kim", "lee"], "A title"), ("A. Lee et al., “A title,” Venue, 2001.", ["lee"], "A title"),
