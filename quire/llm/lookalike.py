@@ -18,6 +18,9 @@ from quire.session import busy, cut
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϲc ϳj Ϲ C"
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX ԚQ ԜW Ү Y аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw"
 ARMENIAN = "ՍU Օ O оo հh ոn սu օo"
+COPTIC = "ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲢP ⲤC ⲦT ⲬX ⲟo ⲣp ⲥc"
+CHEROKEE = "ᎪA ᏴB ᏟC ᎠD ᎬE ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ"
+LISU = "ꓮA ꓐB ꓚC ꓓD ꓰE ꓝF ꓖG ꓧH ꓲI ꓙJ ꓗK ꓡL ꓟM ꓠN ꓳO ꓑP ꓣR ꓢS ꓔT ꓴU ꓦV ꓪW ꓫX ꓬY ꓜZ"
 # Hyphens that are drawn alike, and marks that are drawn like another.
 OTHER = {0x2010: "-", 0x2011: "-", 0x02BC: "’", 0x2019: "’", 0x0131: "ı"}
 #: Kinds of compatibility decomposition that change no look; superscripts, circles, fractions and squares do.
@@ -27,7 +30,7 @@ VISIBLE = {0x2026: None, 0x2025: None, 0x2024: None, 0x00B4: None, 0x00A8: None,
 
 
 def _letters() -> dict[int, str]:
-    pairs = re.findall(r"(\S) ?(\S)", f"{GREEK} {CYRILLIC} {ARMENIAN}")
+    pairs = re.findall(r"(\S) ?(\S)", f"{GREEK} {CYRILLIC} {ARMENIAN} {COPTIC} {CHEROKEE} {LISU}")
     return {ord(a): b for a, b in pairs}
 
 
@@ -133,6 +136,26 @@ def same_look(rows: DataFrame, leave_out: DataFrame | None = None, *, salts: int
     return pairs.select("field_name", "id_a", "id_b").distinct()
 
 
+def look_classes(rows: DataFrame, leave_out: DataFrame | None = None) -> DataFrame:
+    """field_name, id, class_id, n_forms, n_links: each row that has a look-alike stored otherwise, with its class (the digest
+    of the common form), the class's stored forms, and how many other ids it looks like without being stored the same.
+
+    The whole of same_look in one row an id: a class that a third of all rows is in costs one row each. An id with
+    several texts has a row per class.
+    """
+    marked = digests(rows)
+    if leave_out is not None:
+        marked = marked.join(leave_out.select("field_name", "id"), ["field_name", "id"], "left_anti")
+    marked = cut(marked.distinct())
+    forms = marked.groupBy("field_name", "form", "stored").agg(F.count("*").alias("own"))
+    classes = forms.groupBy("field_name", "form").agg(F.sum("own").alias("all"), F.count("*").alias("n_forms")).where("n_forms > 1")
+    sizes = forms.join(classes, ["field_name", "form"])
+    salts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
+    wide = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    each = marked.withColumn("salt", F.pmod(F.hash("id"), F.lit(salts))).join(wide, ["field_name", "form", "stored", "salt"])
+    return each.groupBy("field_name", "id", F.hex("form").alias("class_id")).agg(F.max("n_forms").alias("n_forms"), F.max(F.col("all") - F.col("own")).alias("n_links"))
+
+
 def canonical_text(df: DataFrame, column: str) -> DataFrame:
     """df with `column` in its canonical form; null stays null, other columns are untouched."""
     i = df.columns.index(column)

@@ -48,12 +48,23 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_sentences(body_paragraphs(spark, folder), headings(spark, folder))
 
 
+def _lookalikes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    refs = table(spark, folder, "reference_entries").select(F.lit("raw").alias("field_name"), F.col("ref_id").alias("id"), F.col("raw").alias("text"))
+    body = body_paragraphs(spark, folder).select(F.lit("text").alias("field_name"), F.col("para_id").alias("id"), "text")
+    return refs.unionByName(body), headings(spark, folder).select(F.lit("text").alias("field_name"), F.col("para_id").alias("id"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.lookalike import same_look
 
-    refs = table(spark, folder, "reference_entries").select(F.lit("raw").alias("field_name"), F.col("ref_id").alias("id"), F.col("raw").alias("text"))
-    body = body_paragraphs(spark, folder).select(F.lit("text").alias("field_name"), F.col("para_id").alias("id"), "text")
-    return same_look(refs.unionByName(body), headings(spark, folder).select(F.lit("text").alias("field_name"), F.col("para_id").alias("id")))
+    return same_look(*_lookalikes(spark, folder))
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as one row an id: its class and with how many others it makes a case."""
+    from quire.llm.lookalike import look_classes
+
+    return look_classes(*_lookalikes(spark, folder))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,5 +97,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_scored": p2_scored, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p7_templates": p7_templates, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_scored": p2_scored, "p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p7_templates": p7_templates, "p8_found": p8_found}
 SQL: dict[str, str] = {}

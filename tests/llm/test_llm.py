@@ -221,6 +221,14 @@ def test_lookalikes(spark):
     assert [r.text for r in lookalike.canonical_text(df.where("id IN ('i1', 'i5')"), "text").orderBy(F.col("text").isNull()).collect()] == ["Work", "Work", None]
     hot = spark.createDataFrame([("raw", f"h{i:03}", "W" if i % 3 else "Ｗ", "") for i in range(90)], "field_name string, id string, text string, form string")
     assert lookalike.same_look(hot, block=7).count() == 30 * 60
+    for some, out in ((df, spark.createDataFrame([("raw", "out")], "field_name string, id string")), (hot, None)):
+        links: dict = {}
+        for f, a, b in rows(lookalike.same_look(some, out)):
+            links[f, a] = links.get((f, a), 0) + 1
+            links[f, b] = links.get((f, b), 0) + 1
+        assert {(r.field_name, r.id): r.n_links for r in lookalike.look_classes(some, out).collect()} == links
+    assert lookalike.look_classes(df.where("false")).count() == 0
+    assert lookalike.canonical("ꓮꓐ Ꭺ Ⲟ") == "AB A O"
 
 
 # 6
