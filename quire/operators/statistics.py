@@ -21,8 +21,7 @@ def share_and_density(df: DataFrame, group: list[str], part: str, words: Column,
 
 def quartiles(df: DataFrame, group: list[str], value: str, least: int = 3) -> DataFrame:
     """n, q1, median, q3 of the non-null values; no row for groups of fewer than `least` values or without spread."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), q.alias("q"))
+    got = exact_quantiles(df, group, value, [0.25, 0.5, 0.75])
     got = got.select(*group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     return got.where((F.col("n") >= least) & (F.col("q3") > F.col("q1")))
 
@@ -37,6 +36,40 @@ def rate_flag(rate: Column, own: Column, high: float = 0.75, low: float = 0.25)
     return F.when((rate >= high) & ~own, "missing").when((rate <= low) & own, "unusual").otherwise("within")
 
 
+def exact_quantiles(df: DataFrame, group: list[str], value: str, shares: list[float], accuracy: int = 2_000) -> DataFrame:
+    """group, n, q: the exact quantiles, interpolated, of non-null values; no group's values meet in one buffer.
+
+    Sketches give a bracket around each quantile's rank; what lies below it is only counted, and the few values inside,
+    folded by value, are walked in order. A group of n values brings about n / accuracy of them to a window.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
+    away = 2.0 / accuracy
+    ends = [x for q in shares for x in (max(0.0, q - away), min(1.0, q + away))]
+    sketch = rows.groupBy(*group).agg(F.count("*").alias("n"), F.percentile_approx("__v", ends, accuracy).alias("__ends"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    # a small group is its own bracket
+    small = F.col("n") <= accuracy
+    brackets = sketch.select(*group, "n", F.posexplode(F.array(*(F.struct(F.lit(q).alias("share"), F.when(small, F.col("__min")).otherwise(F.col("__ends")[2 * i]).alias("lo"), F.when(small, F.col("__max")).otherwise(F.col("__ends")[2 * i + 1]).alias("hi")) for i, q in enumerate(shares)))).alias("__k", "b")).select(*group, "n", "__k", "b.*")
+    joined = rows.join(brackets, group) if group else rows.crossJoin(F.broadcast(brackets))  # without groups one row a share
+    inside = joined.where("__v <= hi").groupBy(*group, "n", "__k", "share", F.when(F.col("__v") >= F.col("lo"), F.col("__v")).alias("__v")).agg(F.count("*").alias("m"))
+    w = Window.partitionBy(*group, "__k").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    at = inside.withColumn("upto", F.sum("m").over(w)).where("__v IS NOT NULL")
+    h = (F.col("n") - 1) * F.col("share")
+    one = at.withColumn("h", h).groupBy(*group, "n", "__k").agg(F.max("h").alias("h"), F.min(F.when(F.col("upto") > F.floor("h"), F.col("__v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("h"), F.col("__v"))).alias("b"))
+    got = one.select(*group, "n", "__k", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))).alias("x"))
+    return got.groupBy(*group, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "x"))), lambda s: s["x"]).alias("q"))
+
+
+def baseline(metrics: DataFrame, groups: DataFrame, least: int = 3) -> DataFrame:
+    """group, metric, present_in, q1, median, q3 over a group's manuscripts; nothing for fewer than `least` that have it.
+
+    metrics: doc_id, metric, value; groups: doc_id, group.
+    """
+    rows = metrics.join(groups.where("group IS NOT NULL"), "doc_id").where("value IS NOT NULL")
+    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    got = rows.groupBy("group", "metric").agg(F.count("*").alias("present_in"), q.alias("q")).where(F.col("present_in") >= least)
+    return got.select("group", "metric", "present_in", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+
+
 def absent_as_zero(df: DataFrame, unit: str, part: str, value: str, parts: list[str]) -> DataFrame:
     """Per part: share over all units, an absent part counting 0, and how many units have it.
 

@@ -10,7 +10,7 @@ from quire.plans.joins import PARAS, marker_in_sentence, markers, paragraphs
 from quire.plans.joins import SQL as JOINS_SQL
 from quire.plans.stats import _PAIRS, _SHARE, _TYPED, body, rater_f1
 from quire.plans.stats import SQL as STATS_SQL
-from quire.plans.text import MARKERS, refs
+from quire.plans.text import MARKERS, REFS, refs
 from quire.session import table
 
 c = F.col
@@ -61,6 +61,13 @@ def metric_flags(spark, folder):
     return m.join(q, "metric", "left").join(rate, "metric", "left").groupBy("metric", flag.alias("flag")).agg(F.count("*").alias("n_docs"))
 
 
+def language_baseline(spark, folder):
+    """What is usual among manuscripts of one language, measure by measure: the statistics a comparison needs, without texts."""
+    lang = refs(spark, folder).where("lang IS NOT NULL").groupBy("doc_id", "lang").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("lang", F.struct("n", "lang")).alias("group"))
+    got = S.baseline(manuscript_metrics(spark, folder), lang)
+    return got.select("group", "metric", "present_in", r6("q1"), r6("median"), r6("q3"))
+
+
 def section_density(spark, folder):
     """Per section kind, over the manuscripts that have it: in how many it stands, and the median citations per 1000 words."""
     own = S.share_and_density(body(spark, folder), ["doc_id"], "part", T.count_words(c("text")), c("n_cites")).where(c("part").isin(PARTS) & (c("n_words") > 0))
@@ -83,7 +90,7 @@ def macro_f1(spark, folder):
     return per.agg(F.count("*").alias("n_levels"), F.round(F.avg("f1"), 6).alias("macro_f1")).join(equal.select(F.round(c("hits") / c("n"), 6).alias("accuracy")))  # one row each
 
 
-QUERIES = {f.__name__: f for f in (manuscript_metrics, metric_flags, section_density, rater_confusion, macro_f1)}
+QUERIES = {f.__name__: f for f in (manuscript_metrics, metric_flags, language_baseline, section_density, rater_confusion, macro_f1)}
 
 _IN = f"(SELECT s.marker_id, s.para_id, s.sent_ix, m.doc_id, m.ref_ids FROM ({JOINS_SQL['marker_in_sentence']}) s JOIN {MARKERS} m ON m.marker_id = s.marker_id)"
 _METRICS = f"""WITH o AS (SELECT * FROM {_SHARE}), d AS (SELECT doc_id, sum(n_words) AS words, sum(n_cites) AS cites FROM o GROUP BY 1),
@@ -101,6 +108,8 @@ SQL = {
     "manuscript_metrics": _METRICS,
     "metric_flags": f"""WITH m AS MATERIALIZED ({_METRICS}), q AS (SELECT * FROM (SELECT metric, count(value) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM m WHERE NOT starts_with(metric, 'present:') GROUP BY 1) WHERE n >= 3 AND q3 > q1), r AS (SELECT metric, avg(value) AS rate FROM m WHERE starts_with(metric, 'present:') AND value IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)
         SELECT metric, CASE WHEN rate IS NOT NULL THEN CASE WHEN value = 0 AND rate >= 0.75 THEN 'below' WHEN value > 0 AND rate <= 0.25 THEN 'above' ELSE 'within' END WHEN value IS NULL OR q1 IS NULL THEN 'na' WHEN value < q1 THEN 'below' WHEN value > q3 THEN 'above' ELSE 'within' END AS flag, count(*) AS n_docs FROM m LEFT JOIN q USING (metric) LEFT JOIN r USING (metric) GROUP BY 1, 2""",
+    "language_baseline": f"""WITH m AS ({_METRICS}), g AS (SELECT doc_id, max_by(lang, (n, lang)) AS "group" FROM (SELECT doc_id, lang, count(*) AS n FROM {REFS} WHERE lang IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+        SELECT "group", metric, count(*) AS present_in, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3 FROM m JOIN g USING (doc_id) WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3""",
     "section_density": f"SELECT part, count(*) AS present_in, round(median(density), 6) AS median_density FROM {_SHARE} WHERE n_words > 0 AND part IN ({', '.join(repr(p) for p in PARTS)}) GROUP BY 1",
     "rater_confusion": _CONFUSION,
     "macro_f1": f"SELECT n_levels, macro_f1, accuracy FROM (SELECT count(*) AS n_levels, round(avg(f1), 6) AS macro_f1 FROM ({STATS_SQL['rater_f1']})), (SELECT round(sum(CASE WHEN gold = said THEN n ELSE 0 END) / sum(n), 6) AS accuracy FROM ({_CONFUSION}))",

@@ -186,19 +186,22 @@ def stratified_sample(spark, folder):
     return S.seeded_sample(table(spark, folder, "documents").select("source", "doc_id"), "source", "doc_id", F.lit(3), "quire")
 
 
+def drawn(spark, folder):
+    """source, size, hit of three documents a source: sizes are counted, the draw reads keys alone, and only what is drawn is looked into."""
+    d = table(spark, folder, "documents")
+    picked = S.seeded_sample(d.select("source", "doc_id"), "source", "doc_id", F.lit(3), "quire").select("doc_id")
+    hit = d.join(picked, "doc_id", "left_semi").select("source", F.coalesce(c("text").rlike("[0-9]"), F.lit(False)).alias("hit"))
+    return hit.join(d.groupBy("source").agg(F.count("*").alias("size")), "source")
+
+
 def sample_estimate(spark, folder):
     """Estimated share of documents with digits, from a stratified sample."""
-    d = table(spark, folder, "documents").select("source", "doc_id", F.coalesce(c("text").rlike("[0-9]"), F.lit(False)).alias("hit"))
-    d = d.withColumn("size", F.count("*").over(Window.partitionBy("source")))
-    got = S.stratified_estimate(S.seeded_sample(d, "source", "doc_id", F.lit(3), "quire"), "source", "size", "hit")
-    return got.select(r6("estimate"), r6("rate"), "drawn")
+    return S.stratified_estimate(drawn(spark, folder), "source", "size", "hit").select(r6("estimate"), r6("rate"), "drawn")
 
 
 def sample_interval(spark, folder):
     """The bootstrap interval of that estimate; no SQL, as draws are numpy's."""
-    d = table(spark, folder, "documents").select("source", "doc_id", F.coalesce(c("text").rlike("[0-9]"), F.lit(False)).alias("hit"))
-    d = d.withColumn("size", F.count("*").over(Window.partitionBy("source")))
-    return S.bootstrap(S.seeded_sample(d, "source", "doc_id", F.lit(3), "quire"), "source", "size", "hit")
+    return S.bootstrap(drawn(spark, folder), "source", "size", "hit")
 
 
 def stratum_by_priority(spark, folder):

