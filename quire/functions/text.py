@@ -40,6 +40,7 @@ OWN_WHO = {"person": "we|i", "work": "(?:this|the present) (?:paper|study|work|a
 OWN_DOES = "propose|present|introduce|develop|describe|report|show|find|demonstrate|investigate|examine|study|evaluate|compare|argue|extend|apply|design|measure|analy[sz]e|contribute|explain|use|aim"
 OWN_HAN = "(?:本文|本研究|本章|本论文|我们)(?:提出|介绍|研究|发现|分析|设计|采用|考察|探讨|证明|认为|比较|评估)"
 
+FORMULA = r"[$^=<>±×÷∑∫√≤≥∈]|\\[a-zA-Z]+|[A-Za-z]_[A-Za-z0-9{]"
 HAN = "一-鿿"
 LATIN_WORD = "[A-Za-zÀ-ɏ0-9]+(?:['’-][A-Za-zÀ-ɏ0-9]+)*"
 
@@ -239,12 +240,12 @@ def year_only_difference(a: Column, b: Column) -> Column:
 
 
 def edit_class(old: Column, new: Column) -> Column:
-    """What a correction changes: spaces, width, hyphens, cuts or wording."""
+    """What a correction changes: spaces, width, hyphens, cuts, formulas (signs of mathematics or commands) or wording."""
     spaces = lambda c: F.regexp_replace(c, r"\s+", "")
     hyphens = lambda c: F.regexp_replace(spaces(c), "[-‐‑–]", "")
     return (
         F.when(old == new, "same").when(spaces(old) == spaces(new), "space").when(F.translate(old, WIDE, NARROW) == F.translate(new, WIDE, NARROW), "width")
-        .when(hyphens(old) == hyphens(new), "hyphen").when(old.startswith(new) | new.startswith(old), "truncate").otherwise("other")
+        .when(hyphens(old) == hyphens(new), "hyphen").when(old.startswith(new) | new.startswith(old), "truncate").when(old.rlike(FORMULA) | new.rlike(FORMULA), "formula").otherwise("other")
     )
 
 

@@ -68,6 +68,22 @@ def grid_columns(pieces: DataFrame, table: str, gap: float = 1.0) -> DataFrame:
     return pieces.withColumn("column", F.sum(F.when(F.col("x0") > reach + gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def table_cells(pieces: DataFrame, table: str, gap: float = 1.0) -> DataFrame:
+    """table, row, column, text: a table's pieces as cells, rows that go on in the next line merged.
+
+    pieces: table, line, x0, x1, text. A line without a first cell that leaves another empty too goes on with the row above
+    it; texts of a cell are joined as running text. Two windows over a table's lines, no state in Python.
+    """
+    cells = grid_columns(pieces, table, gap).groupBy(table, "line", "column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda p: p["text"]), " ").alias("text"))
+    width = cells.groupBy(table).agg(F.countDistinct("column").alias("__width"))
+    lines_ = cells.groupBy(table, "line").agg(F.count("*").alias("__n"), F.min("column").alias("__first")).join(width, table)
+    w = Window.partitionBy(table).orderBy("line")
+    fresh = (F.row_number().over(w) == 1) | (F.col("__first") == 0) | (F.col("__n") == F.col("__width"))
+    rows = lines_.withColumn("__new", fresh).withColumn("row", F.sum(F.col("__new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    parts = cells.join(rows.select(table, "line", "row"), [table, "line"]).groupBy(table, "row", "column").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda p: p["text"]).alias("p"))
+    return parts.select(table, "row", "column", F.aggregate("p", F.lit(None).cast("string"), join_fragments).alias("text"))
+
+
 def body_size(glyphs: DataFrame, doc: str) -> DataFrame:
     """The commonest glyph size of each document, the smallest of equally common ones."""
     n = glyphs.groupBy(doc, "size").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,24 @@ def inject(entries: DataFrame, seed: str, share: float = 0.1) -> DataFrame:
         F.when(k == "year", F.col("year") + shift).otherwise(F.col("year")).alias("year"), F.when(k == "author", swapped).otherwise(F.col("authors")).alias("authors"), "kind",
         F.col("raw").alias("old_raw"), F.col("title").alias("old_title"), F.col("year").alias("old_year"), F.col("authors").alias("old_authors"),
     )
+
+
+def inject_markers(markers: DataFrame, entries: DataFrame, seed: str, share: float = 0.1) -> DataFrame:
+    """doc_id, marker_id, ref_ids with errors in about `share` of the rows; kind says which (null: none), and old_ref_ids keeps what
+    was there.
+
+    swap: the first reference replaced by the entry after it in the list, which the marker doesn't cite; drop: one of several
+    references left out; stray: the next entry cited as well. Where a row lacks what its kind changes, it stays as it is.
+    """
+    key = F.col("marker_id")
+    kinds = F.array(*map(F.lit, ("swap", "drop", "stray")))
+    w = Window.partitionBy("doc_id").orderBy("pos", "ref_id")
+    following = entries.select("doc_id", F.col("ref_id").alias("__first"), F.lead("ref_id").over(w).alias("__next"))
+    rows = markers.select("doc_id", "marker_id", "ref_ids", F.get("ref_ids", F.lit(0)).alias("__first")).join(following, ["doc_id", "__first"], "left")
+    chosen = F.when(draw(seed, key, "row") < share, F.get(kinds, (draw(seed, key, "kind") * 3).cast("int")))
+    other = F.col("__next").isNotNull() & ~F.coalesce(F.array_contains("ref_ids", F.col("__next")), F.lit(False))
+    fits = F.when(chosen == "drop", F.size("ref_ids") > 1).otherwise(other)
+    rows = rows.withColumn("kind", F.when(fits, chosen))
+    k, rest = F.col("kind"), F.slice("ref_ids", F.lit(2), F.greatest(F.size("ref_ids"), F.lit(1)))
+    new = F.when(k == "swap", F.concat(F.array("__next"), rest)).when(k == "drop", rest).when(k == "stray", F.concat("ref_ids", F.array("__next"))).otherwise(F.col("ref_ids"))
+    return rows.select("doc_id", "marker_id", new.alias("ref_ids"), "kind", F.col("ref_ids").alias("old_ref_ids"))

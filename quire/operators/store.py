@@ -64,6 +64,32 @@ def call_provider(requests: DataFrame, cache: DataFrame, provider: Callable[[lis
     return keyed.join(answers, "key", "left").select("id", "value"), fresh.withColumn("created_at", F.current_timestamp())
 
 
+def routed(providers: list[tuple[str, Callable[[list[str]], Iterable[str | None]]]], *, valid: Callable[[str], bool] | None = None, tries: int = 2, private: Callable[[str], bool] | None = None, local: tuple[str, ...] = ()) -> Callable[[list[str]], list[str | None]]:
+    """One provider made of several, for call_provider: each prompt goes to the first that answers it validly.
+
+    providers: (name, function) in the order of the route. A provider that raises or gives nothing valid is asked `tries` times
+    for what is open, then the next one is. Prompts that are private go only to providers named in `local`; None is left where
+    none answers.
+    """
+    def ask(prompts: list[str]) -> list[str | None]:
+        out: list[str | None] = [None] * len(prompts)
+        for name, provider in providers:
+            for _ in range(tries):
+                todo = [i for i, p in enumerate(prompts) if out[i] is None and (name in local or private is None or not private(p))]
+                if not todo:
+                    break
+                try:
+                    got = list(provider([prompts[i] for i in todo]))
+                except Exception:  # a provider that fails is one that gives no answer
+                    continue
+                for i, a in zip(todo, got):
+                    if a is not None and (valid is None or valid(a)):
+                        out[i] = a
+        return out
+
+    return ask
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """side, rows that only one of two tables has, with repeats; empty when they hold the same."""
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import entities as E
 from quire.operators import retrieval as R
 from quire.operators import sequences as Q
-from quire.plans.joins import PARAS, SECTIONS, SENT, _NUMBERS, marker_spans, numbers, paragraphs, sections, spans
+from quire.plans.joins import PARAS, SECTIONS, SENT, _NUMBERS, _RESOLVED, marker_spans, numbers, paragraphs, resolve_markers, sections, spans
 from quire.plans.text import MARKERS, REFS, TOKENS, records, refs, sentence_rows
 from quire.session import table
 
@@ -119,6 +120,22 @@ def label_ranges(spark, folder):
     return runs.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", part.alias("s")))), lambda x: x["s"]), ", ").alias("ranges"))
 
 
+def renumbered_markers(spark, folder):
+    """Numeric markers as they read once each list follows its first citations: new numbers in order, three or more in a row as a range.
+
+    Uncited entries come last in their old order. A number that means no entry keeps its marker as it is.
+    """
+    seen = first_appearance(spark, folder)
+    e = E.listed_entries(refs(spark, folder)).join(seen, ["doc_id", "ref_id"], "left")
+    new = e.select("doc_id", "ref_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("rank").asc_nulls_last(), "place")).cast("bigint").alias("new"))
+    cited = resolve_markers(spark, folder)
+    whole = cited.groupBy("marker_id").agg(F.count_if(c("ref_id").isNull()).alias("lost")).where("lost = 0").select("marker_id")
+    m = cited.join(whole, "marker_id").join(new.drop("doc_id"), "ref_id").select("marker_id", c("new").alias("number")).distinct()
+    runs = Q.integer_runs(m, ["marker_id"], "number")
+    part = F.when(c("size") >= 3, F.concat_ws("-", "low", "high")).when(c("size") == 2, F.concat_ws(", ", "low", "high")).otherwise(c("low").cast("string"))
+    return runs.groupBy("marker_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", part.alias("s")))), lambda x: x["s"]), ", "), F.lit("]")).alias("raw"))
+
+
 def first_appearance(spark, folder):
     m = marker_spans(spark, folder).join(paragraphs(spark, folder).select("para_id", "doc_id", "para_ix"), "para_id")
     cited = m.select("doc_id", "para_ix", "start", F.posexplode("ref_ids").alias("k", "ref_id"))
@@ -174,7 +191,7 @@ def document_order_ids(spark, folder):
     return Q.numbered(m, "doc_id", "para_ix", [c("para_ix").asc_nulls_first(), "start", "marker_id"]).select("marker_id", long("number"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, rrf_fusion, rerank_top, cosine_topk, prefilter_neighbours, sliding_windows3, excerpt_fill, verbatim_containment, newest_records, shortest_marker, list_order, marker_clusters, int_runs, label_ranges, first_appearance, reorder_moves, order_feasible, running_offset, last_heading, heading_numbers, hierarchical_labels, document_order_ids)}
+QUERIES = {f.__name__: f for f in (bm25_topk, rrf_fusion, rerank_top, cosine_topk, prefilter_neighbours, sliding_windows3, excerpt_fill, verbatim_containment, newest_records, shortest_marker, list_order, marker_clusters, int_runs, label_ranges, renumbered_markers, first_appearance, reorder_moves, order_feasible, running_offset, last_heading, heading_numbers, hierarchical_labels, document_order_ids)}
 
 _QTOKENS = TOKENS.replace("text", "question")
 _SCORED = f"""(WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents WHERE text IS NOT NULL), z AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean FROM d),
@@ -203,6 +220,10 @@ SQL = {
         SELECT para_id, session::BIGINT AS session, count(DISTINCT marker_id) AS n_markers, count(DISTINCT ref_id) AS n_refs FROM (SELECT para_id, session, marker_id, unnest(CASE WHEN len(ref_ids) > 0 THEN ref_ids ELSE [NULL] END) AS ref_id FROM f) GROUP BY 1, 2""",
     "int_runs": _RUNS.format(k="marker_id"),
     "label_ranges": f"SELECT doc_id, string_agg(CASE WHEN low = high THEN low::VARCHAR WHEN high = low + 1 THEN low || ', ' || high ELSE low || '-' || high END, ', ' ORDER BY low) AS ranges FROM ({_RUNS.format(k='doc_id')}) GROUP BY 1",
+    "renumbered_markers": f"""WITH n AS (SELECT e.doc_id, e.ref_id, row_number() OVER (PARTITION BY e.doc_id ORDER BY f.rank NULLS LAST, e.place) AS new FROM (SELECT doc_id, ref_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, ref_id) AS place FROM {REFS} WHERE origin = 'list') e LEFT JOIN ({_FIRST}) f ON f.doc_id = e.doc_id AND f.ref_id = e.ref_id),
+        r AS (SELECT * FROM ({_RESOLVED})), m AS (SELECT DISTINCT r.marker_id, n.new AS number FROM r JOIN n ON n.ref_id = r.ref_id WHERE r.marker_id NOT IN (SELECT marker_id FROM r WHERE ref_id IS NULL)),
+        k AS (SELECT marker_id, min(number) AS low, max(number) AS high, count(*) AS size FROM (SELECT *, number - row_number() OVER (PARTITION BY marker_id ORDER BY number) AS i FROM m) GROUP BY marker_id, i)
+        SELECT marker_id, '[' || string_agg(CASE WHEN size >= 3 THEN low || '-' || high WHEN size = 2 THEN low || ', ' || high ELSE low::VARCHAR END, ', ' ORDER BY low) || ']' AS raw FROM k GROUP BY 1""",
     "first_appearance": _FIRST,
     "order_feasible": f"""WITH w AS (SELECT pdoc AS doc_id, ref_id, min(para_ix) AS low, max(para_ix) AS high FROM (SELECT pdoc, para_ix, unnest(ref_ids) AS ref_id FROM {_PLACED}) GROUP BY 1, 2)
         SELECT doc_id, bool_and(m <= high) AS feasible, count(*) AS n_items FROM (SELECT doc_id, high, max(low) OVER (PARTITION BY doc_id ORDER BY pos, ref_id ROWS UNBOUNDED PRECEDING) AS m FROM w JOIN (SELECT doc_id, ref_id, pos FROM {REFS} WHERE origin = 'list') USING (doc_id, ref_id)) GROUP BY 1""",

@@ -253,7 +253,7 @@ SQL = {
         FROM (SELECT *, coalesce(list_position(list_transform(range(1, greatest(len(x), len(y)) + 1), lambda i: coalesce(x[i] = y[i], false)), false) - 1, greatest(len(x), len(y)))::BIGINT AS k
               FROM (SELECT *, regexp_split_to_array(trim({_low('title')}, ' '), '\\s+') AS x, regexp_split_to_array(trim({_low('main_title')}, ' '), '\\s+') AS y FROM {RECORDS} WHERE title IS NOT NULL AND main_title IS NOT NULL AND title <> main_title))""",
     "raw_edit_classes": f"""SELECT CASE WHEN o = w THEN 'same' WHEN {_spaceless('o')} = {_spaceless('w')} THEN 'space' WHEN {_widths('o')} = {_widths('w')} THEN 'width'
-        WHEN regexp_replace({_spaceless('o')}, '[-‐‑–]', '', 'g') = regexp_replace({_spaceless('w')}, '[-‐‑–]', '', 'g') THEN 'hyphen' WHEN starts_with(o, w) OR starts_with(w, o) THEN 'truncate' ELSE 'other' END AS edit, count(*) AS n
+        WHEN regexp_replace({_spaceless('o')}, '[-‐‑–]', '', 'g') = regexp_replace({_spaceless('w')}, '[-‐‑–]', '', 'g') THEN 'hyphen' WHEN starts_with(o, w) OR starts_with(w, o) THEN 'truncate' WHEN regexp_matches(o, '{_q(T.FORMULA)}') OR regexp_matches(w, '{_q(T.FORMULA)}') THEN 'formula' ELSE 'other' END AS edit, count(*) AS n
         FROM (SELECT title AS o, {_low('doi')} AS d FROM {REFS} WHERE title IS NOT NULL AND doi IS NOT NULL) JOIN (SELECT title AS w, {_low('doi')} AS d FROM {RECORDS} WHERE title IS NOT NULL AND doi IS NOT NULL) USING (d) GROUP BY 1""",
     "phrase_occurrences": f"""SELECT doc_id, (list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length('measured values'))::BIGINT AS start_pos
         FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM (SELECT doc_id, string_split({_low('text')}, 'measured values') AS p FROM documents WHERE contains({_low('text')}, 'measured values')))""",

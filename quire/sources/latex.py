@@ -32,6 +32,16 @@ def strip_comments(text: str) -> str:
     return "\n".join(out)
 
 
+def comment_spans(text: str) -> list[tuple[int, int]]:
+    """Where the comments of a text stand, as strip_comments leaves them out: from the sign to the line's end."""
+    out, at = [], 0
+    for line, kept in zip(text.split("\n"), strip_comments(text).split("\n")):
+        if len(kept) < len(line):
+            out.append((at + len(kept), at + len(line)))
+        at += len(line) + 1
+    return out
+
+
 def conditionals(text: str) -> str:
     """\\iffalse ... \\fi dropped, other conditionals' first branch kept."""
     token = re.compile(r"\\(if[a-zA-Z@]*|else|fi)(?![a-zA-Z@])")
@@ -236,7 +246,7 @@ def blocks(source: str, main: str, numbers: dict[str, int] | None = None, names:
     body = body.partition("\\end{document}")[0]
     body = expand_macros(conditionals(body), macros)
     out: list = []
-    file, line = main, 1
+    file, line, tables = main, 1, -1
 
     def put(kind: str, level: int | None, raw: str) -> None:
         nonlocal file, line
@@ -272,9 +282,12 @@ def blocks(source: str, main: str, numbers: dict[str, int] | None = None, names:
                 for k in re.finditer(r"\\caption\*?\s*(?:\[[^\]]*\])?\s*\{", inner):
                     put("caption", None, inner[k.end() : closing(inner, k.end() - 1) - 1])
                 for t in re.finditer(r"\\begin\{tabular[x*]?\}(?:\{[^{}]*\})?\s*\{(?:[^{}]|\{[^{}]*\})*\}(.*?)\\end\{tabular[x*]?\}", inner, re.S):
-                    for row in table_rows(t[1]):
-                        for text, span, header in row:
-                            out.append(("header" if header else "cell", span, text, [], file, line, []))
+                    tables += 1
+                    for r, row in enumerate(table_rows(t[1])):
+                        column = 0
+                        for text, span, header in row:  # where a cell stands goes with its keys
+                            out.append(("header" if header else "cell", span, text, [f"t{tables}", str(r), str(column)], file, line, []))
+                            column += span
             else:
                 for k in re.finditer(r"\\bibitem\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}(.*?)(?=\\bibitem|\Z)", inner, re.S):
                     out.append(("bibitem", None, render(k[2]), [k[1].strip()], file, line, []))

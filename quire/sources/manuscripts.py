@@ -86,7 +86,7 @@ def latex_tables(rows: DataFrame) -> dict[str, DataFrame]:
     first = F.min(F.when(top, F.struct("ix", "text", "para_id"))).alias("h")
     sections = blocks.groupBy("doc_id", "section_id").agg(first).select("doc_id", "section_id", c("h.text").alias("title"), F.coalesce(T.heading_kind(c("h.text")), F.lit("other")).alias("canonical"), c("h.para_id").alias("heading_para_id"))
     in_cell = c("kind").isin("cell", "header")
-    cell = F.when(in_cell, F.struct(F.lit("t").alias("table_id"), F.lit(None).cast("int").alias("row_ix"), F.lit(None).cast("int").alias("col_ix"), c("level").alias("colspan"), (c("kind") == "header").alias("header")))
+    cell = F.when(in_cell, F.struct(c("keys")[0].alias("table_id"), c("keys")[1].cast("int").alias("row_ix"), c("keys")[2].cast("int").alias("col_ix"), c("level").alias("colspan"), (c("kind") == "header").alias("header")))
     paragraphs = blocks.select("doc_id", "para_id", c("ix").alias("para_ix"), "section_id", "text", T.entry_language(c("text")).alias("lang"), (c("kind") == "caption").alias("is_caption"), cell.alias("cell"))
     m = blocks.select("doc_id", "para_id", "text", F.explode("marks").alias("m"))
     raw = F.substr(c("text"), c("m.start") + 1, c("m.end") - c("m.start"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import json
 import os
+import re
 import tomllib
 
 import pandas as pd
@@ -13,18 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+#: Environments above which a note about a line inside them goes.
+BARRED = re.compile(r"\\(begin|end)\{(?:verbatim|lstlisting|minted|figure|table|tabular|longtable|equation|align)[*x]?\}")
 NOTED = StructType([StructField("text", StringType()), StructField("diff", StringType())])
 
 
 def note(text: str, lines: list[int], messages: list[str], path: str) -> tuple[str, str]:
     """The text with each message as a comment line above its line (1 is the first), and the unified diff.
 
-    Lines beyond the text take the end; messages of one line keep their order, line breaks in them become spaces.
+    A line inside a listing, float or formula takes the place above it, lines beyond the text take the end; messages of one line keep their order, line breaks in them become spaces.
     """
     old = text.split("\n")
     at: dict[int, list[str]] = {}
+    begins, depth = {}, []
+    for n, line in enumerate(old, 1):  # a comment inside these would be printed, or end up in the wrong place
+        if m := BARRED.search(line):
+            depth += [n] if m[1] == "begin" else []
+        begins[n] = depth[0] if depth else n
+        if depth and BARRED.search(line) and BARRED.search(line)[1] == "end":
+            depth.pop()
     for n, m in zip(lines, messages):
-        at.setdefault(min(max(n, 1), len(old) + 1), []).append("% NOTE: " + " ".join((m or "").split()))
+        at.setdefault(begins.get(min(max(n, 1), len(old) + 1), len(old) + 1), []).append("% NOTE: " + " ".join((m or "").split()))
     new = [x for i, line in enumerate([*old, None], 1) for x in (*at.get(i, ()), line) if x is not None]
     return "\n".join(new), "\n".join(difflib.unified_diff(old, new, path, path, lineterm=""))
 

@@ -276,3 +276,45 @@ def test_perturb(spark):
     assert a.where(f"kind IS NOT NULL AND NOT ({changed})").count() == a.where(f"kind IS NULL AND ({changed})").count() == 0
     assert {r.kind for r in a.select("kind").distinct().collect()} == {None, "year", "title", "author", "number", "source"}
     assert perturb.inject(df, "s", 0.0).where("kind IS NOT NULL").count() == 0
+
+
+def test_marker_errors(spark):
+    from quire.operators import perturb
+
+    e = spark.createDataFrame([("d", f"r{i}", i) for i in range(5)], "doc_id string, ref_id string, pos int")
+    m = spark.createDataFrame([("d", f"m{i}", [f"r{i % 5}"] if i % 2 else ["r0", "r2"]) for i in range(300)] + [("d", "none", []), ("d", "null", None)], "doc_id string, marker_id string, ref_ids array<string>")
+    got = perturb.inject_markers(m, e, "s", 0.6).collect()
+    assert len(got) == 302 and {r.kind for r in got} == {"swap", "drop", "stray", None}
+    for r in got:
+        assert (r.ref_ids == r.old_ref_ids) == (r.kind is None)
+        if r.kind == "drop":
+            assert r.ref_ids == r.old_ref_ids[1:]
+        if r.kind == "stray":
+            assert r.ref_ids[:-1] == r.old_ref_ids and len(set(r.ref_ids)) == len(r.ref_ids)
+    assert rows(perturb.inject_markers(m, e, "s", 0.6)) == rows(perturb.inject_markers(m.repartition(5), e, "s", 0.6))
+
+
+def test_tables_of_pieces(spark):
+    p = spark.createDataFrame([("t", 0, 0.0, 4.0, "name"), ("t", 0, 10.0, 14.0, "what"), ("t", 0, 20.0, 24.0, "n"), ("t", 1, 0.0, 3.0, "a"), ("t", 1, 10.0, 16.0, "long wo-"), ("t", 1, 21.0, 22.0, "1"), ("t", 2, 10.0, 15.0, "rd here"), ("t", 3, 0.0, 2.0, "b"), ("t", 3, 20.0, 22.0, "2")], "t string, line int, x0 double, x1 double, text string")
+    assert [(r.line, r.column) for r in layout.grid_columns(p, "t").orderBy("line", "x0").collect()] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 1), (3, 0), (3, 2)]
+    assert rows(layout.table_cells(p, "t")) == sorted([("t", 0, 0, "name"), ("t", 0, 1, "what"), ("t", 0, 2, "n"), ("t", 1, 0, "a"), ("t", 1, 1, "long word here"), ("t", 1, 2, "1"), ("t", 2, 0, "b"), ("t", 2, 2, "2")], key=lambda r: tuple((x is None, str(x)) for x in r))
+    assert layout.table_cells(p.where("false"), "t").count() == 0
+
+
+def test_routes(spark):
+    asked: list = []
+
+    def first(prompts):
+        asked.append(("first", tuple(prompts)))
+        if "boom" in prompts:
+            raise OSError("down")
+        return [None if p == "hard" else "bad" if p == "odd" else p.upper() for p in prompts]
+
+    second = lambda prompts: [f"2{p}" for p in prompts]
+    route = store.routed([("cloud", first), ("here", second)], valid=lambda a: a != "bad", private=lambda p: p.startswith("secret"), local=("here",))
+    assert route(["easy", "hard", "odd", "secret x"]) == ["EASY", "2hard", "2odd", "2secret x"] and all("secret x" not in p for _, p in asked)
+    assert route(["boom"]) == ["2boom"] and store.routed([("cloud", first)], private=lambda p: True)(["easy"]) == [None]
+    a = spark.createDataFrame([("k", "old", 1), ("j", "kept", 1), ("t", "was", 2)], "key string, value string, v int")
+    b = spark.createDataFrame([("k", "new", 2), ("n", "more", 1), ("t", "is", 2)], "key string, value string, v int")
+    assert rows(store.upsert(a, b, "key", "v").select("key", "value")) == [("j", "kept"), ("k", "new"), ("n", "more"), ("t", "is")]
+    assert [tuple(r.x) for r in spark.createDataFrame([("Ａ  “b”",), (None,)], "s string").select(evidence.normal_udf("s").alias("x")).collect()][0][0] == 'a "b"'

@@ -187,3 +187,33 @@ def test_folders(spark, tmp_path):
         put(path, at)
     got = {r.folder: (r.kind, r.paper and r.paper.rpartition("/")[2], r.library, [o.rpartition("/")[2] for o in r.others]) for r in folders.folder_layout(spark, str(tmp_path)).collect()}
     assert got == {"a": ("docx", "new.docx", "refs", ["cover%20letter.docx", "old.docx"]), "b": ("tex", "b", None, []), "c": ("docx", "response.docx", "some", []), "d": ("unknown", None, None, [])} or got["a"][3] == ["cover letter.docx", "old.docx"]
+
+
+def test_tracked(spark, tmp_path):
+    f = io.BytesIO()
+    word_file(f, ["The helllo world", '<w:r><w:t>One </w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t>two</w:t></w:r><w:r><w:t> three</w:t></w:r>', "Kept"])
+    data = f.getvalue()
+    edits = [(0, 4, 10, "hello"), (0, 16, 16, "!"), (1, 2, 6, "x"), (1, 8, 13, ""), (7, 0, 1, "no")]
+    done = docx.tracked(data, edits)
+    assert [r["text"] for r in docx.parse("x", done)][:3] == ["The hello world!", "Onxo ", "Kept"]
+    assert docx.rejected(done)[:3] == [r["text"] for r in docx.parse("x", data)][:3]
+    (tmp_path / "a.docx").write_bytes(data)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    path = files.first().path
+    wanted = spark.createDataFrame([(path, *e) for e in edits], "path string, para_ix int, start int, end int, new string")
+    assert docx.write_tracked(files, wanted).first().content[:2] == b"PK"
+
+
+def test_latex_places(spark, tmp_path):
+    text = "a % one\n\\% b % two\nc"
+    assert [text[a:b] for a, b in latex.comment_spans(text)] == ["% one", "% two"]
+    from quire.sources import sink
+
+    body = "x\n\\begin{figure}\n\\begin{tabular}{l}\ny\n\\end{tabular}\n\\end{figure}\nz"
+    new, _ = sink.note(body, [4, 7], ["in", "out"], "p")
+    assert new.split("\n")[1] == "% NOTE: in" and new.split("\n")[-2] == "% NOTE: out" and sink.uncomment(new) == body
+    p = tmp_path / "one"
+    p.mkdir()
+    (p / "m.tex").write_text("\\begin{document}\\begin{table}\\begin{tabular}{lll}a & \\multicolumn{2}{c}{b} \\\\ c & d & e \\\\\\end{tabular}\\end{table}\\end{document}")
+    cells = manuscripts.latex_tables(latex.read_latex(spark, str(tmp_path)))["paragraphs"].collect()
+    assert [(r.text, r.cell.table_id, r.cell.row_ix, r.cell.col_ix, r.cell.colspan) for r in sorted(cells, key=lambda r: r.para_ix)] == [("a", "t0", 0, 0, 1), ("b", "t0", 0, 1, 2), ("c", "t0", 1, 0, 1), ("d", "t0", 1, 1, 1), ("e", "t0", 1, 2, 1)]
