@@ -34,9 +34,8 @@ def _letters() -> dict[int, str]:
     return {ord(a): b for a, b in pairs}
 
 
-def _ignorable(c: int) -> bool:
-    """Takes no room: format characters, the soft hyphen, joiners and variation selectors."""
-    return c in (0x00AD, 0x034F, 0x180E) or 0x200B <= c <= 0x200F or 0x202A <= c <= 0x202E or 0x2060 <= c <= 0x206F or c == 0xFEFF or 0xFE00 <= c <= 0xFE0F or 0xE0100 <= c <= 0xE01EF
+#: Characters that take no room: format characters, the soft hyphen, joiners and variation selectors.
+IGNORABLE = frozenset([0x00AD, 0x034F, 0x180E, 0xFEFF, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)])
 
 
 @lru_cache(1)
@@ -46,22 +45,22 @@ def tables() -> tuple[dict[int, str | None], re.Pattern]:
     A segment is unstable where a character's quick check fails: it changes by itself, or it is a mark that may combine
     with what stands before it. The segment takes in the starter before it and all marks after it.
     """
-    to: dict[int, str | None] = {}
+    to: dict[int, str | None] = dict.fromkeys(IGNORABLE)
     marks = []
     for c in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= c < 0xE000:
-            continue
         ch = chr(c)
-        if _ignorable(c):
-            to[c] = None
+        category = unicodedata.category(ch)
+        if category in ("Cn", "Co", "Cs") or c in to:
             continue
-        if unicodedata.category(ch) == "Zs":
+        if category == "Zs":
             to[c] = " "
             continue
-        if unicodedata.combining(ch) or unicodedata.normalize("NFC", "e" + ch) != "e" + ch and unicodedata.category(ch)[0] == "M":
+        if unicodedata.combining(ch) or category[0] == "M" and unicodedata.normalize("NFC", "e" + ch) != "e" + ch:
             marks.append(ch)
-        kind = unicodedata.decomposition(ch).split(" ")[0]
-        if c not in VISIBLE and kind in SAME_LOOK:
+        decomposed = unicodedata.decomposition(ch)
+        if not decomposed:  # what has no decomposition changes by no normal form, but Hangul, which is composed as it stands
+            continue
+        if c not in VISIBLE and decomposed.split(" ")[0] in SAME_LOOK:
             to[c] = unicodedata.normalize("NFKC", ch)
         elif not unicodedata.is_normalized("NFC", ch):
             to[c] = unicodedata.normalize("NFC", ch)
