@@ -106,6 +106,9 @@ class Items:
         order = np.argsort(hashes, kind="stable")
         self.owner, self.place = (np.concatenate(x)[order] if x else np.zeros(0, int) for x in (owner, place))
         self.hashes, self.first, self.times = np.unique(hashes[order], return_index=True, return_counts=True)
+        #: Which low bits of a hash occur at all: what isn't here needs no search.
+        self.maybe = np.zeros(1 << 21, bool)
+        self.maybe[(self.hashes & np.uint64((1 << 21) - 1)).astype(np.int64)] = True
         self.windows = np.array([max(1, len(t) - WINDOW + 1) for t in self.tokens])
         self.total = np.array([w.sum() for w in self.weights])
 
@@ -148,18 +151,26 @@ class Items:
                 continue
             whole = doc[size - 1 :] == doc[: len(doc) - size + 1]
             for h in (self.hash(kind, size), self.hash(lit, size) ^ np.uint64(1)):
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = np.flatnonzero((self.hashes[at] == h) & whole)
+                hit = np.flatnonzero(self.maybe[(h & np.uint64((1 << 21) - 1)).astype(np.int64)] & whole)
+                at = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
+                sure = self.hashes[at] == h[hit]
+                hit, at = hit[sure], at[sure]
                 if len(hit):
-                    times = self.times[at[hit]]
+                    times = self.times[at]
                     upto = np.cumsum(times)
-                    inside = np.arange(upto[-1]) - np.repeat(upto - times, times) + np.repeat(self.first[at[hit]], times)
+                    inside = np.arange(upto[-1]) - np.repeat(upto - times, times) + np.repeat(self.first[at], times)
                     found.append((np.repeat(hit, times), self.owner[inside], self.place[inside]))
         if not found:
             return []
         where, item, place = (np.concatenate(x) for x in zip(*found))
         diagonal = local[where] - place
         pair = doc[where].astype(np.int64) * len(self.keys) + item
+        # a pair with fewer hits in all than a band needs has no band
+        pairs, back, hits = np.unique(pair, return_inverse=True, return_counts=True)
+        enough = (hits >= np.maximum(1, least * self.windows[pairs % len(self.keys)]))[back]
+        diagonal, place, pair = diagonal[enough], place[enough], pair[enough]
+        if not len(pair):
+            return []
         low = diagonal + max(map(len, self.tokens))  # never below 0, wherever a document stands and however long an item is
         bands = int(low.max()) // BAND + 2
         out = []
@@ -176,7 +187,7 @@ class Items:
             for b in np.flatnonzero((count >= np.maximum(1, least * self.windows[owner])) & (wide >= 2 * least)):
                 mine = d[begins[b] : upto[b]]
                 out.append((int(k[begins[b]] // bands // len(self.keys)), int(owner[b]), int(mine.min()), int(mine.max())))
-        return out
+        return list(dict.fromkeys(out))  # both shifts may give the same band
 
     def search(self, keys: list, texts: list[str], least: float, share: float, agree: float, mode: str) -> list[tuple]:
         """(key, item) found in some documents, which are looked through together."""
