@@ -185,7 +185,9 @@ def author_year_links(items: DataFrame, entries: DataFrame, *, least: float = 85
     first = F.regexp_replace(F.split("names", r"\s+et\s+al|\s+and\s+|\s*&\s*|等|和|,|，")[0], r"[\s,，、.。]+$", "")
     m = items.withColumn("want", plain_udf(first)).where("want <> ''")
     e = entries.select("doc_id", "ref_id", "pos", F.col("year").cast("bigint").alias("ref_year"), plain_udf(surname_udf(F.get("authors", F.lit(0)))).alias("have"))
-    p = m.join(e, "doc_id").where("ref_year IS NULL OR ref_year = year").where("have <> ''")
+    e = e.where("have <> ''")
+    # an entry of known year meets markers of that year only; those without a year are few
+    p = m.join(e.where("ref_year IS NOT NULL").withColumn("year", F.col("ref_year")), ["doc_id", "year"]).unionByName(m.join(e.where("ref_year IS NULL"), "doc_id"))
     zh = F.col("want").rlike("[一-鿿]")
     p = p.withColumn("score", F.when(zh, F.when(F.col("have").startswith(F.col("want")) | F.col("want").startswith(F.col("have")), 100.0).otherwise(0.0)).otherwise(ratio_udf("want", "have"))).where(F.col("score") >= least)
     group = ["marker_id", "names", "year", "suffix"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import entities as E
 from quire.operators import intervals as I
+from quire.operators.sequences import running_offset
 from quire.plans.text import MARKERS, REFS, SENTENCES, latest, refs, sentence_rows
 from quire.session import table
 
@@ -101,9 +102,8 @@ def event_as_of_order(spark, folder):
 
 def composed_offsets(spark, folder):
     """Markers' places from sentence to paragraph to document: two offset maps composed."""
-    par = paragraphs(spark, folder).where("text IS NOT NULL")
-    w = Window.partitionBy("doc_id").orderBy("para_ix", "para_id").rowsBetween(Window.unboundedPreceding, -1)
-    second = par.select("para_id", F.lit(0).alias("b_begin"), F.length("text").alias("b_stop"), F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).alias("c_from"))
+    par = paragraphs(spark, folder).where("text IS NOT NULL").select("doc_id", "para_ix", "para_id", F.length("text").alias("size"))
+    second = running_offset(par, ["doc_id"], ["para_ix", "para_id"], c("size") + 1).select("para_id", F.lit(0).alias("b_begin"), c("size").alias("b_stop"), c("offset").alias("c_from"))
     first = spans(spark, folder).select("para_id", "sent_ix", F.lit(0).alias("a_from"), (c("stop") - c("begin")).alias("a_to"), c("begin").alias("b_from"))
     j = I.compose(first, second, "para_id")
     return j.groupBy("para_id").agg(F.count("*").alias("n_pieces"), F.min("c_from").cast("bigint").alias("doc_from"), F.sum(c("a_to") - c("a_from")).cast("bigint").alias("n_chars"))

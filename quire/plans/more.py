@@ -13,6 +13,7 @@ from quire.operators import intervals as I
 from quire.operators.alike import alike, arranged_udf
 from quire.operators.evidence import locate_udf
 from quire.operators.retrieval import top
+from quire.operators.sequences import numbered
 from quire.plans.joins import _KEY, PARAS, SENT, STORED, marker_spans, paragraphs, spans
 from quire.plans.text import MARKERS, REFS, records, refs, sentence_rows
 from quire.session import table
@@ -48,7 +49,10 @@ def skippable_paragraphs(spark, folder):
 
 def bibliography_tail(spark, folder):
     """Whether the last fifth of a manuscript's paragraphs is a bibliography: three fifths of them bear a year."""
-    p = paragraphs(spark, folder).where("text IS NOT NULL").select("doc_id", c("text").rlike("(?:19|20)[0-9][0-9]").alias("dated"), F.percent_rank().over(Window.partitionBy("doc_id").orderBy("para_ix", "para_id")).alias("place"))
+    p = paragraphs(spark, folder).where("text IS NOT NULL").select("doc_id", "para_ix", "para_id", c("text").rlike("(?:19|20)[0-9][0-9]").alias("dated"))
+    whole = p.groupBy("doc_id").agg(F.count("*").alias("size"))
+    place = F.when(c("size") == 1, 0.0).otherwise((c("number") - 1) / (c("size") - 1))
+    p = numbered(p, "doc_id", "para_ix", ["para_ix", "para_id"]).join(whole, "doc_id").withColumn("place", place)
     return p.where("place >= 0.8").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(c("dated")).alias("n_dated"), (F.count_if(c("dated")) >= 0.6 * F.count("*")).alias("is_bibliography"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +18,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests on one machine), a temporary folder takes its place and is set.
+    Where it is unset (tests on one machine), a temporary folder takes its place and is set; it goes when the driver ends.
     """
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
@@ -24,6 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         got = f"file://{tempfile.gettempdir()}/quire-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", got)
+        atexit.register(shutil.rmtree, got.removeprefix("file://"), ignore_errors=True)
     return got
 
 
