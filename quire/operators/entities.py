@@ -42,20 +42,22 @@ def candidates(entries: DataFrame, records: DataFrame, *, least: float = 92.0, h
     in the second as well. Years agree within one, a preprint's within two; a record later than `horizon` + 1 is no
     contradiction to an entry before it. Columns: ref_id, record_id, score, issues, same_doi.
     """
-    names = lambda df: df.withColumn("first", surname_udf(F.get("authors", F.lit(0)))).withColumn("second", surname_udf(F.get("authors", F.lit(1))))
-    e, r = names(entries), names(records)
-    pairs = likely(entries, records, least)
-    a = e.select("ref_id", F.col("title").alias("ta"), F.col("first").alias("fa"), F.col("second").alias("sa"), F.col("year").alias("ya"), F.lower("doi").alias("da"))
-    b = r.select("record_id", F.col("title").alias("tb"), F.col("main_title").alias("mb"), F.col("first").alias("fb"), F.col("second").alias("sb"), F.col("year").alias("yb"), F.col("alt_year").alias("zb"), F.lower("doi").alias("db"), F.col("arxiv_id").isNotNull().alias("preprint"))
-    p = pairs.join(a, "ref_id").join(b, "record_id")
-    p = p.withColumn("pa", plain_udf("ta")).withColumn("score", F.greatest(sorted_ratio_udf("pa", plain_udf("tb")), sorted_ratio_udf("pa", plain_udf(F.coalesce("mb", "tb")))))
+    # names and titles are made plain once a row; a pair only meets the measures, all of them in one pass
+    name = lambda k: plain_udf(surname_udf(F.get("authors", F.lit(k))))
+    a = entries.select("ref_id", F.col("title").alias("ta"), plain_udf("title").alias("pa"), name(0).alias("fa"), name(1).alias("sa"), F.col("year").alias("ya"), F.lower("doi").alias("da"))
+    b = records.select(
+        "record_id", F.col("title").alias("tb"), plain_udf("title").alias("pb"), plain_udf(F.coalesce("main_title", "title")).alias("mb"), name(0).alias("fb"), name(1).alias("sb"),
+        F.col("year").alias("yb"), F.col("alt_year").alias("zb"), F.lower("doi").alias("db"), F.col("arxiv_id").isNotNull().alias("preprint"),
+    )
+    p = likely(entries, records, least).join(a, "ref_id").join(b, "record_id")
+    p = p.select("*", sorted_ratio_udf("pa", "pb").alias("s1"), sorted_ratio_udf("pa", "mb").alias("s2"), ratio_udf("fa", "fb").alias("r1"), ratio_udf("sa", "sb").alias("r2")).withColumn("score", F.greatest("s1", "s2"))
     same_doi = F.coalesce(F.col("da").endswith(F.col("db")), F.lit(False))
     late = F.least(F.abs(F.col("ya") - F.col("yb")), F.abs(F.col("ya") - F.col("zb")))
-    differs = lambda x, y: F.coalesce(ratio_udf(plain_udf(x), plain_udf(y)) < 85, F.lit(False))
+    differs = lambda x: F.coalesce(F.col(x) < 85, F.lit(False))
     year_differs = F.coalesce(late > F.when(F.col("preprint"), 2).otherwise(1), F.lit(False))
     if horizon is not None:
         year_differs = year_differs & ~F.coalesce((F.col("ya") < horizon) & (F.least("yb", "zb") > horizon + 1), F.lit(False))
-    p = p.select("*", same_doi.alias("same_doi"), differs("fa", "fb").alias("author_differs"), (differs("sa", "sb") & ~F.col("preprint")).alias("second_differs"), year_differs.alias("year_differs"))
+    p = p.select("*", same_doi.alias("same_doi"), differs("r1").alias("author_differs"), (differs("r2") & ~F.col("preprint")).alias("second_differs"), year_differs.alias("year_differs"))
     issues = F.array_compact(F.array(F.when(F.col("author_differs"), "author"), F.when(F.col("second_differs"), "second_author"), F.when(F.col("year_differs"), "year"), F.when(F.col("da").isNotNull() & F.col("db").isNotNull() & ~F.col("same_doi"), "doi")))
     p = p.withColumn("issues", issues)
     full = F.col("fa").isNotNull() & F.col("fb").isNotNull() & F.col("ya").isNotNull() & F.coalesce("yb", "zb").isNotNull()
