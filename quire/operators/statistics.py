@@ -42,6 +42,8 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, shares: list[fl
     Sketches give a bracket around each quantile's rank; what lies below it is only counted, and the few values inside,
     folded by value, are walked in order. A group of n values brings about n / accuracy of them to a window.
     """
+    if not group:
+        return exact_quantiles(df.select(F.lit(0).alias("__all"), value), ["__all"], value, shares, accuracy).drop("__all")
     rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
     away = 2.0 / accuracy
     ends = [x for q in shares for x in (max(0.0, q - away), min(1.0, q + away))]
@@ -49,8 +51,7 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, shares: list[fl
     # a small group is its own bracket
     small = F.col("n") <= accuracy
     brackets = sketch.select(*group, "n", F.posexplode(F.array(*(F.struct(F.lit(q).alias("share"), F.when(small, F.col("__min")).otherwise(F.col("__ends")[2 * i]).alias("lo"), F.when(small, F.col("__max")).otherwise(F.col("__ends")[2 * i + 1]).alias("hi")) for i, q in enumerate(shares)))).alias("__k", "b")).select(*group, "n", "__k", "b.*")
-    joined = rows.join(brackets, group) if group else rows.crossJoin(F.broadcast(brackets))  # without groups one row a share
-    inside = joined.where("__v <= hi").groupBy(*group, "n", "__k", "share", F.when(F.col("__v") >= F.col("lo"), F.col("__v")).alias("__v")).agg(F.count("*").alias("m"))
+    inside = rows.join(brackets, group).where("__v <= hi").groupBy(*group, "n", "__k", "share", F.when(F.col("__v") >= F.col("lo"), F.col("__v")).alias("__v")).agg(F.count("*").alias("m"))
     w = Window.partitionBy(*group, "__k").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     at = inside.withColumn("upto", F.sum("m").over(w)).where("__v IS NOT NULL")
     h = (F.col("n") - 1) * F.col("share")

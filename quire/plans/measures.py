@@ -85,9 +85,10 @@ def rater_confusion(spark, folder):
 
 def macro_f1(spark, folder):
     """Mean of the levels' F1, each level counting once, and the share of equal labels."""
-    per = rater_f1(spark, folder)
-    equal = rater_confusion(spark, folder).agg(F.sum(F.when(c("gold") == c("said"), c("n")).otherwise(0)).alias("hits"), F.sum("n").alias("n"))
-    return per.agg(F.count("*").alias("n_levels"), F.round(F.avg("f1"), 6).alias("macro_f1")).join(equal.select(F.round(c("hits") / c("n"), 6).alias("accuracy")))  # one row each
+    per = rater_f1(spark, folder).agg(F.count("*").alias("n_levels"), F.round(F.avg("f1"), 6).alias("macro_f1"))
+    equal = rater_confusion(spark, folder).agg(F.sum(F.when(c("gold") == c("said"), c("n")).otherwise(0)).alias("hits"), F.sum("n").alias("n")).select(F.round(c("hits") / c("n"), 6).alias("accuracy"))
+    both = per.unionByName(equal, allowMissingColumns=True)
+    return both.agg(F.max("n_levels").alias("n_levels"), F.max("macro_f1").alias("macro_f1"), F.max("accuracy").alias("accuracy"))
 
 
 QUERIES = {f.__name__: f for f in (manuscript_metrics, metric_flags, language_baseline, section_density, rater_confusion, macro_f1)}
