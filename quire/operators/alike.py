@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quire.functions.fuzzy import plain
-from quire.session import spread
+from quire.session import cut, spread
 
-# Strings of a block, steps of length bands, columns of the letter bound, pairs measured at a time: these bound memory, not results.
-BLOCK, STEP, COLUMNS, AT_ONCE = 1500, 1.15, 512, 1 << 14
+# Strings of a block, steps of length bands, columns of the letter bound, pairs measured at a time, stretches measured first: these bound memory, not results.
+BLOCK, STEP, COLUMNS, AT_ONCE, STRIDE = 1500, 1.15, 512, 1 << 14, 4
 LETTERS = {c: i for i, c in enumerate(" abcdefghijklmnopqrstuvwxyz0123456789")}
 #: The first columns count the letters above, each up to EACH times with a column a time; all else shares the columns after them.
 EACH = 10
@@ -59,10 +59,15 @@ class Measured:
         for j, s in enumerate(right):
             self.codes[: len(s), j] = [letters.get(c, len(letters)) for c in s]
 
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def common(self, i: np.ndarray, j: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        """start: only the stretch of the right string that begins there and is as long as the left one."""
         rows = np.full((self.words, len(i)), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         base = (i * self.width).astype(np.int32)
-        steps = self.codes[: int(self.m[j].max(initial=0))].take(j, axis=1)
+        if start is None:
+            steps = self.codes[: int(self.m[j].max(initial=0))].take(j, axis=1)
+        else:
+            k = np.arange(int(self.n[i].max(initial=0)))[:, None]
+            steps = np.where(k < self.n[i], self.codes[np.minimum(start + k, len(self.codes) - 1), j], np.int32(self.width - 1))
         steps += base
         mask, u, total = (np.empty(len(i), dtype=np.uint64) for _ in range(3))
         for at in steps:
@@ -88,19 +93,101 @@ class Measured:
         return out
 
 
+def near(left: list[str], right: list[str], least: np.ndarray | float, part: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of left and of right, and their ratio where it is `least` or more, which may differ from pair to pair.
+
+    part: the best ratio of the shorter string with a stretch of the longer one of its length, in place of both whole strings.
+    """
+    n, m = (np.array([len(s) for s in x], dtype=np.float32) for x in (left, right))
+    shorter = np.minimum(n[:, None], m[None, :])
+    both = 2 * shorter if part else n[:, None] + m[None, :]
+    least = np.broadcast_to(np.asarray(least, dtype=np.float64), both.shape)
+    bound = np.minimum(bags(left) @ bags(right).T, shorter)
+    bound *= 200
+    open_ = bound >= least.astype(np.float32) * both - 0.05
+    found = []
+    # strings of up to 64 letters take one machine word; of a part, the shorter string is the left one
+    for these in (n <= 64), (n > 64):
+        at = np.nonzero(these)[0]
+        for turned in (False, True) if part else (False,):
+            i, j = np.nonzero(open_[at] & ((n[at][:, None] > m[None, :]) == turned) if part else open_[at])
+            if not len(i):
+                continue
+            names = [left[k] for k in at], right
+            measured = Measured(*(names[::-1] if turned else names))
+            for k in range(0, len(i), AT_ONCE):
+                x, y = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
+                if part:
+                    score = stretched(measured, *((y, x) if turned else (x, y)), least[at[x], y])
+                else:
+                    total = measured.n[x] + measured.m[y]
+                    score = np.where(total == 0, 100.0, 200.0 * measured.common(x, y) / np.maximum(total, 1))
+                hit = score >= least[at[x], y]
+                found.append((at[x[hit]], y[hit], score[hit]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def stretched(measured: Measured, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The best ratio of each left string with a stretch of the right one of its length; 0 where it is under `least`.
+
+    No stretch has more in common than the whole right string, and the next stretch one letter more at most; so every
+    fourth is measured first, and of those between only what can still be best.
+    """
+    n, m = measured.n[i], measured.m[j]
+    out = np.where((n == 0) & (m == 0), 100.0, 0.0)
+    kept = np.nonzero((n > 0) & (100.0 * measured.common(i, j) >= least * n - 1e-6))[0]
+    if not len(kept):
+        return out
+    best = np.zeros(len(i), dtype=np.int64)
+    last = (m - n)[kept]
+    coarse = last // STRIDE + 1 + (last % STRIDE > 0)  # each STRIDE-th and the last
+    for a in range(0, len(kept), AT_ONCE // 16):
+        part, ends, steps = kept[a : a + AT_ONCE // 16], last[a : a + AT_ONCE // 16], coarse[a : a + AT_ONCE // 16]
+
+        def measure(row: np.ndarray, start: np.ndarray) -> np.ndarray:
+            got = [measured.common(i[part[row[k : k + AT_ONCE]]], j[part[row[k : k + AT_ONCE]]], start[k : k + AT_ONCE]) for k in range(0, len(row), AT_ONCE)]
+            got = np.concatenate(got) if got else np.zeros(0, dtype=np.int64)
+            np.maximum.at(best, part[row], got)
+            return got
+
+        row = np.repeat(np.arange(len(part)), steps)
+        start = np.minimum((np.arange(len(row)) - np.repeat(np.cumsum(steps) - steps, steps)) * STRIDE, ends[row])
+        got = measure(row, start)
+        low = np.maximum(best[part] + 1, np.ceil(least[part] * n[part] / 100.0 - 1e-6))[row]
+        more = [(row[k], start[k] + d) for d in range(1 - STRIDE, STRIDE) if d for k in [np.nonzero((got + abs(d) >= low) & (start + d >= 0) & (start + d <= ends[row]) & (abs(d) <= STRIDE // 2))[0]]]
+        measure(np.concatenate([x[0] for x in more]), np.concatenate([x[1] for x in more]))
+    out[kept] = 100.0 * best[kept] / n[kept]
+    return out
+
+
 def block_pairs(left: list[str], right: list[str], least: float) -> Iterator[pd.DataFrame]:
     """a, b, score of all pairs of two lists from `least` on."""
-    measured = Measured(left, right)
-    both = measured.n[:, None] + measured.m[None, :]
-    bound = np.minimum(bags(left) @ bags(right).T, np.minimum(measured.n[:, None], measured.m[None, :]))
-    i, j = np.nonzero(200.0 * bound >= least * both - 1e-6)
+    i, j, score = near(left, right, least)
     names = np.array(left, dtype=object), np.array(right, dtype=object)
-    for k in range(0, len(i), AT_ONCE):
-        x, y = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
-        n = measured.n[x] + measured.m[y]
-        score = np.where(n == 0, 100.0, 200.0 * measured.common(x, y) / np.maximum(n, 1))
-        hit = score >= least
-        yield pd.DataFrame({"a": names[0][x[hit]], "b": names[1][y[hit]], "score": score[hit]})
+    yield pd.DataFrame({"a": names[0][i], "b": names[1][j], "score": score})
+
+
+def meeting(left: DataFrame, right: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column `pair`: rows of one group of `by` meet in exactly one pair, which holds about BLOCK rows a side.
+
+    Large groups are cut into blocks on each side, small ones share pairs, so a pair may hold rows of several groups.
+    """
+    n = left.groupBy(by).agg(F.count("*").alias("na")).join(right.groupBy(by).agg(F.count("*").alias("nb")), by)
+    large = F.greatest("na", "nb") > BLOCK // 4
+    n = cut(n.select(by, "na", "nb", large.alias("large")))
+    shared = max(1, -(-(n.where("NOT large").agg(F.sum(F.greatest("na", "nb"))).first()[0] or 0) // BLOCK))
+    n = n.select(by, "large", F.ceil(F.col("na") / BLOCK).cast("int").alias("pa"), F.ceil(F.col("nb") / BLOCK).cast("int").alias("pb"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        df = df.join(n, by)
+        mine = F.pmod(F.xxhash64(*(c for c in df.columns if c not in ("large", "pa", "pb"))), F.col(own)).cast("string")
+        theirs = F.explode(F.sequence(F.lit(0), F.when(F.col("large"), F.col(other) - 1).otherwise(0)))
+        df = df.withColumn("mine", mine).withColumn("theirs", theirs)
+        ends = ("mine", "theirs") if own == "pa" else ("theirs", "mine")
+        pair = F.when(F.col("large"), F.concat_ws("|", *ends, by)).otherwise(F.concat(F.lit("~"), F.pmod(F.xxhash64(by), F.lit(shared)).cast("string")))
+        return spread(df.withColumn("pair", pair).drop("large", "pa", "pb", "mine", "theirs"), "pair")
+
+    return dealt(left, "pa", "pb"), dealt(right, "pb", "pa")
 
 
 def alike(left: DataFrame, right: DataFrame, least: float, by: str | None = None) -> DataFrame:

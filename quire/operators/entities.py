@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.fuzzy import partial_ratio_udf, plain_udf, ratio_udf, sorted_ratio_udf, surname_udf
+from quire.functions.fuzzy import plain_udf, ratio_udf, sorted_ratio_udf, surname_udf
 from quire.functions.text import HEAD_WORDS, PREFIX_WORDS, ascii_lower, title_head, title_prefix, year_only_difference
 from quire.functions.text import marker_numbers as numbers_of
 from quire.operators.alike import alike, arranged_udf
@@ -116,20 +116,40 @@ def structured_matches(items: DataFrame, entries: DataFrame, *, least: float = 8
 
     items: doc_id, item_id, title, year, family. The score is the likeness of the titles, or, for an entry without a title,
     0.9 of the best likeness of the item's title with a stretch of its line; 10 more each for the same year and the same
-    first family name. The highest from `least` on wins, then the place in the list. Titles too unlike for the bonuses to
-    lift are never paired: alike() gives all pairs from least - 20 on.
+    first family name. The highest from `least` on wins, then the place in the list. Each pair needs what its bonuses leave
+    of `least`; near() measures only pairs whose letters allow that, and every one of them.
     """
-    from quire.operators.alike import alike, arranged_udf
-
-    i = items.where("title IS NOT NULL").select("doc_id", "item_id", F.col("year").cast("int").alias("yi"), plain_udf("family").alias("fi"), plain_udf("title").alias("pi"), arranged_udf("title").alias("a"))
-    e = entries.select("doc_id", "ref_id", "pos", F.col("year").alias("ye"), plain_udf(surname_udf(F.get("authors", F.lit(0)))).alias("fe"), "title", plain_udf("raw").alias("line"))
-    titled = e.where("title IS NOT NULL").withColumn("b", arranged_udf("title"))
-    near = alike(i.select("doc_id", "a"), titled.select("doc_id", "b"), least - 20, by="doc_id")
-    columns = ["item_id", "ref_id", "pos", "score", "yi", "ye", "fi", "fe"]
-    known = i.join(near, ["doc_id", "a"]).join(titled, ["doc_id", "b"]).select(*columns)
-    bare = i.join(e.where("title IS NULL AND line IS NOT NULL"), "doc_id").withColumn("score", partial_ratio_udf("pi", "line") * 0.9).select(*columns)
-    bonus = F.when(F.col("yi") == F.col("ye"), 10).otherwise(0) + F.when((F.col("fi") == F.col("fe")) & (F.col("fi") != ""), 10).otherwise(0)
-    scored = known.unionByName(bare).withColumn("score", F.round(F.col("score") + bonus, 4)).where(F.col("score") >= least)
+    import numpy as np
+    import pandas as pd
+
+    from quire.operators.alike import meeting, near
+
+    i = items.where("title IS NOT NULL").select("doc_id", "item_id", F.col("year").cast("long").alias("y"), plain_udf("family").alias("f"), plain_udf("title").alias("t"), arranged_udf("title").alias("a"))
+    line = F.when(F.col("title").isNull(), plain_udf("raw"))
+    e = entries.where("title IS NOT NULL OR raw IS NOT NULL").select("doc_id", "ref_id", "pos", F.col("year").cast("long").alias("y"), plain_udf(surname_udf(F.get("authors", F.lit(0)))).alias("f"), line.alias("t"), arranged_udf("title").alias("a"))
+    names = [i.schema["item_id"].dataType.simpleString(), e.schema["ref_id"].dataType.simpleString(), e.schema["pos"].dataType.simpleString()]
+
+    def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        got = []
+        if len(x) and len(y):
+            def same(column: str) -> np.ndarray:
+                codes = pd.factorize(pd.concat([x[column], y[column]]))[0]  # unknown: -1
+                return (codes[: len(x), None] == codes[None, len(x) :]) & (codes[: len(x), None] >= 0)
+
+            bonus = 10.0 * same("y") + 10.0 * (same("f") & (x["f"] != "").to_numpy()[:, None])
+            need = np.where(same("doc_id"), least - 1e-4 - bonus, 1e9)  # the score is rounded to four places later
+            for part, rows in (False, y["a"].notna().to_numpy()), (True, y["a"].isna().to_numpy()):
+                at, weight = np.nonzero(rows)[0], 0.9 if part else 1.0
+                k, j, s = near(x["t" if part else "a"].tolist(), y["t" if part else "a"].iloc[at].tolist(), need[:, at] / weight, part)
+                got.append(pd.DataFrame({"item_id": x["item_id"].to_numpy()[k], "ref_id": y["ref_id"].to_numpy()[at[j]], "pos": y["pos"].to_numpy()[at[j]], "score": s * weight + bonus[k, at[j]]}))
+        if not got:
+            return pd.DataFrame({"item_id": [], "ref_id": [], "pos": [], "score": []})
+        got = pd.concat(got)
+        return got[got["score"] >= got.groupby("item_id", dropna=False)["score"].transform("max") - 1e-3]
+
+    left, right = meeting(i, e, "doc_id")
+    found = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(score, f"item_id {names[0]}, ref_id {names[1]}, pos {names[2]}, score double")
+    scored = found.withColumn("score", F.round("score", 4)).where(F.col("score") >= least)
     best = scored.groupBy("item_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "pos", "ref_id")).alias("b"))
     return best.select("item_id", "b.ref_id", (-F.col("b.s")).alias("score"))
 

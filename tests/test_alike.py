@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions.fuzzy import plain, ratio, sorted_ratio
+from quire.functions.fuzzy import partial_ratio, plain, ratio, sorted_ratio
 from quire.operators import alike, entities
 from quire.plans import checks
 
@@ -49,6 +49,34 @@ def test_alike(spark, least):
     assert {(r.a, r.b): r.score for r in got} == want and len(got) == len(want)
 
 
+def test_near_parts():
+    """The best stretch of each pair by brute force, whichever string is shorter, each pair with its own bound."""
+    import numpy as np
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcd中 ") for _ in range(rng.randint(0, n)))
+    left = ["", *(word(n) for n in (8, 40, 90, 150) for _ in range(10))]
+    right = ["", *(word(n) for n in (5, 60, 200) for _ in range(8)), *(word(30) + s[:-3] + "x" + word(30) for s in left)]
+    least = np.array([[rng.choice((30, 60, 80)) for _ in right] for _ in left])
+    want = {(i, j): s for i, a in enumerate(left) for j, b in enumerate(right) if (s := partial_ratio(a, b)) >= least[i, j]}
+    got = {(int(i), int(j)): s for i, j, s in zip(*alike.near(left, right, least, part=True))}
+    assert got.keys() == want.keys() and len(want) > 100 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_structured_large(spark, monkeypatch):
+    """A manuscript with many entries without a title takes seconds (each stretch of each pair took minutes before)."""
+    import time
+
+    monkeypatch.setattr(alike, "BLOCK", 150)
+    rng = random.Random(7)
+    titles = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(6)) for _ in range(600)]
+    entries = spark.createDataFrame([("d" if i < 500 else f"d{i}", f"r{i}", i, None, f"Lee, A., Kim, B. (2001). {t}. Journal of Tides and Storms, 12(3), 45-67, with notes and two appendices.", 2001, ["Lee, A."]) for i, t in enumerate(titles)], "doc_id string, ref_id string, pos int, title string, raw string, year int, authors array<string>")
+    items = spark.createDataFrame([("d" if i < 500 else f"d{i}", f"i{i}", t[:9] + "x" + t[10:], 2001, "Lee") for i, t in enumerate(titles)], "doc_id string, item_id string, title string, year int, family string")
+    began = time.time()
+    got = {r.item_id: r.ref_id for r in entities.structured_matches(items, entries).collect()}
+    assert got == {f"i{i}": f"r{i}" for i in range(600)} and time.time() - began < 40
+
+
 def test_candidates_whole(spark):
     """Every pair from 92 on is found without author, year or DOI, and with errors anywhere; short Chinese titles as well."""
     titles = ["Long-term sensor drift in coastal observation networks", "A survey of ranked retrieval over annotated manuscripts", "峣栩坡作物产量的隐性差异研究", "作物产量研究"]
