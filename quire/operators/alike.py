@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quire.functions.fuzzy import plain
-from quire.session import cut, spread
+from quire.session import cut, shared_folder, spread
 
 # Strings of a block, steps of length bands, columns of the letter bound, pairs measured at a time, stretches measured first: these bound memory, not results.
 BLOCK, STEP, COLUMNS, AT_ONCE, STRIDE = 1500, 1.15, 512, 1 << 14, 4
@@ -19,6 +23,7 @@ LETTERS = {c: i for i, c in enumerate(" abcdefghijklmnopqrstuvwxyz0123456789")}
 #: The first columns count the letters above, each up to EACH times with a column a time; all else shares the columns after them.
 EACH = 10
 OWN = len(LETTERS) * EACH
+PLACES = np.array([LETTERS.get(chr(x), -1) for x in range(129)])  # the last stands for all others
 
 
 @F.pandas_udf(StringType())
@@ -32,32 +37,49 @@ def bags(strings: list[str]) -> np.ndarray:
 
     The k-th occurrence of a letter stands in its column k; columns may be shared, which only raises the product.
     """
-    out = np.zeros((len(strings), COLUMNS), dtype=np.float32)
-    for row, s in zip(out, strings):
-        seen: dict[str, int] = {}
-        for c in s:
-            k = seen[c] = seen.get(c, -1) + 1
-            place = LETTERS.get(c)
-            row[place * EACH + k if place is not None and k < EACH else OWN + (ord(c) * 31 + k * 7) % (COLUMNS - OWN)] += 1
-    return out
+    flat, owner, _ = letters_of(strings)
+    order = np.lexsort((flat, owner))  # stable: equal letters of a string stand together
+    char, row = flat[order].astype(np.int64), owner[order]
+    new = np.ones(len(char), dtype=bool)
+    new[1:] = (char[1:] != char[:-1]) | (row[1:] != row[:-1])
+    at = np.arange(len(char))
+    k = at - np.maximum.accumulate(np.where(new, at, 0))
+    place = PLACES[np.minimum(char, len(PLACES) - 1)]
+    column = np.where((place >= 0) & (k < EACH), place * EACH + k, OWN + (char * 31 + k * 7) % (COLUMNS - OWN))
+    return np.bincount(row * COLUMNS + column, minlength=len(strings) * COLUMNS).astype(np.float32).reshape(len(strings), COLUMNS)
+
+
+def letters_of(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of all strings one after another, the string each stands in, and its place there."""
+    n = np.array([len(s) for s in strings], dtype=np.int64)
+    flat = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32)
+    return flat, np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
 
 
 class Measured:
     """Longest common subsequences of many pairs at once, 64 letters of the left string a machine word."""
 
-    def __init__(self, left: list[str], right: list[str]):
+    def __init__(self, left: list[str], right: list[str] | None = None):
         letters = {c: i for i, c in enumerate(sorted(set("".join(left))))}
         self.n = np.array([len(s) for s in left], dtype=np.int64)
-        self.m = np.array([len(s) for s in right], dtype=np.int64)
+        self.letters = np.array([ord(c) for c in letters], dtype=np.uint32)
         self.words, self.width = max(1, -(-int(self.n.max(initial=0)) // 64)), len(letters) + 1
         self.masks = np.zeros((self.words, len(left) * self.width), dtype=np.uint64)
         for i, s in enumerate(left):
             for k, c in enumerate(s):
                 self.masks[k >> 6, i * self.width + letters[c]] |= np.uint64(1 << (k & 63))
+        if right is not None:
+            self.meet(right)
+
+    def meet(self, right: list[str]) -> None:
+        self.m = np.array([len(s) for s in right], dtype=np.int64)
         # a letter that no left string has, and what lies behind a string's end, have an empty mask and change nothing
-        self.codes = np.full((int(self.m.max(initial=0)), len(right)), len(letters), dtype=np.int32)
-        for j, s in enumerate(right):
-            self.codes[: len(s), j] = [letters.get(c, len(letters)) for c in s]
+        none = len(self.letters)
+        self.codes = np.full((int(self.m.max(initial=0)), len(right)), none, dtype=np.int32)
+        if none:
+            flat, owner, place = letters_of(right)
+            code = np.minimum(np.searchsorted(self.letters, flat), none - 1)
+            self.codes[place, owner] = np.where(self.letters[code] == flat, code, none)
 
     def common(self, i: np.ndarray, j: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
         """start: only the stretch of the right string that begins there and is as long as the left one."""
@@ -167,6 +189,85 @@ def block_pairs(left: list[str], right: list[str], least: float) -> Iterator[pd.
     yield pd.DataFrame({"a": names[0][i], "b": names[1][j], "score": score})
 
 
+def likest(left: DataFrame, right: DataFrame, least: float, most: int) -> DataFrame:
+    """a, b, score: of the distinct strings `b` of right those of the `most` highest ratios with each string `a` of left, from
+    `least` on; all that are as like as the last of them as well, so whatever order settles ties finds its rows.
+
+    All of right is written to the shared folder, in the order of length. A task takes a range of lengths of left and reads
+    what lengths may fit, the nearest first; what a string's `most` highest ratios are so far bounds what is measured next,
+    so no pair is lost that can be among them.
+    """
+    spark = left.sparkSession
+    uri = f"{shared_folder(spark)}/likest-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    right = right.where(F.col("b").isNotNull()).select("b").distinct().withColumn("n", F.length("b"))
+    right.repartitionByRange(F.col("n")).sortWithinPartitions("n").write.option("parquet.block.size", 1 << 20).parquet(uri)
+    left = cut(left.where(F.col("a").isNotNull()).select("a").distinct())
+    parts = max(3 * spark.sparkContext.defaultParallelism, -(-left.count() // BLOCK))
+    share = least / (200.0 - least)
+
+    def search(batches):
+        rows = [s for batch in batches for s in batch.column(0).to_pylist()]
+        if not rows:
+            return
+        files, path = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+        known = ds.dataset(path, filesystem=files, format="parquet")
+        rows.sort(key=len)
+        short = sum(len(s) <= 64 for s in rows)
+        blocks = [side[k : k + BLOCK] for side in (rows[:short], rows[short:]) for k in range(0, len(side), BLOCK)]
+        for block in blocks:
+            low, high, mid = len(block[0]), len(block[-1]), len(block[len(block) // 2])
+            low, high = int(low * share - 1e-6), int(high / share + 1e-6) + 1
+            best, kept = Best(block, least, most), []
+            for a, b in (mid - 1, mid + 1), (low, mid - 2), (mid + 2, high):
+                for batch in known.to_batches(columns=["b"], filter=(ds.field("n") >= a) & (ds.field("n") <= b), batch_size=2 * BLOCK, batch_readahead=1, fragment_readahead=1, use_threads=False):
+                    if batch.num_rows:
+                        kept.append(best.meet(batch.column(0).to_pylist()))
+            i, names, score = (np.concatenate(c) if kept else np.zeros(0) for c in (zip(*kept) if kept else ((), (), ())))
+            if len(i):
+                keep = score >= best.need[i]
+                yield pa.RecordBatch.from_arrays([pa.array([block[x] for x in i[keep]], pa.string()), pa.array(names[keep].tolist(), pa.string()), pa.array(score[keep], pa.float64())], ["a", "b", "score"])
+
+    return left.repartitionByRange(parts, F.length("a"), F.xxhash64("a")).mapInArrow(search, "a string, b string, score double")
+
+
+class Best:
+    """Strings with the `most` highest ratios each has met so far; `need`: what a further one must have."""
+
+    def __init__(self, left: list[str], least: float, most: int):
+        self.measured, self.bags, self.least, self.most = Measured(left), bags(left), least, most
+        self.top, self.need = np.zeros((len(left), most)), np.full(len(left), least)
+
+    def meet(self, right: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of left, strings of right and ratios of the pairs that reach what the rows need."""
+        self.measured.meet(right)
+        n, m = self.measured.n, self.measured.m
+        # letters in common less what the ratio asks for, in one product
+        ask = (self.need / 200.0).astype(np.float32)
+        mine = np.hstack([self.bags, -(ask * n)[:, None].astype(np.float32), -ask[:, None]])
+        other = np.hstack([bags(right), np.ones((len(right), 1), np.float32), m[:, None].astype(np.float32)])
+        i, j = np.divmod(np.flatnonzero((mine @ other.T).ravel() >= -0.01), len(right))
+        found = []
+        for k in range(0, len(i), AT_ONCE):
+            x, y = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
+            total = n[x] + m[y]
+            score = np.where(total == 0, 100.0, 200.0 * self.measured.common(x, y) / np.maximum(total, 1))
+            hit = score >= self.need[x]
+            found.append((x[hit], y[hit], score[hit]))
+        i, j, score = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((-score, i))
+        row = i[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        few = rank < self.most
+        more = np.zeros_like(self.top)
+        more[row[few], rank[few]] = score[order][few]
+        self.top = np.sort(np.hstack([self.top, more]), axis=1)[:, -self.most :]
+        self.need = np.maximum(self.least, self.top[:, 0] - 1e-3)  # scores that are equal when rounded count as equal
+        hit = score >= self.need[i]
+        return i[hit], np.array(right, dtype=object)[j[hit]], score[hit]
+
+
 def meeting(left: DataFrame, right: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
     """Both sides with a column `pair`: rows of one group of `by` meet in exactly one pair, which holds about BLOCK rows a side.
 

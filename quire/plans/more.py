@@ -10,7 +10,7 @@ from quire.functions import text as T
 from quire.functions.fuzzy import plain_udf
 from quire.functions.references import parse_reference_udf
 from quire.operators import intervals as I
-from quire.operators.alike import alike, arranged_udf
+from quire.operators.alike import arranged_udf, likest
 from quire.operators.evidence import locate_udf
 from quire.operators.retrieval import top
 from quire.operators.sequences import numbered
@@ -67,13 +67,13 @@ def tagged_sentences(spark, folder):
 
 
 def gray_zone(spark, folder):
-    """For each entry the three likest record titles from 70 on, titles told apart by their key; all titles are compared.
+    """For each entry the three likest record titles from 70 on, titles told apart by their key; all titles are considered.
 
     A title without a letter of the key's (one in another script) is told apart by its words.
     """
     r = refs(spark, folder).where("title IS NOT NULL").select("ref_id", arranged_udf("title").alias("a")).where("a <> ''")
     d = records(spark, folder).where("title IS NOT NULL").select(T.squash(c("title")).alias("key"), plain_udf("title").alias("u")).select(F.coalesce(F.nullif("key", F.lit("")), "u").alias("key"), "u").where("u <> ''").groupBy("key").agg(F.min("u").alias("u")).select("key", arranged_udf("u").alias("b"))
-    s = alike(r, d, 70.0).join(d, "b").select("a", "key", F.round("score", 4).alias("score"))
+    s = likest(r, d, 70.0, 3).join(d, "b").select("a", "key", F.round("score", 4).alias("score"))
     best = top(s, "a", [F.desc("score"), c("key")], 3)
     return r.join(best, "a").select("ref_id", "key", "score", long("rank"))
 

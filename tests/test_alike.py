@@ -63,6 +63,25 @@ def test_near_parts():
     assert got.keys() == want.keys() and len(want) > 100 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_likest(spark, monkeypatch):
+    """The three highest ratios of each string with all that equal the third, over several blocks, and fewer pairs measured
+    once a string has three."""
+    monkeypatch.setattr(alike, "BLOCK", 40)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcde中é") for _ in range(rng.randint(1, 9)))
+    left = ["", "中文", *(" ".join(word() for _ in range(rng.choice((1, 3, 12, 20)))) for _ in range(90))]
+    right = ["", "中", *("".join(c for c in s if rng.random() > 0.1) for s in left for _ in range(5)), *(word() for _ in range(40))]
+    want = {}
+    for a in set(left):
+        scores = sorted(((ratio(a, b), b) for b in set(right)), reverse=True)
+        want |= {(a, b): s for s, b in scores if s >= max(60.0, scores[2][0])}
+    got = {(r.a, r.b): r.score for r in alike.likest(spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(x,) for x in right], "b string"), 60.0, 3).collect()}
+    assert want.items() <= got.items() and all(s == ratio(*k) for k, s in got.items())
+    best = alike.Best(["abcdefghij"], 60.0, 3)
+    assert len(best.meet(["abcdefghij", "abcdefghi", "bcdefghij", "abcdefg"])[0]) == 3
+    assert len(best.meet(["abcdefgh", "abcdefghijk"])[0]) == 1 and best.need[0] > 94
+
+
 def test_structured_large(spark, monkeypatch):
     """A manuscript with many entries without a title takes seconds (each stretch of each pair took minutes before)."""
     import time
