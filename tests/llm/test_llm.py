@@ -124,6 +124,28 @@ def test_hot_work(spark):
     assert {r.ref_id for r in got.collect()} == {f"r{i}" for i in range(60)}
 
 
+def shuffle_files(spark) -> int:
+    return sum(f.split("/")[-1].startswith("shuffle_") for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_works_disk(spark, monkeypatch):
+    """What the passes shuffle goes as each ends (all of it stayed before), and passes and slices change no pair."""
+    from quire.session import Stored
+
+    n = shuffle_files(spark)
+    stored = Stored(spark.range(1000).repartition(3, "id").groupBy("id").count())
+    assert stored.df.count() == 1000
+    stored.drop()
+    refs, records = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("reference_entries", "candidate_records"))
+    whole = works.match_works(refs, records)
+    assert shuffle_files(spark) - n < 30
+    want = {tuple(r) for r in whole.collect()}
+    monkeypatch.setattr(works, "PASS", 3000)
+    monkeypatch.setattr(works, "SLICE", 300)
+    assert {tuple(r) for r in works.match_works(refs, records).collect()} == want and len(want) > 1000
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_recall(spark):
     """Of the references of every twentieth id, against all records by the exact comparison alone, nine in ten pairs or more come out."""
